@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op1_mixing
+from .suffix_array import op7_suffix_array
+from .suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_suffix_tree": op2_suffix_tree,
+    "op7_suffix_array": op7_suffix_array,
 }
 
 SQL: dict[str, str] = {}

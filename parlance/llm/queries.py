@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import op1_mixing
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_tree": op2_suffix_tree,
+    "op3_toxicity": op3_toxicity,
     "op7_suffix_array": op7_suffix_array,
 }
 

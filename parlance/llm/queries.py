@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op6_fingerprints
+from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
@@ -15,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_toxicity": op3_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op7_suffix_array": op7_suffix_array,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
+from .pieces import op8_sentencepiece
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
 from .toxicity import op3_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op7_suffix_array": op7_suffix_array,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
 }
 

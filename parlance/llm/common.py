@@ -140,6 +140,13 @@ def byte_symbols(raw: bytes) -> np.ndarray:
     return _BYTES[np.frombuffer(raw, np.uint8)]
 
 
+def revive(kind: type, state: dict):
+    """An object of kind from its attributes: broadcasts hold plain values only."""
+    out = kind.__new__(kind)
+    vars(out).update(state)
+    return out
+
+
 def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node that has an edge to another.
 

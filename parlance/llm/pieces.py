@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, blocks, encoded, mix
+from .common import U64, Rolling, blocks, encoded, mix, revive
 from .repeats import LAST
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -221,10 +221,10 @@ class Sampler:
 def segment(docs: DataFrame, pieces: Pieces, seed: int = 1, digest: bool = False) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_pieces, and either pieces (array of ids) or pieces_sha256 (of the ids as
     little-endian 32-bit numbers); decoded (binary) or decoded_sha256; lossless: whether the text came back."""
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(pieces))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(sent.value)
+        sampler = Sampler(revive(Pieces, sent.value))
         for pdf in blocks(batches, "text", 600_000):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             keys = mix(pdf["d"].to_numpy(np.int64).view(U64) + U64(1))

@@ -13,11 +13,13 @@ from .pieces import op8_sentencepiece
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
 from .toxicity import op3_toxicity
+from .vector_forest import op5_vector_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_toxicity": op3_toxicity,
+    "op5_vector_forest": op5_vector_forest,
     "op6_fingerprints": op6_fingerprints,
     "op7_suffix_array": op7_suffix_array,
     "op8_sentencepiece": op8_sentencepiece,

@@ -227,7 +227,9 @@ def runs(stage: Stage, docs: DataFrame, found: DataFrame, spec: Spec, heavy: int
     contexts = stage.write(cut(docs, found.where("m > 1"), spec).join(found.where("m > 1").select("kh", "ch", "m"), ["kh", "ch"]))
     few = grow(contexts.where(F.col("m") <= heavy).drop("m"), spec)
     many = grow_heavy(contexts.where(F.col("m") > heavy).drop("m"), spec)
-    return stage.write(same.unionByName(few).unionByName(many))
+    out = stage.write(same.unionByName(few).unionByName(many))
+    stage.drop(contexts, found)
+    return out
 
 
 def groups(found: DataFrame) -> DataFrame:

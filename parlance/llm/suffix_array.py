@@ -85,7 +85,6 @@ def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4,
     found = stage.write(groups(index.matches()))
     stage.drop(*[level for _, level in index.levels])
     repeated = runs(stage, own, found, spec, heavy)
-    stage.free()
     got = spans(a, repeated, spec, earlier=False)
     return own.join(got.hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
 

@@ -33,7 +33,6 @@ def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, heavy: int = 20_00
     found = stage.write(groups(entries(a)))
     stage.free()
     repeated = runs(stage, own, found, spec, heavy)
-    stage.free()
     got = spans(a, repeated, spec, earlier=True)
     return own.join(got.hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
 

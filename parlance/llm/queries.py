@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_array": op7_suffix_array,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_warc": warc.op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_warc": warc.SQL}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .context_tree import op4_context_tree
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_toxicity": op3_toxicity,
+    "op4_context_tree": op4_context_tree,
     "op5_vector_forest": op5_vector_forest,
     "op6_fingerprints": op6_fingerprints,
     "op7_suffix_array": op7_suffix_array,

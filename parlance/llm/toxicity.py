@@ -85,10 +85,15 @@ class Ftrl:
         self.bias_n += g * g
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, epochs: int = 4, max_weights: int = 1 << 17, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """labelled (doc_id, text, label 0/1) to slots, weights and bias. Reads every row, learns from max_rows at most."""
-    rows = labelled.select("text", F.col("label").cast("int").alias("label"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).where("label IN (0, 1)")
-    rows = rows.orderBy("h", "label").limit(max_rows).repartition(1).sortWithinPartitions("h", "label")
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 4, max_weights: int = 1 << 17, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """docs (doc_id, text) and labels (doc_id, label 0/1) to slots, weights and bias; learns from max_rows at most.
+
+    The sample is drawn from the labels alone, so texts that are not in it never move; max_rows bounds the broadcast.
+    """
+    drawn = labels.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).where("label IN (0, 1)")
+    drawn = F.broadcast(drawn.orderBy("h", "label").limit(max_rows))
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "label", "h")
+    rows = rows.repartition(1).sortWithinPartitions("h", "label", "text")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: list[tuple[np.ndarray, int]] = []
@@ -97,6 +102,8 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, epochs: int = 4, max_weight
             key = np.unique((doc << SLOTS) | slot)
             at = np.searchsorted(key >> SLOTS, np.arange(len(pdf) + 1))
             slots = (key & ((1 << SLOTS) - 1)).astype(np.int32)
+            if len(seen) >= max_rows:  # repeated rows of a document
+                continue
             seen += [(slots[at[i] : at[i + 1]], int(y)) for i, y in enumerate(pdf["label"])]
         model = Ftrl()
         for _ in range(epochs):
@@ -144,6 +151,6 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     seen = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    model = fit(docs.join(seen, "doc_id"))
+    model = fit(docs, seen)
     out = score(docs.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1), model, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

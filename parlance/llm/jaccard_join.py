@@ -19,6 +19,7 @@ Repeated rows have equal sets. An empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,11 +82,14 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
 
 
+FLOOR = 4  # the fewest shared tokens asked of sets that have so many
+
+
 def _postings(size: int, percent: int, most: int, sent):
     """tok, key, n, need: the prefix of each document, as long as its estimated costs advise."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sent.value
+        counts, total_docs = sent.value
         floor = counts.mean()
         for pdf in blocks(batches, "text", 1_500_000):
             s, end = shingle_sets(encoded(pdf["text"]), size)
@@ -99,10 +103,12 @@ def _postings(size: int, percent: int, most: int, sent):
             total = np.concatenate(([0.0], np.cumsum(seen)))
             cost = np.full((most, len(n)), np.inf)
             for need in range(1, most + 1):
-                ok = (n > 0) & (need <= least)
                 reach = np.minimum(n, n - least + need)
                 scan = total[end - n + reach] - total[end - n]
-                cost[need - 1, ok] = (scan + 8.0 * scan / need + 2.0 * reach)[ok]
+                # a document at random shares scan / total_docs tokens on average, and `need` by Poisson's law
+                chance = (scan / total_docs) ** need / math.factorial(need)
+                ok = (n > 0) & (need >= np.minimum(FLOOR, least)) & (need <= least)
+                cost[need - 1, ok] = (scan + reach + n * total_docs * np.minimum(chance, 1))[ok]
             need = cost.argmin(axis=0) + 1
             reach = np.minimum(n, n - least + need)
             at = np.flatnonzero(place < np.repeat(reach, n))
@@ -119,22 +125,34 @@ def _keys(s: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(sums[end] - sums[end - n] + n.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-def _items(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in blocks(batches, "text", 1_500_000):
-            s, end = shingle_sets(encoded(pdf["text"]), size)
-            raw, begin = s.astype("<u8").tobytes(), np.concatenate(([0], end))
-            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "items": [raw[8 * a : 8 * b] for a, b in zip(begin[:-1], begin[1:], strict=True)]})
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for pdf in blocks(batches, "text", 2_000_000):
+        yield pd.DataFrame({"key": pdf["key"].to_numpy(), "packed": [pack.compress(t) for t in encoded(pdf["text"])]})
 
-    return run
 
+def _alike(size: int, percent: int):
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        """Whether 100 * shared >= percent * union, by the whole sets of two texts."""
+        import zstandard
 
-def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted sets."""
-    return pd.Series([len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
+        unpack = zstandard.ZstdDecompressor().decompress
+        out = []
+        for i in range(0, len(x), 100):
+            raw = [unpack(t) for t in [*x.iloc[i : i + 100], *y.iloc[i : i + 100]]]
+            s, end = shingle_sets(raw, size)
+            parts = np.split(s, end[:-1])
+            for a, b in zip(parts[: len(raw) // 2], parts[len(raw) // 2 :], strict=True):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(100 * both >= percent * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    return run
 
 
-def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 4, rounds: int = 3) -> DataFrame:
+def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 2) -> DataFrame:
     """d, n_shingles, component: the smallest d reachable over pairs with 100 * shared >= percent * union."""
     spark = docs.sparkSession
     own = keyed(docs)
@@ -142,22 +160,23 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     measured = both.where("slice < 0").drop("slice", "counts")
     tally = both.where("slice >= 0").groupBy("slice").applyInPandas(_add, "slice int, counts binary").orderBy("slice").collect()
     counts = np.concatenate([np.frombuffer(r.counts, "<i8") for r in tally]) if tally else np.zeros(1 << BITS, np.int64)
-    sent = spark.sparkContext.broadcast(counts)  # 2 MB
+    sent = spark.sparkContext.broadcast((counts, max(1, measured.count())))  # 2 MB
     nodes = measured.where("n > 0").groupBy("key").agg(F.min(F.struct("d", "rk")).alias("rep"))
     posted = stage.write(own.mapInPandas(_postings(size, percent, most, sent), "tok long, key long, n int, need byte").distinct())
     lists = posted.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    p = stage.write(posted.join(lists, "tok"))
+    common = posted.join(lists, "tok")
+    enough = common.groupBy("key").agg(F.count("*").alias("c"), F.min("need").alias("least")).where(F.col("c") >= F.least("least", F.lit(FLOOR))).select("key")
+    p = stage.write(common.join(enough, "key"))
     stage.drop(posted)
     wanted = p.select("key").distinct().join(nodes, "key").select("key", "rep.*")
-    sets = own.join(wanted.hint("shuffle_hash"), ["d", "rk"]).select("key", "text").mapInPandas(_items(size), "key long, items binary")
-    sets = stage.write(sets.dropDuplicates(["key"]))
+    texts = own.join(wanted.hint("shuffle_hash"), ["d", "rk"]).select("key", "text").mapInPandas(_packed, "key long, packed binary")
+    texts = stage.write(texts)
     stage.free()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = sets.toDF("x", "ix"), sets.toDF("y", "iy")
-        full = pairs.join(x, "x").join(y, "y").withColumn("s", F.pandas_udf(shared, "long")("ix", "iy"))
-        union = (F.octet_length("ix") + F.octet_length("iy")) / 8 - F.col("s")
-        return stage.write(full.where(100 * F.col("s") >= percent * union).select("x", "y"))
+        x, y = texts.toDF("x", "ix"), texts.toDF("y", "iy")
+        full = pairs.join(x, "x").join(y, "y").where(F.pandas_udf(_alike(size, percent), "boolean")("ix", "iy"))
+        return stage.write(full.select("x", "y").distinct())
 
     links, labels = None, None
 
@@ -175,10 +194,10 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     near &= F.col("yn") * 100 >= F.col("n") * percent
     for turn in range(rounds):
         at = placed()
-        one = at.groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "comp")).alias("y"))
-        one = one.select("tok", F.col("y.key").alias("y"), F.col("y.n").alias("yn"), F.col("y.comp").alias("ycomp"))
-        met = at.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(F.count("*").alias("c"))
-        best = met.groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        one = at.groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "need", "comp")).alias("y"))
+        one = one.select("tok", F.col("y.key").alias("y"), F.col("y.n").alias("yn"), F.col("y.need").alias("yneed"), F.col("y.comp").alias("ycomp"))
+        met = at.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"))
+        best = met.where("c >= least").groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
         add(verified(best))
         stage.free()
     at = stage.write(placed())

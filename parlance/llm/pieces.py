@@ -218,9 +218,10 @@ class Sampler:
         return b"".join([spelled[i] for i in ids.tolist()])[1:]
 
 
-def segment(docs: DataFrame, pieces: Pieces, seed: int = 1, digest: bool = False) -> DataFrame:
+def segment(docs: DataFrame, pieces: Pieces, seed: int = 1, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_pieces, and either pieces (array of ids) or pieces_sha256 (of the ids as
-    little-endian 32-bit numbers); decoded (binary) or decoded_sha256; lossless: whether the text came back."""
+    little-endian 32-bit numbers); decoded (binary) or decoded_sha256; lossless: whether the text came back. carry:
+    string columns of docs to keep."""
     sent = docs.sparkSession.sparkContext.broadcast(vars(pieces))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,10 +236,11 @@ def segment(docs: DataFrame, pieces: Pieces, seed: int = 1, digest: bool = False
                 out |= {"pieces_sha256": [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}
             else:
                 out |= {"pieces": ids, "decoded": back}
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out | {c: pdf[c].array for c in carry})
 
-    own = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), docs["text"].alias("text"))
+    own = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), docs["text"].alias("text"), *[docs[c].alias(c) for c in carry])
     more = "pieces_sha256 string, decoded_sha256 string" if digest else "pieces array<int>, decoded binary"
+    more += "".join(f", {c} string" for c in carry)
     out = own.mapInPandas(run, f"d long, n_pieces long, lossless boolean, {more}")
     return out.withColumn("d", F.nullif("d", F.lit(LAST))).withColumnRenamed("d", "doc_id")
 

@@ -75,18 +75,21 @@ class LogIndex:
         return every.join(self._union(self.met).distinct(), "kh", "left_semi")
 
 
-def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000) -> DataFrame:
-    """d, text, spans: each document with the byte ranges whose windows start anywhere else too."""
-    own = keyed(docs)
+def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000) -> DataFrame:
+    """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any."""
     a = stage.write(anchor_rows(own, spec))
     index = LogIndex(stage)
     for b in range(batches):
         index.add(entries(a.where(F.pmod("rk", F.lit(batches)) == b)))
     found = stage.write(groups(index.matches()))
     stage.drop(*[level for _, level in index.levels])
-    repeated = runs(stage, own, found, spec, heavy)
-    got = spans(a, repeated, spec, earlier=False)
-    return own.join(got.hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
+    return spans(a, runs(stage, own, found, spec, heavy), spec, earlier=False)
+
+
+def dedup(docs: DataFrame, stage: Stage, **options) -> DataFrame:
+    """d, text, spans: each document with the byte ranges to remove."""
+    own = keyed(docs)
+    return own.join(ranges(own, stage, **options).hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
 
 
 def remove(raw: bytes, found) -> tuple[bytes, int, int]:
@@ -115,6 +118,21 @@ def kept(found: DataFrame) -> DataFrame:
     return out.withColumn("d", F.nullif("d", F.lit(LAST))).withColumnRenamed("d", "doc_id")
 
 
+def cleaned(docs: DataFrame, stage: Stage, **options) -> DataFrame:
+    """docs with text as it is after removal and n_chars its length; doc_id, lang and source as they were.
+
+    Only the repeated passages' ranges meet the documents; untouched texts, null ones among them, stay as they are.
+    """
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if at is None or not len(at) else remove(encoded([t])[0], at)[0].decode("utf-8", "ignore") for t, at in zip(texts, spans, strict=True)], dtype=object)
+
+    found = ranges(keyed(docs), stage, **options)
+    own = docs.withColumn("d", F.coalesce(docs["doc_id"], F.lit(LAST))).withColumn("rk", F.xxhash64(docs["doc_id"], docs["text"]))
+    out = own.join(found.hint("shuffle_hash"), ["d", "rk"], "left").withColumn("text", F.pandas_udf(cut, "string")("text", "spans"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_suffix_array(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return kept(dedup(docs, Stage(spark, "op7"))).drop("kept")

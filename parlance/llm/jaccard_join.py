@@ -4,7 +4,7 @@ A document's shingles are put in an order that has the rare first (by counts ove
 fixed size, then by hash; any total order is right, a rare-first one is fast). For a threshold t, sets x and y
 that link share l tokens of their prefixes of |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l tokens. A longer
 prefix costs more postings but asks for more shared tokens; each document takes the l in 1..4 whose estimated
-cost of postings and verifications is least, and a pair is a candidate when its prefixes share the smaller l.
+cost of postings and verifications is least, and a pair is a candidate when its prefixes share the smaller l and so many that, with all that may be shared behind them, the threshold can be met.
 
 Equal sets are one node. A posting list is never expanded into all its pairs: some rounds link every node with
 one node of a list it shares most with, and nodes that are in one component already need no more pairs among
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Stage, Words, blocks, components, encoded, mix
@@ -86,7 +86,8 @@ FLOOR = 4  # the fewest shared tokens asked of sets that have so many
 
 
 def _postings(size: int, percent: int, most: int, sent):
-    """tok, key, n, need: the prefix of each document, as long as its estimated costs advise."""
+    """tok, key, n, need, at, rest: the prefix of each document, as long as its estimated costs advise; at is the token's
+    place in the order, rest the number of tokens behind the prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, total_docs = sent.value
@@ -113,7 +114,7 @@ def _postings(size: int, percent: int, most: int, sent):
             reach = np.minimum(n, n - least + need)
             at = np.flatnonzero(place < np.repeat(reach, n))
             d = doc[at]
-            yield pd.DataFrame({"tok": s[at].view(np.int64), "key": _keys(s, end, n)[d], "n": n[d].astype(np.int32), "need": need[d].astype(np.int8)})
+            yield pd.DataFrame({"tok": s[at].view(np.int64), "key": _keys(s, end, n)[d], "n": n[d].astype(np.int32), "need": need[d].astype(np.int8), "at": place[at].astype(np.int32), "rest": (n - reach)[d].astype(np.int32)})
 
     return run
 
@@ -162,10 +163,10 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     counts = np.concatenate([np.frombuffer(r.counts, "<i8") for r in tally]) if tally else np.zeros(1 << BITS, np.int64)
     sent = spark.sparkContext.broadcast((counts, max(1, measured.count())))  # 2 MB
     nodes = measured.where("n > 0").groupBy("key").agg(F.min(F.struct("d", "rk")).alias("rep"))
-    posted = stage.write(own.mapInPandas(_postings(size, percent, most, sent), "tok long, key long, n int, need byte").distinct())
+    posted = stage.write(own.mapInPandas(_postings(size, percent, most, sent), "tok long, key long, n int, need byte, at int, rest int").distinct())
     lists = posted.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     common = posted.join(lists, "tok")
-    enough = common.groupBy("key").agg(F.count("*").alias("c"), F.min("need").alias("least")).where(F.col("c") >= F.least("least", F.lit(FLOOR))).select("key")
+    enough = common.groupBy("key").agg(F.count("*").alias("can"), F.min("need").alias("least")).where(F.col("can") >= F.least("least", F.lit(FLOOR))).select("key", "can")
     p = stage.write(common.join(enough, "key"))
     stage.drop(posted)
     wanted = p.select("key").distinct().join(nodes, "key").select("key", "rep.*")
@@ -179,36 +180,46 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
         return stage.write(full.select("x", "y").distinct())
 
     links, labels = None, None
+    about = ["n", "need", "at", "rest", "can"]
+    theirs = [F.col(c).alias(f"y{c}") for c in about]
 
     def placed() -> DataFrame:
         if labels is None:
             return p.withColumn("comp", F.col("key"))
-        return p.join(labels.toDF("key", "to"), "key", "left").select("tok", "key", "n", "need", F.coalesce("to", "key").alias("comp"))
+        return p.join(labels.toDF("key", "to"), "key", "left").select("tok", "key", *about, F.coalesce("to", "key").alias("comp"))
 
     def add(new: DataFrame) -> None:
         nonlocal links, labels
         links = new if links is None else links.unionByName(new)
         labels = components(stage, links, "x", "y")
 
-    near = F.col("n") * 100 >= F.col("yn") * percent
-    near &= F.col("yn") * 100 >= F.col("n") * percent
+    def reach(overlap) -> Column:
+        """Whether sets of these sizes can link if they share so many."""
+        return overlap * (100 + percent) >= (F.col("n") + F.col("yn")) * percent
+
+    # shared tokens beyond the prefixes are behind one of them; those in them are at most what either shares with any
+    behind = F.greatest("rest", "yrest")
+    near = reach(F.least("n", "yn")) & reach(F.least("can", "ycan") + behind)
+    near &= reach(F.least("at", "yat") + F.least(F.col("n") - F.col("at"), F.col("yn") - F.col("yat")))
+    counted = (F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"), F.first("n").alias("n"), F.first("yn").alias("yn"), F.max(behind).alias("behind"))
+    enough_shared = (F.col("c") >= F.col("least")) & reach(F.col("c") + F.col("behind"))
+
     for turn in range(rounds):
         at = placed()
-        one = at.groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "need", "comp")).alias("y"))
-        one = one.select("tok", F.col("y.key").alias("y"), F.col("y.n").alias("yn"), F.col("y.need").alias("yneed"), F.col("y.comp").alias("ycomp"))
-        met = at.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"))
-        best = met.where("c >= least").groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        one = at.groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", *about, "comp")).alias("y")).select("tok", "y.*")
+        one = one.select("tok", F.col("key").alias("y"), *theirs, F.col("comp").alias("ycomp"))
+        met = at.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(*counted)
+        best = met.where(enough_shared).groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
         add(verified(best))
         stage.free()
     at = stage.write(placed())
     per = at.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m"))
     major = per.where("k > 1").select("tok", F.col("m.comp").alias("major"))
     open_ = stage.write(at.join(major, "tok"))
-    x = open_.where("comp <> major").select("tok", F.col("key").alias("x"), "n", "need", "comp")
-    y = open_.select("tok", F.col("key").alias("y"), F.col("n").alias("yn"), F.col("need").alias("yneed"), F.col("comp").alias("ycomp"), "major")
-    met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near)
-    met = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"))
-    add(verified(met.where("c >= least").select("x", "y")))
+    x = open_.where("comp <> major").select("tok", F.col("key").alias("x"), *about, "comp")
+    y = open_.select("tok", F.col("key").alias("y"), *theirs, F.col("comp").alias("ycomp"), "major")
+    met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near).groupBy("x", "y").agg(*counted)
+    add(verified(met.where(enough_shared).select("x", "y")))
     member = nodes.select("key", F.col("rep.d").alias("d")).join(labels.toDF("key", "to"), "key", "left").select("key", "d", F.coalesce("to", "key").alias("comp"))
     smallest = member.groupBy("comp").agg(F.min("d").alias("component"))
     named = member.join(smallest, "comp").select("key", "component")

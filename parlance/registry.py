@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import turns
+from .plans import texts, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (turns,):
+for module in (turns, texts):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

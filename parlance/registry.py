@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import texts, turns
+from .plans import relations, texts, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (turns, texts):
+for module in (turns, texts, relations):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import relations, texts, turns
+from .plans import relations, reviews, texts, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (turns, texts, relations):
+for module in (turns, texts, relations, reviews):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -62,5 +62,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def multiset_differs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other, with the side."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    """Rows that one side has more often than the other, with the side and by how many: one aggregate over both."""
+    both = left.withColumn("more", F.lit(1)).unionByName(right.withColumn("more", F.lit(-1)))
+    diff = both.groupBy(*left.columns).agg(F.sum("more").alias("more")).where("more <> 0")
+    return diff.withColumn("side", F.when(F.col("more") > 0, "left").otherwise("right")).withColumn("more", F.abs("more"))

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.checks import ContractViolation
+from ..operators.checks import ContractViolation, multiset_differs
 
 
 def canonical_json(df: DataFrame):
@@ -87,7 +87,7 @@ def require_distinct(paths: list[str | os.PathLike]) -> None:
 
 def write_back(old: DataFrame, new: DataFrame, key: str, path: str) -> bool:
     """Writes new to path only if a row differs from old; whether it did."""
-    changed = not (old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty())
+    changed = not multiset_differs(old, new).isEmpty()
     if changed:
         new.orderBy(key).write.parquet(path)
     return changed

@@ -18,14 +18,22 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            import atexit
+            import shutil
+            import tempfile
+
+            _own_dirs[app] = tempfile.mkdtemp(prefix="parlance-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+        shared = f"file://{_own_dirs[app]}"
     return shared.rstrip("/")
 
 

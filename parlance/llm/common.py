@@ -166,15 +166,15 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         hook = stage.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to")))
-        while True:  # hooks lead to smaller nodes only, so this ends; each turn halves the way
-            up = hook.select(F.col("node").alias("to"), F.col("to").alias("top"))
-            jumped = stage.write(hook.join(up, "to", "left").select("node", F.coalesce("top", "to").alias("to"), (F.col("top") < F.col("to")).alias("moved")))
+        moved = True
+        while moved:  # hooks lead to smaller nodes only, so this ends; each turn follows up to eight of them
+            far = hook
+            for step in ("first", "second", "third"):
+                up = hook.toDF("to", step)
+                far = far.join(up, "to", "left").withColumn("to", F.coalesce(step, "to"))
+            jumped = stage.write(far.select("node", "to", (F.coalesce("second", "first") > F.col("to")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
-            stage.drop(hook)
             hook = jumped.select("node", "to")
-            stage.paths[id(hook)] = stage.paths.pop(id(jumped))
-            if not moved:
-                break
         if labels is None:
             labels = hook
         else:

@@ -6,8 +6,8 @@ that link share l tokens of their prefixes of |x| - ceil(t|x|) + l and |y| - cei
 prefix costs more postings but asks for more shared tokens; each document takes the l in 1..4 whose estimated
 cost of postings and verifications is least, and a pair is a candidate when its prefixes share the smaller l and so many that, with all that may be shared behind them, the threshold can be met.
 
-Equal sets are one node. A posting list is never expanded into all its pairs: some rounds link every node with
-one node of a list it shares most with, and nodes that are in one component already need no more pairs among
+Equal sets are one node. A posting list is never expanded into all its pairs: a first round links every node with
+one node of a list, and nodes that are in one component already need no more pairs among
 them; then all pairs between different components of a list that share enough tokens are verified. So the
 components are exact, and a list of near copies of one text costs about its length. Verification counts
 shingles (64-bit hashes) of both whole sets.
@@ -153,7 +153,7 @@ def _alike(size: int, percent: int):
     return run
 
 
-def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 1) -> DataFrame:
     """d, n_shingles, component: the smallest d reachable over pairs with 100 * shared >= percent * union."""
     spark = docs.sparkSession
     own = keyed(docs)

@@ -31,7 +31,9 @@ from .repeats import LAST
 
 DEPTH = 5
 END = np.int64(-1)  # the end token's key
-BLOCK = 32_000_000
+BLOCK = 16_000_000
+#: Strings have keys of 48 bits; words have negative ones, so that one column tells both apart.
+WORD_BIT = U64(1 << 63)
 #: Where a 6-byte string's parts lie in its key: the last context byte first, the byte itself last.
 _SHIFTS = [U64(8 * (DEPTH - d)) for d in range(DEPTH)]
 EIGHT = U64(8)
@@ -60,7 +62,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of canonical texts, and the number in each."""
     w = Words(texts)
-    return w.hash.view(np.int64), w.count
+    return (w.hash | WORD_BIT).view(np.int64), w.count
 
 
 class _Tally:
@@ -72,7 +74,7 @@ class _Tally:
     def add(self, keys: np.ndarray, times: np.ndarray) -> None:
         at, found = pd.factorize(keys)
         self.parts.append((found, np.bincount(at, times, len(found))))
-        if len(self.parts) > 12:
+        if len(self.parts) > 4:
             self.parts = [self.merged()]
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ class _Tally:
         return found, np.bincount(at, times, len(found))
 
 
-ASKED = "block long, kind int, key long, times long, ids binary, held binary, texts binary"
+ASKED = "block long, key long, times long, ids binary, held binary, texts binary"
 
 
 def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,11 +94,11 @@ def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tallies: list[_Tally] = []
 
     def close() -> Iterator[pd.DataFrame]:
-        for kind, t in enumerate(tallies):
+        for t in tallies:
             if t.parts:
                 keys, times = t.merged()
                 for s in range(0, len(keys), 200_000):
-                    yield pd.DataFrame({"block": (part << 24) | number, "kind": np.int32(kind), "key": keys[s : s + 200_000], "times": times[s : s + 200_000].astype(np.int64), "ids": None, "held": None, "texts": None})
+                    yield pd.DataFrame({"block": (part << 24) | number, "key": keys[s : s + 200_000], "times": times[s : s + 200_000].astype(np.int64), "ids": None, "held": None, "texts": None})
 
     for pdf in blocks(batches, "text", 1_500_000):
         if not tallies:
@@ -110,7 +112,7 @@ def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tallies[1].add(np.append(words, np.full(len(texts), END)), np.append(np.repeat(learn, count), learn))
         raw = b"".join(texts)
         ids = np.stack([pdf["d"].to_numpy(np.int64), lengths]).tobytes()
-        yield pd.DataFrame({"block": [(part << 24) | number], "kind": np.int32(-1), "key": 0, "times": 0, "ids": [ids], "held": [held.tobytes()], "texts": [pack.compress(raw)]})
+        yield pd.DataFrame({"block": [(part << 24) | number], "key": 0, "times": -1, "ids": [ids], "held": [held.tobytes()], "texts": [pack.compress(raw)]})
         size += len(raw)
         if size > BLOCK:
             yield from close()
@@ -235,15 +237,11 @@ def _answer(sent):
 
         total, different = sent.value
         unpack = zstandard.ZstdDecompressor()
-        table = []
-        for kind in (0, 1):
-            own = figures[figures["kind"] == kind]
-            order = np.argsort(own["key"].to_numpy(), kind="stable")
-            table.append((own["key"].to_numpy()[order], own["value"].to_numpy()[order]))
+        order = np.argsort(figures["key"].to_numpy(), kind="stable")
+        known, value = figures["key"].to_numpy()[order], figures["value"].to_numpy()[order].astype(np.float64)
 
-        def look(kind: int, keys: np.ndarray) -> np.ndarray:
+        def look(keys: np.ndarray) -> np.ndarray:
             at, found = pd.factorize(keys)
-            known, value = table[kind]
             return value[np.searchsorted(known, found)][at]
 
         out = []
@@ -253,10 +251,10 @@ def _answer(sent):
             end = np.cumsum(lengths)
             parts = [raw[a:b] for a, b in zip(end - lengths, end, strict=True)]
             keys, begin = grams(parts)
-            score = np.add.reduceat(look(0, keys), begin) / np.log(10)
+            score = np.add.reduceat(look(keys), begin) / np.log(10)
             words, count = words_of(parts)
             doc = np.append(np.repeat(np.arange(len(d)), count), np.arange(len(d)))
-            c = look(1, np.append(words, np.full(len(d), END)))
+            c = look(np.append(words, np.full(len(d), END)))
             base = np.bincount(doc, np.log10((c + 1) / (total + different + 1)), len(d))
             out.append(pd.DataFrame({"d": d, "held_out": np.frombuffer(held, bool), "n_tokens": count + 1, "n_known": np.bincount(doc, c > 0, len(d)).astype(np.int64), "train_tokens": np.int64(total), "base_score": base, "score": score, "n_bytes": lengths}))
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in SCORED.split(", ")])
@@ -272,20 +270,20 @@ def score(docs: DataFrame, held_out, stage: Stage, parts: int = 256) -> DataFram
     spark = docs.sparkSession
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), F.coalesce(held_out, F.lit(False)).alias("held"), docs["text"].alias("text"))
     asked = stage.write(own.mapInPandas(_ask, ASKED))
-    figures = asked.where("kind >= 0").select("block", "kind", "key", "times")
-    sums = stage.write(figures.groupBy("kind", "key").agg(F.sum("times").alias("times")))
+    figures = asked.where("times >= 0").select("block", "key", "times")
+    sums = stage.write(figures.groupBy("key").agg(F.sum("times").alias("times")))
     stage.free()
-    words = sums.where("kind = 1")
+    words = sums.where("key < 0")
     total, different = words.agg(F.sum("times"), F.count_if(F.col("times") > 0)).first()
-    strings = sums.where("kind = 0").select("key", "times", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), F.lit(parts)).alias("part"))
+    strings = sums.where("key >= 0").select("key", "times", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), F.lit(parts)).alias("part"))
     roots = strings.groupBy("part").applyInPandas(_roots, "node long, n0 double, n1 double, logs double")
     crown = roots.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logs").alias("logs")).orderBy("node").toPandas()  # 256 * 255 rows at most
     sent = spark.sparkContext.broadcast(_crown(crown))
     leaves = strings.groupBy("part").applyInPandas(_leaves(sent), "key long, value double")
-    values = leaves.select(F.lit(0).alias("kind"), "key", "value").unionByName(words.select("kind", "key", F.col("times").cast("double").alias("value")))
-    values = stage.write(values)
-    got = figures.select("block", "kind", "key").join(values, ["kind", "key"])
-    texts = asked.where("kind < 0").select(F.col("block").alias("own"), "ids", "held", "texts")
+    values = stage.write(leaves.unionByName(words.select("key", F.col("times").cast("double").alias("value"))))
+    stage.drop(sums)
+    got = figures.select("block", "key").join(values, "key").select("block", "key", "value")
+    texts = asked.where("times < 0").select(F.col("block").alias("own"), "ids", "held", "texts")
     sizes = spark.sparkContext.broadcast((int(total or 0), int(different or 0)))
     out = texts.groupBy("own").cogroup(got.groupBy("block")).applyInPandas(_answer(sizes), SCORED)
     return out.withColumn("d", F.nullif("d", F.lit(LAST))).withColumnRenamed("d", "doc_id")

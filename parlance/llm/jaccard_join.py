@@ -193,16 +193,16 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
         links = new if links is None else links.unionByName(new)
         labels = components(stage, links, "x", "y")
 
-    def reach(overlap) -> Column:
-        """Whether sets of these sizes can link if they share so many."""
-        return overlap * (100 + percent) >= (F.col("n") + F.col("yn")) * percent
+    def reach(overlap, sizes=F.col("n") + F.col("yn")) -> Column:
+        """Whether sets of these sizes, added up, can link if they share so many."""
+        return overlap * (100 + percent) >= sizes * percent
 
     # shared tokens beyond the prefixes are behind one of them; those in them are at most what either shares with any
     behind = F.greatest("rest", "yrest")
     near = reach(F.least("n", "yn")) & reach(F.least("can", "ycan") + behind)
     near &= reach(F.least("at", "yat") + F.least(F.col("n") - F.col("at"), F.col("yn") - F.col("yat")))
-    counted = (F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"), F.first("n").alias("n"), F.first("yn").alias("yn"), F.max(behind).alias("behind"))
-    enough_shared = (F.col("c") >= F.col("least")) & reach(F.col("c") + F.col("behind"))
+    counted = (F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"), F.first(F.col("n") + F.col("yn")).alias("sizes"), F.max(behind).alias("behind"))
+    enough_shared = (F.col("c") >= F.col("least")) & reach(F.col("c") + F.col("behind"), F.col("sizes"))
 
     for turn in range(rounds):
         at = placed()
@@ -218,7 +218,8 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     open_ = stage.write(at.join(major, "tok"))
     x = open_.where("comp <> major").select("tok", F.col("key").alias("x"), *about, "comp")
     y = open_.select("tok", F.col("key").alias("y"), *theirs, F.col("comp").alias("ycomp"), "major")
-    met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near).groupBy("x", "y").agg(*counted)
+    # which of a pair is x differs from list to list; what they share is counted over both directions
+    met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(*counted)
     add(verified(met.where(enough_shared).select("x", "y")))
     member = nodes.select("key", F.col("rep.d").alias("d")).join(labels.toDF("key", "to"), "key", "left").select("key", "d", F.coalesce("to", "key").alias("comp"))
     smallest = member.groupBy("comp").agg(F.min("d").alias("component"))

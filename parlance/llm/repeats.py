@@ -154,7 +154,8 @@ def subtree(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     right, rlcp = _order(group, take(size - smin, size, 1))
     left, llcp = _order(group, take(smax, max(1, int(smax.max())), -1))
     low, high = int(smin.min()), int(smax.max())
-    value = np.full((rows, high - low + 1), LAST, np.int64)
+    value = np.zeros((rows, high - low + 1), np.int64)
+    again = np.zeros(value.shape, bool)
     rc, lc = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     for s in range(low, high + 1):
         here_s = np.flatnonzero((smin <= s) & (s <= smax))
@@ -164,12 +165,13 @@ def subtree(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
         total = np.bincount(node, n[here_s])
         first = np.full(len(total), LAST, np.int64)
         np.minimum.at(first, node, d1[here_s])
-        value[here_s, s - low] = np.where(total[node] >= 2, np.minimum(first[node], LAST - 1), LAST)
-    edge = np.ones_like(value, dtype=bool)
-    edge[:, 1:] = value[:, 1:] != value[:, :-1]
+        again[here_s, s - low] = total[node] >= 2
+        value[here_s, s - low] = np.where(total[node] >= 2, first[node], 0)
+    edge = np.ones_like(again)
+    edge[:, 1:] = (value[:, 1:] != value[:, :-1]) | (again[:, 1:] != again[:, :-1])
     at = np.flatnonzero(edge.ravel())
     stop = np.append(at[1:], value.size) - 1
-    keep = value.ravel()[at] != LAST
+    keep = again.ravel()[at]
     at, stop = at[keep], stop[keep]
     row = at // value.shape[1]
     out = pdf[["kh", "ch"]].iloc[row].reset_index(drop=True)
@@ -218,12 +220,12 @@ def grow_heavy(contexts: DataFrame, spec: Spec) -> DataFrame:
     leaf = contexts.dropDuplicates(["kh", "ch"]).mapInPandas(run, "kh long, ch long, n long, d1 long, s int, h long, h2 long")
     key = ["kh", "s", "h", "h2"]
     seen = leaf.groupBy(*key).agg(F.sum("n").alias("total"), F.min("d1").alias("first")).where("total >= 2")
-    return leaf.join(seen, key).select("kh", "ch", F.col("s").alias("s_lo"), F.col("s").alias("s_hi"), F.least("first", F.lit(LAST - 1)).alias("first"))
+    return leaf.join(seen, key).select("kh", "ch", F.col("s").alias("s_lo"), F.col("s").alias("s_hi"), "first")
 
 
 def runs(stage: Stage, docs: DataFrame, found: DataFrame, spec: Spec, heavy: int) -> DataFrame:
     """found: entries (of groups with two occurrences or more) with m, the contexts in the group. The repeated offsets of each."""
-    same = found.where("m = 1").select("kh", "ch", F.expr("rep.p - rep.hi").alias("s_lo"), F.expr("rep.p - rep.lo").alias("s_hi"), F.least("d1", F.lit(LAST - 1)).alias("first"))
+    same = found.where("m = 1").select("kh", "ch", F.expr("rep.p - rep.hi").alias("s_lo"), F.expr("rep.p - rep.lo").alias("s_hi"), F.col("d1").alias("first"))
     contexts = stage.write(cut(docs, found.where("m > 1"), spec).join(found.where("m > 1").select("kh", "ch", "m"), ["kh", "ch"]))
     few = grow(contexts.where(F.col("m") <= heavy).drop("m"), spec)
     many = grow_heavy(contexts.where(F.col("m") > heavy).drop("m"), spec)

@@ -1,9 +1,14 @@
 """Cases in which an operator once did less than its whole job, each against brute force."""
 
+import hashlib
 import itertools
+import math
 import random
+from collections import Counter
 
-from parlance.llm import jaccard_join
+import pytest
+
+from parlance.llm import jaccard_join, suffix_tree
 from parlance.llm.common import Stage
 
 
@@ -38,3 +43,24 @@ def test_links_between_components_count_both_directions(spark):
     got = {r.d: r.component for r in jaccard_join.join(docs, Stage(spark, "t"), size=3, percent=90, rounds=1).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) == 60
+
+
+@pytest.mark.parametrize("heavy", [20_000, 0])
+def test_null_ids_precede_nothing(spark, heavy):
+    rng = random.Random(7)
+    make = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    twice, inside, passage = make(90), make(60), make(70)
+    rows = [(None, twice), (None, twice), (None, inside + make(20) + inside), (None, passage + make(15)), (None, make(25) + passage), (4, make(30) + passage), (9, passage + make(40)), (-3, make(80)), (None, make(70))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    order = lambda i: math.inf if i is None else i
+    first = {}
+    for i, w in rows:
+        for j in range(len(w) - 49):
+            first[tuple(w[j : j + 50])] = min(first.get(tuple(w[j : j + 50]), math.inf), order(i))
+    want = Counter()
+    for i, w in rows:
+        gone = {k for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < order(i) for k in range(j, j + 50)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), heavy=heavy)).drop("kept").collect()
+    assert Counter(map(tuple, got)) == want
+    assert sorted(k[2] for k in want.elements()) == [0] * 6 + [70] * 3

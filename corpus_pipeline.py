@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, mixing, pieces, suffix_array, toxicity
-from parlance.llm.common import Stage
+from parlance.llm.common import WORD, Stage
 from parlance.llm.repeats import LAST
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,14 +29,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of similar ones (five-word shingles, similarity 0.8 or more).
 
-    Rows that repeat a doc_id keep one row; documents without words stay.
+    Rows of one doc_id, or of none, are told apart by their texts; rows that repeat both keep one row. Documents without
+    words are similar to nothing, so all their rows stay.
     """
     stage = Stage(spark, "near")
     found = jaccard_join.join(docs, stage, size=5, percent=80)
-    first = stage.write(found.where(F.col("d") == F.col("component")).select("d").distinct())
-    own = docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(first, "d", "left_semi")
-    one = Window.partitionBy("d").orderBy("text", "source", "lang")
-    return own.withColumn("row", F.row_number().over(one)).where("row = 1").select(*COLUMNS)
+    first = stage.write(found.where("n_shingles > 0 AND d = component AND rk = component_rk").select("d", "rk").distinct())
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    own = docs.where(worded).withColumns({"d": F.coalesce("doc_id", F.lit(LAST)), "rk": F.xxhash64("doc_id", "text")}).join(first, ["d", "rk"], "left_semi")
+    one = Window.partitionBy("d", "rk").orderBy("source", "lang", "n_chars")
+    kept = own.withColumn("row", F.row_number().over(one)).where("row = 1").select(*COLUMNS)
+    return kept.unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def _alike(size: int, percent: int):
 
 
 def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 1) -> DataFrame:
-    """d, n_shingles, component: the smallest d reachable over pairs with 100 * shared >= percent * union."""
+    """d, rk, n_shingles, component, component_rk: the smallest (d, rk) reachable over pairs with 100 * shared >= percent * union."""
     spark = docs.sparkSession
     own = keyed(docs)
     both = stage.write(own.mapInPandas(_measure(size), "d long, rk long, key long, n long, slice int, counts binary"))
@@ -221,11 +221,11 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     # which of a pair is x differs from list to list; what they share is counted over both directions
     met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(*counted)
     add(verified(met.where(enough_shared).select("x", "y")))
-    member = nodes.select("key", F.col("rep.d").alias("d")).join(labels.toDF("key", "to"), "key", "left").select("key", "d", F.coalesce("to", "key").alias("comp"))
-    smallest = member.groupBy("comp").agg(F.min("d").alias("component"))
-    named = member.join(smallest, "comp").select("key", "component")
-    single = measured.where("n = 0").select("d", F.col("n").alias("n_shingles"), F.col("d").alias("component"))
-    return measured.where("n > 0").join(named, "key").select("d", F.col("n").alias("n_shingles"), "component").unionByName(single)
+    member = nodes.join(labels.toDF("key", "to"), "key", "left").select("key", "rep", F.coalesce("to", "key").alias("comp"))
+    smallest = member.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = member.join(smallest, "comp").select("key", F.col("least.d").alias("component"), F.col("least.rk").alias("component_rk"))
+    single = measured.where("n = 0").select("d", "rk", F.col("n").alias("n_shingles"), F.col("d").alias("component"), F.col("rk").alias("component_rk"))
+    return measured.where("n > 0").join(named, "key").select("d", "rk", F.col("n").alias("n_shingles"), "component", "component_rk").unionByName(single)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

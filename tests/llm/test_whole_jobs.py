@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from parlance.llm import jaccard_join, suffix_tree
 from parlance.llm.common import Stage
 
@@ -64,3 +65,21 @@ def test_null_ids_precede_nothing(spark, heavy):
     got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), heavy=heavy)).drop("kept").collect()
     assert Counter(map(tuple, got)) == want
     assert sorted(k[2] for k in want.elements()) == [0] * 6 + [70] * 3
+
+
+def test_near_duplicates_drop_linked_rows_only(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    texts = [" ".join(make(60)) for _ in range(6)]
+    copy = " ".join([*make(60)])
+    close = copy.rsplit(" ", 1)[0] + " other"
+    blank = [(None, None), (None, None), (None, ""), (None, " \n"), (6, ""), (6, "")]
+    unlinked = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, "two words")]
+    # of doc_id 5, one text is the near copy of document 2's, the other nobody's; null-id rows copy one another
+    linked = [(2, copy), (5, close), (None, copy), (5, texts[5]), (None, "same"), (None, "same"), (8, "two words")]
+    stay = [(2, copy), (5, texts[5]), (None, "same")]
+    rows = [(i, t, "en", "s1", len(t or "")) for i, t in blank + unlinked + linked]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(blank + unlinked + stay)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than ASCII white space; bytes.split() uses exactly this set.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that go to a Python worker at once; texts are long, and 10,000 of them take too much memory in each worker.
+ROWS = 1000
 U64 = np.uint64
 #: Multipliers of the 64-bit hashes (odd, arbitrary); the inverse undoes BASE modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -42,7 +44,8 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # frames are held, so that an id stays theirs
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
 
     def write(self, df: DataFrame) -> DataFrame:
         """df, cut from its lineage: survives the loss of any executor."""
@@ -50,17 +53,16 @@ class Stage:
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes written tables that nothing reads any more, and lets Spark free the shuffles behind them."""
+        """Deletes written tables that nothing reads any more."""
         jvm = self.spark._jvm
         for frame in frames:
-            if path := self.paths.pop(id(frame), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
+            if held := self.paths.pop(id(frame), None):
+                p = jvm.org.apache.hadoop.fs.Path(held[1])
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.free()
 
     def free(self) -> None:
         """Shuffle files go once the driver has collected the plans that own them."""
@@ -168,22 +170,26 @@ def components(stage: Stage, edges: DataFrame, a: str = "a", b: str = "b") -> Da
         hook = stage.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to")))
         moved = True
         while moved:  # hooks lead to smaller nodes only, so this ends; each turn follows up to eight of them
-            far = hook
+            far = hook.select("node", "to")
             for step in ("first", "second", "third"):
-                up = hook.toDF("to", step)
+                up = hook.select(F.col("node").alias("to"), F.col("to").alias(step))
                 far = far.join(up, "to", "left").withColumn("to", F.coalesce(step, "to"))
             jumped = stage.write(far.select("node", "to", (F.coalesce("second", "first") > F.col("to")).alias("moved")))
-            moved = not jumped.where("moved").isEmpty()
-            hook = jumped.select("node", "to")
+            stage.drop(hook)
+            hook = jumped
+            moved = not hook.where("moved").isEmpty()
+        ends = hook.select("node", "to")
+        old = labels
         if labels is None:
-            labels = hook
+            labels = stage.write(ends.toDF("node", "component"))
         else:
-            step = hook.select(F.col("node").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = stage.write(labels.toDF("node", "component"))
-        ha, hb = hook.toDF("a", "ta"), hook.toDF("b", "tb")
-        left = edges.join(ha, "a").join(hb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct()
-        edges = stage.write(left)
+            step = ends.toDF("component", "to")
+            labels = stage.write(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        ha, hb = ends.toDF("a", "ta"), ends.toDF("b", "tb")
+        left = stage.write(edges.join(ha, "a").join(hb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct())
+        stage.drop(edges, hook, *([old] if old is not None else []))
+        edges = left
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    stage.drop(edges)
     return labels

@@ -3,14 +3,19 @@
 A document's shingles are put in an order that has the rare first (by counts over all documents in a table of
 fixed size, then by hash; any total order is right, a rare-first one is fast). For a threshold t, sets x and y
 that link share l tokens of their prefixes of |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l tokens. A longer
-prefix costs more postings but asks for more shared tokens; each document takes the l in 1..4 whose estimated
-cost of postings and verifications is least, and a pair is a candidate when its prefixes share the smaller l and so many that, with all that may be shared behind them, the threshold can be met.
-
-Equal sets are one node. A posting list is never expanded into all its pairs: a first round links every node with
-one node of a list, and nodes that are in one component already need no more pairs among
-them; then all pairs between different components of a list that share enough tokens are verified. So the
-components are exact, and a list of near copies of one text costs about its length. Verification counts
-shingles (64-bit hashes) of both whole sets.
+prefix costs more postings but asks for more shared tokens; each document takes the l in 1..`most` whose estimated
+cost of postings and verifications is least, and a pair is a candidate when its prefixes share the smaller l and
+so many that, with all that may be shared behind them, the threshold can be met.
+
+Equal sets are one node. Only components are wanted, so a posting list is never expanded into all its pairs. First
+every node is verified against one hub of a list it is in, the member that has most of its prefix in common with
+others; nodes that are in one component already need no more pairs among them. Then every node outside its
+list's largest component is verified against its likeliest partner; then all pairs of different components that
+can still reach the threshold are. The last two rounds compare the nodes of a list by bitmaps of their sets: as
+many bits as differ are tokens in one set only, which bounds from above what two sets share (the bitmaps of two
+sizes meet at the smaller). A pair is left out only where that bound, sizes or places show that it can't
+link, so the components are exact. Lists of more than `block` nodes are compared in pairs of blocks, each a group
+of its own. Verification counts shingles (64-bit hashes) of both whole sets.
 
 Cases: without words or text a set is empty and linked with nothing, its component being its own doc_id. One
 or two words are one shingle. Null doc_ids count as after all others (component_id null if no other is in it).
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Stage, Words, blocks, components, encoded, mix
@@ -79,7 +84,7 @@ def _measure(size: int):
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "lot": [0], "counts": [total.tobytes()]})
 
 
 FLOOR = 4  # the fewest shared tokens asked of sets that have so many
@@ -126,12 +131,136 @@ def _keys(s: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(sums[end] - sums[end - n] + n.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def bitmaps(s: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Of each set, the parity of its tokens by their hash, in a power of two of bits, twice the tokens or more."""
+    n = np.diff(end, prepend=0)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    first = np.cumsum(bits) - bits
+    at = np.repeat(first, n) + (mix(s ^ U64(0x8EBC6AF09C88C6E3)).view(np.int64) & np.repeat(bits - 1, n))
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[i // 8 : (i + k) // 8] for i, k in zip(first.tolist(), bits.tolist(), strict=True)]
+
+
+LEAST_BITS, MOST_BITS = 512, 1 << 15
+
+
+def _packed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3)
-    for pdf in blocks(batches, "text", 2_000_000):
-        yield pd.DataFrame({"key": pdf["key"].to_numpy(), "packed": [pack.compress(t) for t in encoded(pdf["text"])]})
+    for pdf in blocks(batches, "text", 1_500_000):
+        texts = encoded(pdf["text"])
+        yield pd.DataFrame({"key": pdf["key"].to_numpy(), "packed": [pack.compress(t) for t in texts], "bits": bitmaps(*shingle_sets(texts, size))})
+
+
+class Bitmaps:
+    """Bitmaps of several sizes, folded on demand: half as many bits are the parity of both halves."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.kept: dict[int, np.ndarray] = {}
+        self.raw = raw
+
+    def at(self, size: int) -> np.ndarray:
+        """All bitmaps of `size` bytes or more, folded to that; rows of smaller ones stay zero."""
+        if size not in self.kept:
+            out = np.zeros((len(self.raw), size // 8), U64)
+            for own in np.unique(self.size[self.size >= size]):
+                rows = np.flatnonzero(self.size == own)
+                x = np.frombuffer(b"".join([self.raw[i] for i in rows]), "<u8").reshape(len(rows), own // size, size // 8)
+                out[rows] = np.bitwise_xor.reduce(x, axis=1)
+            self.kept[size] = out
+        return self.kept[size]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The least number of tokens that are in one of two sets only."""
+        out = np.empty(len(i), np.int64)
+        small = np.minimum(self.size[i], self.size[j])
+        for size in np.unique(small):
+            x, pairs = self.at(int(size)), np.flatnonzero(small == size)
+            step = max(1, 4_000_000 // int(size))
+            for a in range(0, len(pairs), step):
+                k = pairs[a : a + step]
+                out[k] = np.bitwise_count(x[i[k]] ^ x[j[k]]).sum(axis=1)
+        return out
+
+
+def met_in(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of different components in whole (tok, slot) groups of sorted rows that can link: positions i, j, least number of differing tokens."""
+    tok, slot = pdf["tok"].to_numpy(), pdf["slot"].to_numpy()
+    n, at, can, rest, comp, key = (pdf[c].to_numpy(np.int64) for c in ("n", "at", "can", "rest", "comp", "key"))
+    turn = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (slot[1:] != slot[:-1]))))
+    stop = np.append(turn[1:], len(tok))
+    group = np.repeat(np.arange(len(turn)), stop - turn)
+    left, right = np.flatnonzero(pdf["x"].to_numpy(bool)), np.flatnonzero(pdf["y"].to_numpy(bool))
+    first = np.searchsorted(group[right], np.arange(len(turn)))
+    many = np.bincount(group[right], minlength=len(turn))[group[left]]
+    maps = Bitmaps(list(pdf["bits"]))
+    minor = comp != pdf["major"].to_numpy(np.int64)
+    found = []
+    ends = np.cumsum(many)
+    s = 0
+    while s < len(left):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 1_000_000, "right")))
+        i = np.repeat(left[s:e], many[s:e])
+        back = ends[s:e] - many[s:e]
+        j = right[np.repeat(first[group[left[s:e]]], many[s:e]) + np.arange(len(i)) - np.repeat(back - back[0], many[s:e])]
+        ok = (comp[i] != comp[j]) & (~minor[j] | (key[i] < key[j]))
+        i, j = i[ok], j[ok]
+        behind = np.maximum(rest[i], rest[j])
+        sizes = n[i] + n[j]
+        most = np.minimum(np.minimum(n[i], n[j]), np.minimum(can[i], can[j]) + behind)
+        most = np.minimum(most, np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]))
+        ok = most * (100 + percent) >= sizes * percent
+        i, j = i[ok], j[ok]
+        apart = maps.differ(i, j)
+        sizes = n[i] + n[j]
+        ok = (sizes - apart) * (100 + percent) >= 2 * sizes * percent
+        found.append((i[ok], j[ok], apart[ok]))
+        s = e
+    i, j, apart = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
+    return pd.DataFrame({"i": i, "j": j, "apart": apart})
+
+
+def _meet(percent: int, only_best: bool, rows: int = 20_000):
+    """Whole groups to pairs x, y: of each x in a group its likeliest partner, or all that can link with what the counts need."""
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = met_in(pdf, percent)
+        key, n, need, rest = (pdf[c].to_numpy(np.int64) for c in ("key", "n", "need", "rest"))
+        i, j = met["i"].to_numpy(np.int64), met["j"].to_numpy(np.int64)
+        sizes, near = n[i] + n[j], met["apart"].to_numpy(float)
+        near = near / np.maximum(sizes, 1)
+        if only_best:
+            order = np.lexsort((key[j], near, i))
+            i, j, near, sizes = i[order], j[order], near[order], sizes[order]
+            best = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, np.int64)
+            i, j, near, sizes = i[best], j[best], near[best], sizes[best]
+        return pd.DataFrame({"x": key[i], "y": key[j], "least": np.minimum(need[i], need[j]), "sizes": sizes, "behind": np.maximum(rest[i], rest[j]), "near": near})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size < rows:
+                continue
+            all_ = pd.concat(held)
+            tok, slot = all_["tok"].to_numpy(), all_["slot"].to_numpy()
+            turns = np.flatnonzero((tok[1:] != tok[:-1]) | (slot[1:] != slot[:-1])) + 1
+            if len(turns):  # the last group may go on
+                yield pairs(all_.iloc[: turns[-1]])
+                all_ = all_.iloc[turns[-1] :]
+            held, size = [all_], len(all_)
+        if size:
+            yield pairs(pd.concat(held))
+
+    return run
+
+
+PAIRS = "x long, y long, least long, sizes long, behind long, near double"
 
 
 def _alike(size: int, percent: int):
@@ -153,29 +282,37 @@ def _alike(size: int, percent: int):
     return run
 
 
-def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 1) -> DataFrame:
-    """d, rk, n_shingles, component, component_rk: the smallest (d, rk) reachable over pairs with 100 * shared >= percent * union."""
+def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most: int = 12, rounds: int = 1, block: int = 4096) -> DataFrame:
+    """d, rk, n_shingles, component, component_rk: the smallest (d, rk) reachable over pairs with 100 * shared >= percent * union.
+
+    rounds: how often nodes are verified against hubs and likeliest partners before all pairs that are left.
+    """
     spark = docs.sparkSession
     own = keyed(docs)
     both = stage.write(own.mapInPandas(_measure(size), "d long, rk long, key long, n long, slice int, counts binary"))
     measured = both.where("slice < 0").drop("slice", "counts")
-    tally = both.where("slice >= 0").groupBy("slice").applyInPandas(_add, "slice int, counts binary").orderBy("slice").collect()
+    # tasks' counts are added in lots first, so that no group grows with the number of tasks
+    lots = both.where("slice >= 0").select("slice", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("lot"), "counts")
+    tally = lots.groupBy("slice", "lot").applyInPandas(_add, "slice int, lot long, counts binary").groupBy("slice").applyInPandas(_add, "slice int, lot long, counts binary")
+    tally = tally.orderBy("slice").collect()
     counts = np.concatenate([np.frombuffer(r.counts, "<i8") for r in tally]) if tally else np.zeros(1 << BITS, np.int64)
     sent = spark.sparkContext.broadcast((counts, max(1, measured.count())))  # 2 MB
     nodes = measured.where("n > 0").groupBy("key").agg(F.min(F.struct("d", "rk")).alias("rep"))
-    posted = stage.write(own.mapInPandas(_postings(size, percent, most, sent), "tok long, key long, n int, need byte, at int, rest int").distinct())
-    lists = posted.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    common = posted.join(lists, "tok")
-    enough = common.groupBy("key").agg(F.count("*").alias("can"), F.min("need").alias("least")).where(F.col("can") >= F.least("least", F.lit(FLOOR))).select("key", "can")
+    posted = own.mapInPandas(_postings(size, percent, most, sent), "tok long, key long, n int, need byte, at int, rest int")
+    # dealt once by token: equal sets post alike, and their lists are counted where they lie
+    posted = posted.repartition("tok").distinct().withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1")
+    common = stage.write(posted)
+    stage.free()
+    enough = common.groupBy("key").agg(F.count("*").alias("can"), F.min("need").alias("least")).where(F.col("can") >= F.least("least", F.lit(FLOOR))).select("key", F.col("can").cast("int").alias("can"))
     p = stage.write(common.join(enough, "key"))
-    stage.drop(posted)
+    stage.drop(common)
     wanted = p.select("key").distinct().join(nodes, "key").select("key", "rep.*")
-    texts = own.join(wanted.hint("shuffle_hash"), ["d", "rk"]).select("key", "text").mapInPandas(_packed, "key long, packed binary")
+    texts = own.join(wanted.hint("shuffle_hash"), ["d", "rk"]).select("key", "text").mapInPandas(lambda it: _packed(it, size), "key long, packed binary, bits binary")
     texts = stage.write(texts)
     stage.free()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = texts.toDF("x", "ix"), texts.toDF("y", "iy")
+        x, y = texts.select(F.col("key").alias("x"), F.col("packed").alias("ix")), texts.select(F.col("key").alias("y"), F.col("packed").alias("iy"))
         full = pairs.join(x, "x").join(y, "y").where(F.pandas_udf(_alike(size, percent), "boolean")("ix", "iy"))
         return stage.write(full.select("x", "y").distinct())
 
@@ -186,12 +323,15 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     def placed() -> DataFrame:
         if labels is None:
             return p.withColumn("comp", F.col("key"))
-        return p.join(labels.toDF("key", "to"), "key", "left").select("tok", "key", *about, F.coalesce("to", "key").alias("comp"))
+        return p.join(labels.toDF("key", "to"), "key", "left").select("tok", "key", *about, "c", F.coalesce("to", "key").alias("comp"))
 
     def add(new: DataFrame) -> None:
         nonlocal links, labels
+        old = labels
         links = new if links is None else links.unionByName(new)
         labels = components(stage, links, "x", "y")
+        if old is not None:
+            stage.drop(old)
 
     def reach(overlap, sizes=F.col("n") + F.col("yn")) -> Column:
         """Whether sets of these sizes, added up, can link if they share so many."""
@@ -204,23 +344,44 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
     counted = (F.count("*").alias("c"), F.min(F.least("need", "yneed")).alias("least"), F.first(F.col("n") + F.col("yn")).alias("sizes"), F.max(behind).alias("behind"))
     enough_shared = (F.col("c") >= F.col("least")) & reach(F.col("c") + F.col("behind"), F.col("sizes"))
 
-    for turn in range(rounds):
-        at = placed()
-        one = at.groupBy("tok").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", *about, "comp")).alias("y")).select("tok", "y.*")
+    def hubs(turn: int) -> None:
+        """Every node against the hub of one of its lists."""
+        here = placed()
+        lonely = F.col("n") - F.col("rest") - F.col("can")  # prefix tokens shared with no other
+        one = here.groupBy("tok").agg(F.min(F.struct(lonely.alias("lonely"), F.xxhash64("key", F.lit(turn)).alias("h"), "key", *about, "comp")).alias("y")).select("tok", "y.*")
         one = one.select("tok", F.col("key").alias("y"), *theirs, F.col("comp").alias("ycomp"))
-        met = at.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(*counted)
+        met = here.join(one, "tok").where("comp <> ycomp").where(near).groupBy(F.col("key").alias("x"), "y").agg(*counted)
         best = met.where(enough_shared).groupBy("x").agg(F.max(F.struct("c", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
         add(verified(best))
         stage.free()
-    at = stage.write(placed())
-    per = at.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m"))
-    major = per.where("k > 1").select("tok", F.col("m.comp").alias("major"))
-    open_ = stage.write(at.join(major, "tok"))
-    x = open_.where("comp <> major").select("tok", F.col("key").alias("x"), *about, "comp")
-    y = open_.select("tok", F.col("key").alias("y"), *theirs, F.col("comp").alias("ycomp"), "major")
+
+    at = None
+
+    def lists() -> DataFrame:
+        """The lists of several components, in groups (tok, slot): x marks nodes outside the largest, y all; x meets y."""
+        nonlocal at
+        at = stage.write(placed())
+        per = at.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("many"), F.max(F.struct("k", "comp")).alias("m"))
+        open_ = at.join(per.where("many > 1").select("tok", F.col("m.comp").alias("major")), "tok").join(texts.select("key", "bits"), "key")
+        open_ = open_.withColumn("slots", F.ceil(F.col("c") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slots")).cast("int"))
+        minor = F.col("comp") != F.col("major")
+        every = F.sequence(F.lit(0), F.col("slots") - 1)
+        as_y, as_x = F.transform(every, lambda k: F.col("own") * F.col("slots") + k), F.transform(every, lambda k: k * F.col("slots") + F.col("own"))
+        out = open_.withColumn("slot", F.explode(F.when(minor, F.array_union(as_x, as_y)).otherwise(as_y)))
+        out = out.withColumns({"x": minor & (F.pmod("slot", "slots") == F.col("own")), "y": F.floor(F.col("slot") / F.col("slots")) == F.col("own")}).drop("slots", "own", "c")
+        return out.repartition("tok", "slot").sortWithinPartitions("tok", "slot")
+
+    for turn in range(rounds):
+        hubs(turn)
+        likely = lists().mapInPandas(_meet(percent, only_best=True), PAIRS)
+        add(verified(likely.groupBy("x").agg(F.min(F.struct("near", "y")).alias("m")).select("x", F.col("m.y").alias("y"))))
+        stage.drop(at)
+        stage.free()
+    left = lists().mapInPandas(_meet(percent, only_best=False), PAIRS)
     # which of a pair is x differs from list to list; what they share is counted over both directions
-    met = x.join(y, "tok").where("comp <> ycomp AND (ycomp = major OR x < y)").where(near).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(*counted)
-    add(verified(met.where(enough_shared).select("x", "y")))
+    left = left.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.first("sizes").alias("sizes"), F.max("behind").alias("behind"))
+    add(verified(left.where(enough_shared).select("x", "y")))
+    stage.drop(texts, p, at)
     member = nodes.join(labels.toDF("key", "to"), "key", "left").select("key", "rep", F.coalesce("to", "key").alias("comp"))
     smallest = member.groupBy("comp").agg(F.min("rep").alias("least"))
     named = member.join(smallest, "comp").select("key", F.col("least.d").alias("component"), F.col("least.rk").alias("component_rk"))

@@ -127,8 +127,8 @@ def groups_of(items, linked):
     return [None if best[find(i)] == math.inf else best[find(i)] for i in range(len(items))]
 
 
-@pytest.mark.parametrize(("size", "percent", "rounds"), [(3, 90, 2), (5, 80, 0)])
-def test_jaccard_join(spark, docs, rows, size, percent, rounds):
+@pytest.mark.parametrize(("size", "percent", "rounds", "block"), [(3, 90, 1, 3), (5, 80, 0, 4096)])
+def test_jaccard_join(spark, docs, rows, size, percent, rounds, block):
     def shingles(text):
         w = raw(text).lower().split()
         return {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
@@ -137,13 +137,23 @@ def test_jaccard_join(spark, docs, rows, size, percent, rounds):
     groups = groups_of(items, lambda a, b: bool(a[1] and b[1]) and 100 * len(a[1] & b[1]) >= percent * len(a[1] | b[1]))
     want = bag((k, len(s), g) for (k, s), g in zip(items, groups, strict=True))
     null = repeats.LAST
-    if rounds == 0:
-        rounds = 1
-    found = jaccard_join.join(docs, Stage(spark, "t"), size=size, percent=percent, rounds=rounds).collect()
+    found = jaccard_join.join(docs, Stage(spark, "t"), size=size, percent=percent, rounds=rounds, block=block).collect()
     assert bag((None if r.d == null else r.d, r.n_shingles, None if r.component == null else r.component) for r in found) == want
     assert len(set(groups)) < len(rows) - 5
 
 
+def test_bitmaps_bound_what_two_sets_share():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(U64)) for n in (3, 200, 200, 5000)]
+    sets += [np.unique(np.concatenate((sets[3][:4900], sets[1])))]
+    end = np.cumsum([len(x) for x in sets])
+    maps = jaccard_join.Bitmaps(jaccard_join.bitmaps(np.concatenate(sets), end))
+    i, j = np.triu_indices(len(sets), 1)
+    true = [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    found = maps.differ(i, j)
+    assert (found <= true).all() and (found[-1] > 0.9 * true[-1]) and (maps.differ(i, i) == 0).all()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 1), (3, 4), (4, 3), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(Stage(spark, "t"), edges).collect()}

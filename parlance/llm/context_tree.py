@@ -6,10 +6,13 @@ training texts, and the estimates of all depths are mixed by the weights of the
 half its own evidence against half its children's. A context that training never met leaves the decision to the
 next shorter one. The sum of the logarithms is the text's log10 probability, and, over log10(2), its code length.
 
-Nothing is broadcast but the nodes of contexts of at most one byte (257 * 255 at most). A task's texts form blocks;
-a block asks for the 6-byte strings and words in it, with the counts it adds to training. One aggregate sums them
-over the corpus; the tree is built in parts that share the last two bytes of context; a join brings each block the
-figures it asked for. All of this grows with the corpus and is spread over it. Words and blocks meet by 64-bit hash.
+The score is that of the text so written, not of its own white space.
+
+A task's texts form blocks. A block asks for the 6-byte strings and words in it, with the counts it adds to
+training: one row for each part of the keys, sorted and packed, so that a key takes a few bytes. A part has all strings
+of the three-byte contexts dealt to it by hash, sums what the blocks bring, builds the tree from depth 3 down,
+and answers each block's row with a row. The number of parts follows the size of the corpus. Only the nodes of
+two bytes of context and fewer are broadcast: at most 65,536 * 255 of them, in practice a hundredth of that.
 
 Cases: null texts count as empty: one end token. A null doc_id is a training row. Repeated rows count each time. With
 no training row every context is unseen and every decision has probability 1/2. An empty table gives no rows; extra
@@ -26,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Stage, Words, blocks, encoded
+from .common import U64, Stage, Words, blocks, encoded, mix
 from .repeats import LAST
 
 DEPTH = 5
 END = np.int64(-1)  # the end token's key
 BLOCK = 16_000_000
+TOP = 3  # strings that share so many bytes of context are in one part
+SLAB = 100_000  # different strings whose decisions are held at once
 #: Strings have keys of 48 bits; words have negative ones, so that one column tells both apart.
 WORD_BIT = U64(1 << 63)
 #: Where a 6-byte string's parts lie in its key: the last context byte first, the byte itself last.
@@ -83,41 +88,105 @@ class _Tally:
         return found, np.bincount(at, times, len(found))
 
 
-ASKED = "block long, key long, times long, ids binary, held binary, texts binary"
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte in planes: small numbers leave most planes empty."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def unpacked(raw: bytes) -> np.ndarray:
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3)
-    part, number, size = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, 0
-    tallies: list[_Tally] = []
+    x = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(x.T).view("<u8").ravel()
+
+
+def sorted_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=U64).view(np.int64)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Strings by the three bytes before the last, parts 0 .. parts - 1; words by their hash, behind those."""
+    k = keys.view(U64)
+    words = U64(max(1, parts // 8))
+    return np.where(keys < 0, U64(parts) + mix(k) % words, mix((k >> _SHIFTS[TOP - 1]) + U64(1)) % U64(parts)).astype(np.int64)
+
+
+ASKED = "block long, part int, keys binary, times binary, ids binary, held binary, texts binary"
+
 
-    def close() -> Iterator[pd.DataFrame]:
+def _ask(parts: int):
+    def rows(block: int, tally: _Tally) -> Iterator[pd.DataFrame]:
+        if not tally.parts:
+            return
+        keys, times = tally.merged()
+        part = part_of(keys, parts)
+        order = np.lexsort((keys.view(U64), part))
+        keys, times, part = keys[order], times[order].astype(np.int64), part[order]
+        cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for s in range(0, len(cut) + 1, 256):
+            own = [(part[k[0]], packed(np.diff(keys[k].view(U64), prepend=U64(0))), packed(times[k])) for k in np.split(np.arange(len(keys)), cut)[s : s + 256]]
+            yield pd.DataFrame(own, columns=["part", "keys", "times"]).assign(block=block, ids=None, held=None, texts=None)[[x.split()[0] for x in ASKED.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        task, number, size = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, 0
+        tallies = _Tally(), _Tally()
+        for pdf in blocks(batches, "text", 1_500_000):
+            texts, held = canonical(encoded(pdf["text"])), pdf["held"].to_numpy(bool)
+            keys, begin = grams(texts)
+            learn = (~held).astype(float)
+            lengths = np.diff(begin, append=len(keys))
+            tallies[0].add(keys, np.repeat(learn, lengths))
+            words, count = words_of(texts)
+            tallies[1].add(np.append(words, np.full(len(texts), END)), np.append(np.repeat(learn, count), learn))
+            raw = b"".join(texts)
+            ids = np.stack([pdf["d"].to_numpy(np.int64), lengths]).tobytes()
+            block = (task << 24) | number
+            yield pd.DataFrame({"block": [block], "part": -1, "keys": None, "times": None, "ids": [ids], "held": [held.tobytes()], "texts": [pack.compress(raw)]})
+            size += len(raw)
+            if size > BLOCK:
+                for t in tallies:
+                    yield from rows(block, t)
+                tallies, number, size = (_Tally(), _Tally()), number + 1, 0
         for t in tallies:
-            if t.parts:
-                keys, times = t.merged()
-                for s in range(0, len(keys), 200_000):
-                    yield pd.DataFrame({"block": (part << 24) | number, "key": keys[s : s + 200_000], "times": times[s : s + 200_000].astype(np.int64), "ids": None, "held": None, "texts": None})
-
-    for pdf in blocks(batches, "text", 1_500_000):
-        if not tallies:
-            tallies = [_Tally(), _Tally()]
-        texts, held = canonical(encoded(pdf["text"])), pdf["held"].to_numpy(bool)
-        keys, begin = grams(texts)
-        learn = (~held).astype(float)
-        lengths = np.diff(begin, append=len(keys))
-        tallies[0].add(keys, np.repeat(learn, lengths))
-        words, count = words_of(texts)
-        tallies[1].add(np.append(words, np.full(len(texts), END)), np.append(np.repeat(learn, count), learn))
-        raw = b"".join(texts)
-        ids = np.stack([pdf["d"].to_numpy(np.int64), lengths]).tobytes()
-        yield pd.DataFrame({"block": [(part << 24) | number], "key": 0, "times": -1, "ids": [ids], "held": [held.tobytes()], "texts": [pack.compress(raw)]})
-        size += len(raw)
-        if size > BLOCK:
-            yield from close()
-            tallies, number, size = [], number + 1, 0
-    yield from close()
+            yield from rows((task << 24) | number, t)
+
+    return run
+
+
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a part, in order, with their times over all blocks."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        found, at = np.unique(keys, return_inverse=True)
+        return found, np.bincount(at, times, len(found))
+
+    for k, t in zip(pdf["keys"], pdf["times"], strict=True):
+        held.append((sorted_keys(k), unpacked(t).astype(float)))
+        size += len(held[-1][0])
+        if size > 1_000_000 and len(held) > 1:
+            held = [merged()]
+            size = 0
+    return merged()
+
+
+def _slabs(keys: np.ndarray) -> Iterator[slice]:
+    """Runs of whole three-byte contexts of sorted strings."""
+    context = keys >> np.int64(_SHIFTS[TOP - 1])
+    edge = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(keys))
+    start = 0
+    while start < len(keys):
+        k = int(np.searchsorted(edge, start + SLAB, "right"))
+        stop = int(edge[k - 1]) if k and edge[k - 1] > start else int(edge[k])
+        yield slice(start, stop)
+        start = stop
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -155,7 +224,7 @@ def _up(node: np.ndarray) -> np.ndarray:
 class Tree:
     """The nodes of depth `top` and more for some strings: all strings that share the contexts of depth `top`."""
 
-    def __init__(self, keys: np.ndarray, times: np.ndarray, top: int = 2):
+    def __init__(self, keys: np.ndarray, times: np.ndarray, top: int = TOP):
         self.top = top
         keys = keys.view(U64)
         self.path, self.bit = _decisions(keys)
@@ -189,72 +258,98 @@ class Tree:
         return mixed, seen
 
 
-def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What the nodes at depth 2 pass up: per last byte and decision, counts and evidence."""
-    t = Tree(pdf["key"].to_numpy(), pdf["times"].to_numpy())
-    up, to = np.unique(_up(t.node), return_inverse=True)
-    n = t.n[t.top]
-    return pd.DataFrame({"node": up.view(np.int64), "n0": np.bincount(to, n[:, 0], len(up)), "n1": np.bincount(to, n[:, 1], len(up)), "logs": np.bincount(to, t.logs, len(up))})
-
-
-def _crown(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The nodes of depth 1 and 0, as arrays by (last byte, decision) and decision."""
-    out = {"n1": np.zeros((1 << 16, 2)), "w1": np.ones(1 << 16), "n0": np.zeros((256, 2)), "w0": np.ones(256)}
-    at = rows["node"].to_numpy()
-    n = rows[["n0", "n1"]].to_numpy(float)
-    if len(at):
-        share, logs = _share(n, rows["logs"].to_numpy())
-        out["n1"][at], out["w1"][at] = n, share
-        below = np.bincount(at & 255, logs, 256)
-        np.add.at(out["n0"], at & 255, n)
-        has = np.unique(at & 255)
-        out["w0"][has] = _share(out["n0"][has], below[has])[0]
+def _roots(parts: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What the nodes at depth TOP pass up, per node above and decision: counts and evidence. Words: their total and number."""
+        keys, times = _summed(pdf)
+        if pdf["part"].iloc[0] >= parts:
+            return pd.DataFrame({"node": [-1], "n0": [times.sum()], "n1": [float((times > 0).sum())], "logs": [0.0]})
+        out = []
+        for s in _slabs(keys):
+            t = Tree(keys[s], times[s])
+            up, to = np.unique(_up(t.node), return_inverse=True)
+            n = t.n[t.top]
+            out.append(pd.DataFrame({"node": up.view(np.int64), "n0": np.bincount(to, n[:, 0], len(up)), "n1": np.bincount(to, n[:, 1], len(up)), "logs": np.bincount(to, t.logs, len(up))}))
+        return pd.concat(out).groupby("node", as_index=False).sum()
+
+    return run
+
+
+def _crown(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, counts, share) of the depths TOP - 1 to 0, from what the depth below passes up."""
+    node, n, logs = rows["node"].to_numpy(np.int64).view(U64), rows[["n0", "n1"]].to_numpy(float), rows["logs"].to_numpy(float)
+    out = []
+    for _ in range(TOP):
+        share, both = _share(n, logs) if len(n) else (np.zeros(0), np.zeros(0))
+        out.append((node, n, share))
+        up, to = np.unique(_up(node), return_inverse=True)
+        n = np.stack([np.bincount(to, n[:, b], len(up)) for b in (0, 1)], axis=1)
+        node, logs = up, np.bincount(to, both, len(up))
     return out
 
 
-def _leaves(sent):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """key, value: natural logarithm of the byte's probability in its context."""
-        crown = sent.value
-        keys = pdf["key"].to_numpy()
-        t = Tree(keys, pdf["times"].to_numpy())
+def _values(keys: np.ndarray, times: np.ndarray, crown: list) -> np.ndarray:
+    """Natural logarithm of each string's last byte in its context."""
+    out = np.empty(len(keys))
+    for s in _slabs(keys):
+        t = Tree(keys[s], times[s])
         mixed, seen = t.predict()
-        last = (keys.view(U64) >> _SHIFTS[0]).astype(np.int64)
-        for n, w, at in ((crown["n1"], crown["w1"], last[:, None] << 8 | t.path), (crown["n0"], crown["w0"], t.path)):
-            count = n[at]
-            total = count.sum(axis=2)
-            own = (np.take_along_axis(count, t.bit[:, :, None], 2)[:, :, 0] + 0.5) / (total + 1)
-            mixed = np.where(seen, w[at] * own + (1 - w[at]) * mixed, own)
+        for d, (node, count, share) in zip(range(TOP - 1, -1, -1), crown, strict=True):
+            context = keys[s].view(U64) >> U64(8 * (DEPTH + 1 - d)) if d else np.zeros(len(mixed), U64)
+            at = np.searchsorted(node, (context << EIGHT)[:, None] | t.path.astype(U64))
+            n = count[at]
+            total = n.sum(axis=2)
+            own = (np.take_along_axis(n, t.bit[:, :, None], 2)[:, :, 0] + 0.5) / (total + 1)
+            mixed = np.where(seen, share[at] * own + (1 - share[at]) * mixed, own)
             seen = total > 0
-        return pd.DataFrame({"key": keys, "value": np.log(mixed).sum(axis=1)})
+        out[s] = np.log(mixed).sum(axis=1)
+    return out
+
+
+FIGURES = "block long, part int, keys binary, figures binary"
+
+
+def _answers(parts: int, sent):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The blocks' own keys with their figures: strings' logarithms (32 bits), words' times in training."""
+        keys, times = _summed(pdf)
+        word = pdf["part"].iloc[0] >= parts
+        value = times if word else _values(keys, times, sent.value)
+        figures = [value[np.searchsorted(keys, sorted_keys(k))].astype("<f8" if word else "<f4").tobytes() for k in pdf["keys"]]
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": pdf["part"].to_numpy(), "keys": pdf["keys"].array, "figures": figures})
 
     return run
 
 
-def _answer(sent):
+def _score(parts: int, sent):
     def run(texts: pd.DataFrame, figures: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
         total, different = sent.value
         unpack = zstandard.ZstdDecompressor()
-        order = np.argsort(figures["key"].to_numpy(), kind="stable")
-        known, value = figures["key"].to_numpy()[order], figures["value"].to_numpy()[order].astype(np.float64)
-
-        def look(keys: np.ndarray) -> np.ndarray:
+        tables = []
+        for word in (False, True):
+            own = figures[(figures["part"] >= parts) == word]
+            known = np.concatenate([sorted_keys(k) for k in own["keys"]] or [np.zeros(0, np.int64)])
+            value = np.concatenate([np.frombuffer(f, "<f8" if word else "<f4") for f in own["figures"]] or [np.zeros(0)])
+            order = np.argsort(known, kind="stable")
+            tables.append((known[order], value[order]))
+
+        def look(keys: np.ndarray, table) -> np.ndarray:
             at, found = pd.factorize(keys)
-            return value[np.searchsorted(known, found)][at]
+            return table[1][np.searchsorted(table[0], found)].astype(float)[at]
 
         out = []
-        for ids, held, packed in zip(texts["ids"], texts["held"], texts["texts"], strict=True):
+        for ids, held, raw in zip(texts["ids"], texts["held"], texts["texts"], strict=True):
             d, lengths = np.frombuffer(ids, np.int64).reshape(2, -1)
-            raw = unpack.decompress(packed)
+            raw = unpack.decompress(raw)
             end = np.cumsum(lengths)
-            parts = [raw[a:b] for a, b in zip(end - lengths, end, strict=True)]
-            keys, begin = grams(parts)
-            score = np.add.reduceat(look(keys), begin) / np.log(10)
-            words, count = words_of(parts)
+            own = [raw[a:b] for a, b in zip(end - lengths, end, strict=True)]
+            keys, begin = grams(own)
+            score = np.add.reduceat(look(keys, tables[0]), begin) / np.log(10)
+            words, count = words_of(own)
             doc = np.append(np.repeat(np.arange(len(d)), count), np.arange(len(d)))
-            c = look(np.append(words, np.full(len(d), END)))
+            c = look(np.append(words, np.full(len(d), END)), tables[1])
             base = np.bincount(doc, np.log10((c + 1) / (total + different + 1)), len(d))
             out.append(pd.DataFrame({"d": d, "held_out": np.frombuffer(held, bool), "n_tokens": count + 1, "n_known": np.bincount(doc, c > 0, len(d)).astype(np.int64), "train_tokens": np.int64(total), "base_score": base, "score": score, "n_bytes": lengths}))
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in SCORED.split(", ")])
@@ -265,27 +360,27 @@ def _answer(sent):
 SCORED = "d long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def score(docs: DataFrame, held_out, stage: Stage, parts: int = 256) -> DataFrame:
-    """docs (doc_id, text) and a boolean column for rows that are not learned, to SCORED with doc_id for d."""
+def score(docs: DataFrame, held_out, stage: Stage, parts: int = 0) -> DataFrame:
+    """docs (doc_id, text) and a boolean column for rows that are not learned, to SCORED with doc_id for d.
+
+    parts: into how many the strings are dealt; 0: four for each block of the corpus.
+    """
     spark = docs.sparkSession
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), F.coalesce(held_out, F.lit(False)).alias("held"), docs["text"].alias("text"))
-    asked = stage.write(own.mapInPandas(_ask, ASKED))
-    figures = asked.where("times >= 0").select("block", "key", "times")
-    sums = stage.write(figures.groupBy("key").agg(F.sum("times").alias("times")))
+    if not parts:
+        parts = max(64, 4 * -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
+    asked = stage.write(own.mapInPandas(_ask(parts), ASKED))
+    figures = asked.where("part >= 0").select("block", "part", "keys", "times")
+    roots = figures.groupBy("part").applyInPandas(_roots(parts), "node long, n0 double, n1 double, logs double")
+    crown = roots.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logs").alias("logs")).orderBy("node").toPandas()
+    words = crown[crown["node"] < 0]
+    sent = spark.sparkContext.broadcast(_crown(crown[crown["node"] >= 0]))
+    stage.free()
+    answers = stage.write(figures.groupBy("part").applyInPandas(_answers(parts, sent), FIGURES))
     stage.free()
-    words = sums.where("key < 0")
-    total, different = words.agg(F.sum("times"), F.count_if(F.col("times") > 0)).first()
-    strings = sums.where("key >= 0").select("key", "times", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), F.lit(parts)).alias("part"))
-    roots = strings.groupBy("part").applyInPandas(_roots, "node long, n0 double, n1 double, logs double")
-    crown = roots.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logs").alias("logs")).orderBy("node").toPandas()  # 256 * 255 rows at most
-    sent = spark.sparkContext.broadcast(_crown(crown))
-    leaves = strings.groupBy("part").applyInPandas(_leaves(sent), "key long, value double")
-    values = stage.write(leaves.unionByName(words.select("key", F.col("times").cast("double").alias("value"))))
-    stage.drop(sums)
-    got = figures.select("block", "key").join(values, "key").select("block", "key", "value")
-    texts = asked.where("times < 0").select(F.col("block").alias("own"), "ids", "held", "texts")
-    sizes = spark.sparkContext.broadcast((int(total or 0), int(different or 0)))
-    out = texts.groupBy("own").cogroup(got.groupBy("block")).applyInPandas(_answer(sizes), SCORED)
+    texts = asked.where("part < 0").select(F.col("block").alias("own"), "ids", "held", "texts")
+    sizes = spark.sparkContext.broadcast((int(words["n0"].sum()), int(words["n1"].sum())))
+    out = texts.groupBy("own").cogroup(answers.groupBy("block")).applyInPandas(_score(parts, sizes), SCORED)
     return out.withColumn("d", F.nullif("d", F.lit(LAST))).withColumnRenamed("d", "doc_id")
 
 

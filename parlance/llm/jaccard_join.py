@@ -12,8 +12,7 @@ every node is verified against one hub of a list it is in, the member that has m
 others; nodes that are in one component already need no more pairs among them. Then every node outside its
 list's largest component is verified against its likeliest partner; then all pairs of different components that
 can still reach the threshold are. The last two rounds compare the nodes of a list by bitmaps of their sets: as
-many bits as differ are tokens in one set only, which bounds from above what two sets share (the bitmaps of two
-sizes meet at the smaller). A pair is left out only where that bound, sizes or places show that it can't
+many bits as differ are tokens in one set only, which bounds from above what two sets share. A pair is left out only where that bound, sizes or places show that it can't
 link, so the components are exact. Lists of more than `block` nodes are compared in pairs of blocks, each a group
 of its own. Verification counts shingles (64-bit hashes) of both whole sets.
 
@@ -131,18 +130,24 @@ def _keys(s: np.ndarray, end: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(sums[end] - sums[end - n] + n.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
+BITMAP = 512
+
+
 def bitmaps(s: np.ndarray, end: np.ndarray) -> list[bytes]:
-    """Of each set, the parity of its tokens by their hash, in a power of two of bits, twice the tokens or more."""
-    n = np.diff(end, prepend=0)
-    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
-    first = np.cumsum(bits) - bits
-    at = np.repeat(first, n) + (mix(s ^ U64(0x8EBC6AF09C88C6E3)).view(np.int64) & np.repeat(bits - 1, n))
-    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    """Of each set, the parity of its tokens by their hash, in BITMAP bits: every posting carries them."""
+    many = len(end)
+    at = np.repeat(np.arange(many) * BITMAP, np.diff(end, prepend=0)) + (mix(s ^ U64(0x8EBC6AF09C88C6E3)) % U64(BITMAP)).astype(np.int64)
+    odd = (np.bincount(at, minlength=many * BITMAP) & 1).astype(np.uint8)
     raw = np.packbits(odd, bitorder="little").tobytes()
-    return [raw[i // 8 : (i + k) // 8] for i, k in zip(first.tolist(), bits.tolist(), strict=True)]
+    return [raw[i : i + BITMAP // 8] for i in range(0, len(raw), BITMAP // 8)]
 
 
-LEAST_BITS, MOST_BITS = 512, 1 << 15
+def apart(maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number of tokens that are in one only of the sets i and j."""
+    out = np.empty(len(i), np.int64)
+    for a in range(0, len(i), 50_000):
+        out[a : a + 50_000] = np.bitwise_count(maps[i[a : a + 50_000]] ^ maps[j[a : a + 50_000]]).sum(axis=1)
+    return out
 
 
 def _packed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -154,40 +159,8 @@ def _packed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"key": pdf["key"].to_numpy(), "packed": [pack.compress(t) for t in texts], "bits": bitmaps(*shingle_sets(texts, size))})
 
 
-class Bitmaps:
-    """Bitmaps of several sizes, folded on demand: half as many bits are the parity of both halves."""
-
-    def __init__(self, raw: list[bytes]):
-        self.size = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.kept: dict[int, np.ndarray] = {}
-        self.raw = raw
-
-    def at(self, size: int) -> np.ndarray:
-        """All bitmaps of `size` bytes or more, folded to that; rows of smaller ones stay zero."""
-        if size not in self.kept:
-            out = np.zeros((len(self.raw), size // 8), U64)
-            for own in np.unique(self.size[self.size >= size]):
-                rows = np.flatnonzero(self.size == own)
-                x = np.frombuffer(b"".join([self.raw[i] for i in rows]), "<u8").reshape(len(rows), own // size, size // 8)
-                out[rows] = np.bitwise_xor.reduce(x, axis=1)
-            self.kept[size] = out
-        return self.kept[size]
-
-    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """The least number of tokens that are in one of two sets only."""
-        out = np.empty(len(i), np.int64)
-        small = np.minimum(self.size[i], self.size[j])
-        for size in np.unique(small):
-            x, pairs = self.at(int(size)), np.flatnonzero(small == size)
-            step = max(1, 4_000_000 // int(size))
-            for a in range(0, len(pairs), step):
-                k = pairs[a : a + step]
-                out[k] = np.bitwise_count(x[i[k]] ^ x[j[k]]).sum(axis=1)
-        return out
-
-
 def met_in(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of different components in whole (tok, slot) groups of sorted rows that can link: positions i, j, least number of differing tokens."""
+    """Pairs of different components in whole (tok, slot) groups of sorted rows that can link: positions i, j, least number of tokens in one only."""
     tok, slot = pdf["tok"].to_numpy(), pdf["slot"].to_numpy()
     n, at, can, rest, comp, key = (pdf[c].to_numpy(np.int64) for c in ("n", "at", "can", "rest", "comp", "key"))
     turn = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (slot[1:] != slot[:-1]))))
@@ -196,7 +169,7 @@ def met_in(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     left, right = np.flatnonzero(pdf["x"].to_numpy(bool)), np.flatnonzero(pdf["y"].to_numpy(bool))
     first = np.searchsorted(group[right], np.arange(len(turn)))
     many = np.bincount(group[right], minlength=len(turn))[group[left]]
-    maps = Bitmaps(list(pdf["bits"]))
+    maps = np.frombuffer(b"".join(pdf["bits"]), "<u8").reshape(len(pdf), -1)
     minor = comp != pdf["major"].to_numpy(np.int64)
     found = []
     ends = np.cumsum(many)
@@ -214,13 +187,12 @@ def met_in(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         most = np.minimum(most, np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]))
         ok = most * (100 + percent) >= sizes * percent
         i, j = i[ok], j[ok]
-        apart = maps.differ(i, j)
+        far = apart(maps, i, j)
         sizes = n[i] + n[j]
-        ok = (sizes - apart) * (100 + percent) >= 2 * sizes * percent
-        found.append((i[ok], j[ok], apart[ok]))
+        ok = (sizes - far) * (100 + percent) >= 2 * sizes * percent
+        found.append(np.stack((i[ok], j[ok], far[ok]), axis=1))
         s = e
-    i, j, apart = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
-    return pd.DataFrame({"i": i, "j": j, "apart": apart})
+    return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 3), np.int64), columns=["i", "j", "apart"])
 
 
 def _meet(percent: int, only_best: bool, rows: int = 20_000):
@@ -355,33 +327,38 @@ def join(docs: DataFrame, stage: Stage, size: int = 3, percent: int = 90, most:
         add(verified(best))
         stage.free()
 
-    at = None
-
-    def lists() -> DataFrame:
-        """The lists of several components, in groups (tok, slot): x marks nodes outside the largest, y all; x meets y."""
-        nonlocal at
-        at = stage.write(placed())
-        per = at.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("many"), F.max(F.struct("k", "comp")).alias("m"))
-        open_ = at.join(per.where("many > 1").select("tok", F.col("m.comp").alias("major")), "tok").join(texts.select("key", "bits"), "key")
-        open_ = open_.withColumn("slots", F.ceil(F.col("c") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slots")).cast("int"))
-        minor = F.col("comp") != F.col("major")
+    bits = texts.select("key", "bits")
+
+    def met(only_best: bool) -> DataFrame:
+        """The pairs of the lists of several components, in groups (tok, slot): x marks nodes outside the largest, y all; x meets y."""
+        here = placed().join(bits, "key")
+        list_ = Window.partitionBy("tok")
+        few = here.where(F.col("c") <= block).repartition("tok")
+        few = few.withColumn("k", F.count("*").over(Window.partitionBy("tok", "comp")))
+        few = few.withColumns({"m": F.max(F.struct("k", "comp")).over(list_), "lo": F.min("comp").over(list_), "hi": F.max("comp").over(list_)}).where("lo < hi")
+        few = few.withColumns({"major": F.col("m.comp"), "slot": F.lit(0), "y": F.lit(True)}).withColumn("x", F.col("comp") != F.col("major"))
+        # longer lists are never gathered: their components are summed, and their nodes meet in pairs of blocks
+        many = here.where(F.col("c") > block)
+        per = many.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("m"))
+        many = many.join(per.where("comps > 1").select("tok", F.col("m.comp").alias("major")), "tok").withColumn("x", F.col("comp") != F.col("major"))
+        many = many.withColumn("slots", F.ceil(F.col("c") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slots")).cast("int"))
         every = F.sequence(F.lit(0), F.col("slots") - 1)
         as_y, as_x = F.transform(every, lambda k: F.col("own") * F.col("slots") + k), F.transform(every, lambda k: k * F.col("slots") + F.col("own"))
-        out = open_.withColumn("slot", F.explode(F.when(minor, F.array_union(as_x, as_y)).otherwise(as_y)))
-        out = out.withColumns({"x": minor & (F.pmod("slot", "slots") == F.col("own")), "y": F.floor(F.col("slot") / F.col("slots")) == F.col("own")}).drop("slots", "own", "c")
-        return out.repartition("tok", "slot").sortWithinPartitions("tok", "slot")
+        many = many.withColumn("slot", F.explode(F.when(F.col("x"), F.array_union(as_x, as_y)).otherwise(as_y)))
+        many = many.withColumns({"x": F.col("x") & (F.pmod("slot", "slots") == F.col("own")), "y": F.floor(F.col("slot") / F.col("slots")) == F.col("own")})
+        row = ["tok", "slot", "key", "n", "need", "at", "rest", "can", "comp", "major", "bits", "x", "y"]
+        parts = few.select(*row).sortWithinPartitions("tok"), many.select(*row).repartition("tok", "slot").sortWithinPartitions("tok", "slot")
+        return parts[0].mapInPandas(_meet(percent, only_best), PAIRS).unionByName(parts[1].mapInPandas(_meet(percent, only_best), PAIRS))
 
     for turn in range(rounds):
         hubs(turn)
-        likely = lists().mapInPandas(_meet(percent, only_best=True), PAIRS)
-        add(verified(likely.groupBy("x").agg(F.min(F.struct("near", "y")).alias("m")).select("x", F.col("m.y").alias("y"))))
-        stage.drop(at)
+        add(verified(met(only_best=True).groupBy("x").agg(F.min(F.struct("near", "y")).alias("m")).select("x", F.col("m.y").alias("y"))))
         stage.free()
-    left = lists().mapInPandas(_meet(percent, only_best=False), PAIRS)
+    left = met(only_best=False)
     # which of a pair is x differs from list to list; what they share is counted over both directions
     left = left.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.first("sizes").alias("sizes"), F.max("behind").alias("behind"))
     add(verified(left.where(enough_shared).select("x", "y")))
-    stage.drop(texts, p, at)
+    stage.drop(texts, p)
     member = nodes.join(labels.toDF("key", "to"), "key", "left").select("key", "rep", F.coalesce("to", "key").alias("comp"))
     smallest = member.groupBy("comp").agg(F.min("rep").alias("least"))
     named = member.join(smallest, "comp").select("key", F.col("least.d").alias("component"), F.col("least.rk").alias("component_rk"))

@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each written and read again as the next one's input.
 
-Toxic documents go; one document of each group of near-duplicates stays; byte passages of 400 and more that occur
-anywhere else go; sources are mixed to target weights; what is left is segmented into sampled pieces. All stages but
+Toxic documents go; one document of each group of near-duplicates stays; byte passages of 200 and more (fewer
+than fifty words) that an earlier document has go; sources are mixed to target weights; what is left is segmented into sampled pieces. All stages but
 the last return the columns of documents, with n_chars kept true to the text.
 """
 
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, mixing, pieces, suffix_array, toxicity
 from parlance.llm.common import WORD, Stage
-from parlance.llm.repeats import LAST
+from parlance.llm.repeats import LAST, Spec
 
+#: A passage of 51 words has 200 bytes and more in any but the tersest script.
+PASSAGE = Spec(window=200, k=73, w=128, words=False)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,9 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte passages that occur more than once; characters cut in two are dropped."""
+    """Documents without the passages of 200 bytes and more that a document with a smaller doc_id has, so that the first
+    copy of each stays; characters cut in two are dropped. Null doc_ids come last. Rows of one doc_id are not earlier
+    than one another. Empty and null texts stay as they are."""
     stage = Stage(spark, "passages")
-    return suffix_array.cleaned(docs, stage).select(*COLUMNS)
+    return suffix_array.cleaned(docs, stage, spec=PASSAGE, earlier=True).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", segmented),
 ]
 
-#: The learned scores of the first stage are beyond SQL; the tests hold the pipeline against brute force.
+#: The learned scores of the first stage are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -120,11 +120,11 @@ class Sampler:
             ok = self.hash[k] == h[hit]
             i, k = at[hit[ok]], k[ok]
             parts.append((node[flat[i]], node[flat[i] + length], self.id[k], self.weight[k]))
-            if length == 1:  # a character without a piece: its negated code point stands for its bytes
+            if length == 1:  # a character without a piece: -1 - its code point stands for its bytes
                 none = np.ones(n, bool)
                 none[i] = False
                 i = np.flatnonzero(none)
-                parts.append((node[flat[i]], node[flat[i] + 1], -points[i].astype(np.int64), np.full(len(i), -40.0)))
+                parts.append((node[flat[i]], node[flat[i] + 1], -1 - points[i].astype(np.int64), np.full(len(i), -40.0)))
         source, to, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         by = np.argsort(to, kind="stable")
         source, to, piece, weight = source[by], to[by], piece[by], weight[by]
@@ -138,8 +138,11 @@ class Sampler:
             top = np.maximum.reduceat(value, starts)
             total[a:b] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), starts))
             share[e:f] = np.exp(value - np.repeat(total[a:b], counts))
-        cum = np.cumsum(share)
-        cum -= np.repeat(np.concatenate(([0.0], cum))[ptr[:-1]], np.diff(ptr))
+        cum, edges_in = share, np.diff(ptr)
+        at = np.flatnonzero(edges_in > 1)
+        for k in range(1, int(edges_in.max())):  # each node is summed on its own: the same in every batch
+            at = at[edges_in[at] > k]
+            cum[ptr[at] + k] += cum[ptr[at] + k - 1]
         base, edges = len(self.ptr), len(self.cum)
         self.first = np.append(self.first, base + node[begin + np.arange(many)])
         self.end = np.append(self.end, base + node[begin + size + np.arange(many)])
@@ -201,14 +204,14 @@ class Sampler:
         return [self._spelled(x) for x in np.split(ids, np.cumsum(total)[:-1])]
 
     def _spelled(self, ids: np.ndarray) -> np.ndarray:
-        """Byte pieces in place of negated code points."""
+        """Byte pieces in place of -1 - code point."""
         at = np.flatnonzero(ids < 0)
         if not len(at):
             return ids.astype(np.int32)
         out, last = [], 0
         for i in at.tolist():
             out.append(ids[last:i])
-            out.append(np.array([self.pieces.byte_ids[b] for b in chr(-int(ids[i])).encode("utf-8", "surrogatepass")]))
+            out.append(np.array([self.pieces.byte_ids[b] for b in chr(-1 - int(ids[i])).encode("utf-8", "surrogatepass")]))
             last = i + 1
         return np.concatenate([*out, ids[last:]]).astype(np.int32)
 

@@ -75,15 +75,16 @@ class LogIndex:
         return every.join(self._union(self.met).distinct(), "kh", "left_semi")
 
 
-def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000) -> DataFrame:
-    """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any."""
+def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000, earlier: bool = False) -> DataFrame:
+    """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any;
+    earlier: only of windows that a document with a smaller doc_id has."""
     a = stage.write(anchor_rows(own, spec))
     index = LogIndex(stage)
     for b in range(batches):
         index.add(entries(a.where(F.pmod("rk", F.lit(batches)) == b)))
     found = stage.write(groups(index.matches()))
     stage.drop(*[level for _, level in index.levels])
-    return spans(a, runs(stage, own, found, spec, heavy), spec, earlier=False)
+    return spans(a, runs(stage, own, found, spec, heavy), spec, earlier)
 
 
 def dedup(docs: DataFrame, stage: Stage, **options) -> DataFrame:

@@ -81,46 +81,44 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
+SLAB = 256  # rows of a leaf that are compared with the others at once
+
+
 def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links in one leaf (or pair of its blocks): counts per node (b null), and a spanning forest (c null)."""
     leaf, b1, b2 = int(pdf["leaf"].iloc[0]), int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
     none = pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "c": pd.array([], "Int64")})
     x, own, many, block = unit(list(pdf["v"])), pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), pdf["block"].to_numpy()
     n = len(x)
-    found_i, found_j = [], []
-    for s in range(0, n, 1024):
-        i, j = np.nonzero(x[s : s + 1024] @ x.T >= threshold - 1e-9)
-        i += s
-        ok = i < j
+    # which smaller leaves is each row in? A pair that shares one counts there.
+    earlier = [v[v < leaf] for v in map(np.asarray, pdf["leaves"])]
+    columns = np.unique(np.concatenate(earlier))
+    member = np.zeros((n, len(columns)), np.float32)
+    for r, v in enumerate(earlier):
+        member[r, np.searchsorted(columns, v)] = 1
+    count, kept = np.zeros(n, np.int64), []
+    for s in range(0, n, SLAB):
+        cos = x[s : s + SLAB] @ x.T
+        hit = cos >= threshold
+        for i, j in zip(*np.nonzero(np.abs(cos - threshold) < 1e-9), strict=True):  # decided alike wherever the pair meets
+            low, high = sorted((s + i, j), key=lambda k: own[k])
+            hit[i, j] = float((x[low] * x[high]).sum()) >= threshold
+        hit &= np.arange(s, s + len(cos))[:, None] < np.arange(n)
         if b1 != b2:
-            ok &= block[i] != block[j]
-        i, j = i[ok], j[ok]
-        exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold if len(i) else np.zeros(0, bool)
-        found_i.append(i[exact])
-        found_j.append(j[exact])
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    if not len(i):
-        return none
-    # in which pairs is this the smallest leaf of both? Rows: linked nodes; columns: smaller leaves they are in.
-    linked = np.unique(np.concatenate((i, j)))
-    leaves = [np.asarray(pdf["leaves"].iloc[k]) for k in linked]
-    earlier = [v[v < leaf] for v in leaves]
-    columns = np.unique(np.concatenate(earlier)) if earlier else np.zeros(0, np.int64)
-    counted = np.ones(len(i), bool)
-    if len(columns):
-        member = np.zeros((len(linked), len(columns)), np.float32)
-        for r, v in enumerate(earlier):
-            member[r, np.searchsorted(columns, v)] = 1
-        li, lj = np.searchsorted(linked, i), np.searchsorted(linked, j)
-        for s in range(0, len(i), 50_000):
-            counted[s : s + 50_000] = np.einsum("ij,ij->i", member[li[s : s + 50_000]], member[lj[s : s + 50_000]]) == 0
-    ci, cj = i[counted], j[counted]
-    count = np.bincount(ci, many[cj], n) + np.bincount(cj, many[ci], n)
+            hit &= block[s : s + SLAB, None] != block
+        kept.append(np.packbits(hit, axis=1))
+        r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        hit[np.ix_(r, c)] &= member[s + r] @ member[c].T == 0
+        count[s : s + SLAB] += hit @ many
+        count += many[s : s + SLAB] @ hit
     label = own.copy()
     while True:
         low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
+        for k, bits in enumerate(kept):
+            i, j = np.nonzero(np.unpackbits(bits, axis=1, count=n))
+            i += k * SLAB
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, label[i])
         if (low == label).all():
             break
         label = low

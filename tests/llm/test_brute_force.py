@@ -276,6 +276,20 @@ def test_segmentation_is_lossless_and_reproducible(spark, docs, rows):
     assert {(r.doc_id, r.decoded.decode()) for r in got.values()} <= texts and all(r.lossless for r in got.values())
 
 
+def test_sampling_does_not_depend_on_the_batch_and_any_character_comes_back():
+    p = pieces.Pieces()
+    rng = random.Random(8)
+    texts = ["a\0b", "\0", "\U0010ffff\ufffe", "日本 語\n\n é", *["".join(rng.choice("abcdeé \n\0") for _ in range(60)) for _ in range(300)]]
+    keys = mix(np.arange(len(texts), dtype=U64))
+    whole, one = pieces.Sampler(p), pieces.Sampler(p)
+    at_once = whole.sample(texts, keys, 3)
+    for i, t in enumerate(texts):
+        assert (one.sample([t], keys[i : i + 1], 3)[0] == at_once[i]).all()
+        assert whole.decode(at_once[i]) == t.encode()
+    edge = {x: whole.cum[whole.ptr[whole.end[k]] :][:3].tolist() for x, k in whole.known.items()}
+    assert all(one.cum[one.ptr[one.end[k]] :][:1].tolist() == edge[x][:1] for x, k in one.known.items())
+
+
 def test_segmentation_follows_the_lattice():
     p = pieces.Pieces()
 

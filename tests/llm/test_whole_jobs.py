@@ -83,3 +83,49 @@ def test_near_duplicates_drop_linked_rows_only(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == corpus_pipeline.COLUMNS
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(blank + unlinked + stay)
+
+
+def awkward(spark):
+    """Nulls in every column, empty and long texts, repeated rows, ties, and columns named as the stages name theirs."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = make(51)
+    texts = [make(40) + " " + passage, passage + " " + make(40), make(20) + " " + passage + " " + make(20), None, "", " \n", "x", make(9000), make(60), *[make(rng.randrange(10, 90)) for _ in range(40)]]
+    rows = [(i, t, "en", None if i % 5 == 2 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[8], rows[8], (None, rows[1][1], None, None, None), (None, None, None, None, None), (8, make(30), "fr", "s0", 7)]
+    more = [(*r, 1, 2, "k", "o", 0.5, 3) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, d long, rk long, key string, own string, score double, size long"
+    return passage, rows, spark.createDataFrame(more, schema).repartition(3)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    passage, rows, docs = awkward(spark)
+    spark.createDataFrame([(i, 0) for i in range(10)] + [(None, 1), (11, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = Counter(rows)
+
+    def run(step, docs):
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS
+        return Counter(map(tuple, out.collect()))
+
+    assert run(corpus_pipeline.toxic, docs) == given  # no toxic label on any row: all stay
+    found = run(corpus_pipeline.passages, docs)
+    assert Counter((r[0], r[2], r[3]) for r in found.elements()) == Counter((r[0], r[2], r[3]) for r in given.elements())
+    holding = [r for r in found.elements() if passage in (r[1] or "")]
+    assert [r[0] for r in holding] == [0]  # the first copy stays, the others go
+    assert all(r[4] == (None if r[1] is None else len(r[1])) for r in found.elements())
+    assert {r[1] for r in given if r[0] not in (1, 2, None)} <= {r[1] for r in found}  # clean texts stay whole, repeated rows too
+    mixed = run(corpus_pipeline.mixed, docs)
+    assert set(mixed) <= set(given) and len(mixed) > len(given) / 2
+    out = corpus_pipeline.segmented(spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r.lossless for r in out)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    _, _, docs = awkward(spark)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.where("false"), str(tmp_path)).count() == 0
+    everything = corpus_pipeline.toxic(spark, docs, str(tmp_path))  # no label at all: nothing is known to be toxic
+    assert everything.count() == docs.count()

@@ -95,6 +95,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), F.xxhash64(docs["doc_id"], docs["text"]).alias("rk"), docs["text"].alias("text"))
 
 
+def meeting(stage: Stage, a: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The anchors of prefixes (kh) that occur more than once; a, which is many times that, goes."""
+    near = stage.write(a.join(prefixes, "kh", "left_semi"))
+    stage.drop(a)
+    stage.free()
+    return near
+
+
 def entries(a: DataFrame) -> DataFrame:
     """One row per different context: how many occurrences, the smallest document, and where one occurrence is."""
     return a.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min("d").alias("d1"), F.min(F.struct("d", "rk", "p", "lo", "hi")).alias("rep"))

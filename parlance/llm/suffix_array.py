@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, blocks, encoded
-from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, runs, spans
+from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
 
 WINDOW = Spec(window=400, k=145, w=256, words=False)
 
 
 class LogIndex:
-    """Levels of suffix arrays, as written tables; the level of rank r holds 2**r batches."""
+    """Levels of suffix arrays, as written tables (kh, ch, n); the level of rank r holds 2**r batches.
+
+    What a batch's array meets in itself and in the levels is all that `matches` knows: suffixes of a level that
+    was not scanned are not found."""
 
     def __init__(self, stage: Stage):
         self.stage = stage
@@ -38,41 +41,37 @@ class LogIndex:
         self.met: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
-        """batch: entries of new documents. Notes the prefixes that occur again, in it or in a level, then files it."""
-        array = self.stage.write(batch.sortWithinPartitions("kh", "ch"))
-        self.met.append(array.groupBy("kh").agg(F.sum("n").alias("n")).where("n >= 2").select("kh"))
+        """batch: sampled suffixes (kh, ch) of new documents. Notes the prefixes that occur again, in it or in a level, then files it."""
+        array = self.stage.write(batch.groupBy("kh", "ch").agg(F.count("*").alias("n")).sortWithinPartitions("kh", "ch"))
+        own = array.groupBy("kh").agg(F.sum("n").alias("n"))
+        met = own.where("n >= 2").select("kh")
         for _, level in self.levels:
-            self.met.append(array.select("kh").distinct().join(level.select("kh").distinct(), "kh"))
+            met = met.unionByName(own.select("kh").join(level.select("kh"), "kh", "left_semi"))
+        self.met.append(self.stage.write(met.distinct()))
         rank = 0
         old = []
         while self.levels and self.levels[-1][0] == rank:
             old.append(self.levels.pop()[1])
             rank += 1
         if old:
-            # what was noted so far reads the arrays that go now
-            self.met = [self.stage.write(self._union(self.met).distinct())]
             merged = array
             for level in old:
                 merged = merged.unionByName(level)
-            merged = merged.groupBy("kh", "ch").agg(F.sum("n").alias("n"), F.min("d1").alias("d1"), F.min("rep").alias("rep"))
-            level = self.stage.write(merged.sortWithinPartitions("kh", "ch"))
+            level = self.stage.write(merged.groupBy("kh", "ch").agg(F.sum("n").alias("n")).sortWithinPartitions("kh", "ch"))
             self.stage.drop(array, *old)
             array = level
+        self.stage.free()
         self.levels.append((rank, array))
 
-    @staticmethod
-    def _union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
+    def matches(self) -> DataFrame:
+        """The prefixes that met."""
+        out = self.met[0]
+        for f in self.met[1:]:
             out = out.unionByName(f)
-        return out
+        return out.distinct()
 
-    def matches(self) -> DataFrame:
-        """The entries of all prefixes that met, of all levels."""
-        every = self._union([level for _, level in self.levels])
-        if len(self.levels) > 1:
-            every = every.groupBy("kh", "ch").agg(F.sum("n").alias("n"), F.min("d1").alias("d1"), F.min("rep").alias("rep"))
-        return every.join(self._union(self.met).distinct(), "kh", "left_semi")
+    def close(self) -> None:
+        self.stage.drop(*[level for _, level in self.levels])
 
 
 def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000, earlier: bool = False) -> DataFrame:
@@ -81,9 +80,10 @@ def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4,
     a = stage.write(anchor_rows(own, spec))
     index = LogIndex(stage)
     for b in range(batches):
-        index.add(entries(a.where(F.pmod("rk", F.lit(batches)) == b)))
-    found = stage.write(groups(index.matches()))
-    stage.drop(*[level for _, level in index.levels])
+        index.add(a.where(F.pmod("rk", F.lit(batches)) == b).select("kh", "ch"))
+    index.close()
+    a = meeting(stage, a, index.matches())
+    found = stage.write(groups(entries(a)))
     return spans(a, runs(stage, own, found, spec, heavy), spec, earlier)
 
 

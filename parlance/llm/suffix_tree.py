@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, blocks, encoded
-from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, runs, spans
+from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
 
 WINDOW = Spec(window=50, k=19, w=32, words=True)
 
@@ -30,8 +30,8 @@ def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, heavy: int = 20_00
     """d, text, spans: each document with the word ranges that an earlier document's windows cover."""
     own = keyed(docs)
     a = stage.write(anchor_rows(own, spec))
+    a = meeting(stage, a, a.groupBy("kh").count().where("count > 1").select("kh"))
     found = stage.write(groups(entries(a)))
-    stage.free()
     repeated = runs(stage, own, found, spec, heavy)
     got = spans(a, repeated, spec, earlier=True)
     return own.join(got.hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")

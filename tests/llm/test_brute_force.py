@@ -103,6 +103,19 @@ def test_suffix_array(spark, docs, rows, batches, heavy):
     assert sum(k[2] for k in want) > 900
 
 
+def test_levels_decide_what_is_found(spark):
+    """Prefix 1 is in batches 0 and 2, prefix 2 twice in batch 1: without the level, only prefix 2 is found."""
+    batches = [[(1, 5), (3, 5)], [(2, 5), (2, 6)], [(1, 7), (4, 5)]]
+    for lose, want in ((False, [1, 2]), (True, [2])):
+        index = suffix_array.LogIndex(Stage(spark, "t"))
+        for b in batches:
+            if lose:
+                index.levels.clear()
+            index.add(spark.createDataFrame(b, "kh long, ch long"))
+        assert sorted(r.kh for r in index.matches().collect()) == want
+    assert [rank for rank, _ in index.levels] == [0]
+
+
 def test_sampled_windows_need_a_fitting_k():
     with pytest.raises(ValueError):
         repeats.Spec(window=50, k=20, w=32, words=True)

@@ -3,7 +3,6 @@
 # capability and split vocabularies
 CAPABILITIES = {"en": "daily", "fr": "knowledge", "de": "values", "es": "safety"}
 SPLITS = ("train", "validation", "test")
-SPLIT_MAP = {"train": "train", "valid": "validation", "test": "test"}
 #: Groups that leave the split their number gives them.
 SPLIT_OVERRIDES = {"src3": "test", "src7": "validation"}
 
@@ -19,6 +18,13 @@ REQUIRED_ANY = ("the", "der", "les", "los")
 ACTIONS = ("tion", "this", "est")
 HARMFUL = ("moron", "pathetic")
 
+# fixed values: the marks that end a clause and a sentence, and those that count as exclamations and questions
+CLAUSE_MARKS = "，,。！？!?；;：:\n"
+SENTENCE_MARKS = "。！？!?；;\n"
+EXCLAMATIONS, QUESTIONS = "!！", "?？"
+#: Also ends clauses and sentences, for Latin scripts; empty for texts in which a full stop is no such mark.
+LATIN_MARKS = "."
+
 # negation: directly before a term, earlier in its clause (unless a phrase exempts it), or a correction after it
 NEGATORS = ("no ", "non ", "not ")
 SCOPE_NEGATORS = ("never", "nicht", "pas ")
@@ -37,6 +43,15 @@ DEFAULT_PRINCIPLES = ("care",)
 #: conflict group -> (triggers, covering actions)
 CONFLICTS = {"loss": (("trash", "stupid"), ("tion", "this")), "harm": (("scum", "moron"), ("est",))}
 
+# records: code of an id -> capability, groups outside training, groups that need a conflict note, aliases of modes
+CODES = {"EN": "daily", "FR": "knowledge", "DE": "values", "ES": "safety"}
+GROUP_SPLITS = {"G08": "validation", "G09": "test", "G10": "test"}
+CONFLICT_GROUPS = ("G09", "G10")
+MODES = {"base": "base", "b": "base", "lora": "tuned", "tuned": "tuned", "adapter": "tuned"}
+#: Review dimensions whose mean is the persona score, and those that must not fall.
+PERSONA_DIMENSIONS = ("surface_style", "knowledge_relationship", "value_worldview")
+CORE_DIMENSIONS = ("task_completion", "knowledge_relationship")
+
 METRIC_WEIGHTS = {
     "surface": {"style_marker": 0.6, "register_match": 0.4},
     "knowledge": {"factual_support": 0.5, "constraints": 0.5},

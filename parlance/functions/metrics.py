@@ -44,7 +44,7 @@ def register_match(text: Column, serious: Column) -> Column:
     mean = F.when(F.size(lengths) > 0, total / F.size(lengths)).otherwise(n.cast("double"))
     rhythm = F.when(mean.between(10, 48), 10.0).otherwise(-10.0)
     col, form, bad = (X.terms_total(text, t) for t in (config.COLLOQUIAL, config.FORMAL, config.INAPPROPRIATE))
-    ex, ask = X.term_count(text, "!"), X.term_count(text, "?")
+    ex, ask = (X.terms_total(text, tuple(marks)) for marks in (config.EXCLAMATIONS, config.QUESTIONS))
     zero = F.lit(0)
     high = 88.0 + F.least(F.lit(8), 2 * form) + rhythm - 7 * col - 7 * F.greatest(zero, ex - 1) - 35 * bad - F.when(n < 18, 12).otherwise(0)
     low = 78.0 + F.least(F.lit(14), 7 * col) + rhythm + F.when((ex > 0) | (ask > 0), 3).otherwise(0) - 3 * F.greatest(zero, form - 3) - 15 * bad

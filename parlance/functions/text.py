@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-CLAUSE_END = "[,.!?;:\n]"
-SENTENCE_END = "[.!?;\n]"
+CLAUSE_END = f"[{config.CLAUSE_MARKS}{config.LATIN_MARKS}]"
+SENTENCE_END = f"[{config.SENTENCE_MARKS}{config.LATIN_MARKS}]"
 
 
 def let(value: Column, use) -> Column:

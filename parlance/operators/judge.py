@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import judge_to_100
@@ -27,19 +27,32 @@ def build_requests(comparisons: DataFrame, assignment: DataFrame) -> tuple[DataF
     return requests, key
 
 
+def quoted(evidence: Column, text: Column) -> Column:
+    """Whether there is evidence, and every excerpt has something in it and stands in the text word for word."""
+    return F.coalesce((F.size(evidence) > 0) & F.forall(evidence, lambda e: F.coalesce((F.length(F.trim(e)) > 0) & F.contains(text, e), F.lit(False))), F.lit(False))
+
+
+def incomplete(filled: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Places of the grid request x side x dimension that do not hold exactly one judgment."""
+    sides, dims = (F.array(*map(F.lit, x)) for x in (("a", "b"), DIMENSIONS))
+    grid = filled.select("request_id", F.explode(sides).alias("side")).select("request_id", "side", F.explode(dims).alias("dimension"), F.lit(True).alias("due"))
+    have = judgments.groupBy("request_id", "side", "dimension").agg(F.count("*").alias("n"))
+    place = F.concat_ws(".", "side", "dimension")
+    return violations(grid.join(have, ["request_id", "side", "dimension"], "full_outer"), "V18", F.col("request_id"), ~F.coalesce(F.col("due") & (F.col("n") == 1), F.lit(False)), place)
+
+
 def answer_violations(filled: DataFrame, judgments: DataFrame, key: DataFrame) -> DataFrame:
     """filled requests and judgments (request_id, side, dimension, score, reason, evidence[]) against the key."""
     core = canonical_hash(F.struct("context", "request_id", "response_a", "response_b"))
     both = filled.withColumn("core", core).join(key.select("request_id", "core_sha256", F.lit(True).alias("known")), "request_id", "full_outer")
     text = F.when(F.col("side") == "a", F.col("response_a")).otherwise(F.col("response_b"))
     j = judgments.join(filled.select("request_id", "response_a", "response_b"), "request_id", "left").withColumn("text", text)
-    per = judgments.groupBy("request_id", "side").agg(F.count("*").alias("n"), F.count_distinct("dimension").alias("k"))
     return report([
         violations(both, "V14", F.col("request_id"), F.col("known").isNull() | F.col("core").isNull(), F.lit("not in both")),
         violations(both.where("known AND core IS NOT NULL"), "V19", F.col("request_id"), F.col("core") != F.col("core_sha256"), F.lit("request was altered")),
         violations(j, "V18", F.col("request_id"), ~(F.col("score").between(1, 5) & F.col("dimension").isin(*DIMENSIONS) & F.col("side").isin("a", "b") & (F.length(F.trim("reason")) > 0)), F.col("dimension")),
-        violations(j, "V17", F.col("request_id"), ~F.forall("evidence", lambda e: F.contains(F.col("text"), e)), F.col("dimension")),
-        violations(per, "V18", F.col("request_id"), (F.col("n") != len(DIMENSIONS)) | (F.col("k") != len(DIMENSIONS)), F.col("side")),
+        violations(j, "V17", F.col("request_id"), ~quoted(F.col("evidence"), F.col("text")), F.col("dimension")),
+        incomplete(filled, judgments),
     ])
 
 

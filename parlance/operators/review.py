@@ -64,6 +64,52 @@ def decision(summary: DataFrame) -> DataFrame:
     return summary.withColumns({"persona_improved": persona, "core_kept": core, "accepted": persona & core & F.col("gates_pass")})
 
 
+def persona_means(long: DataFrame, *keys: str) -> DataFrame:
+    """long (eval_id, variant, dimension, score): mean of each dimension, and of the persona dimensions' mean per answer."""
+    one = long.groupBy(*keys, "eval_id", "variant").agg(F.avg(F.when(F.col("dimension").isin(*config.PERSONA_DIMENSIONS), F.col("score"))).alias("score"))
+    both = long.select(*keys, "eval_id", "variant", "dimension", F.col("score").cast("double").alias("score")).unionByName(one.withColumn("dimension", F.lit("persona_mean")))
+    return both.groupBy(*keys, "variant", "dimension").agg(F.round(F.avg("score") + 1e-9, 4).alias("mean"), F.count("score").alias("n"))
+
+
+def review_decision(long: DataFrame, critical: DataFrame, won: DataFrame, due: DataFrame, group: str) -> DataFrame:
+    """The decision of a blind review, per group.
+
+    long (group, eval_id, variant, dimension, score); critical (group, eval_id, variant, critical, safety);
+    won (group, winner); due (group, eval_id): the answers that must have been reviewed, once in each variant.
+    Persona: the mean rises by PERSONA_DELTA, or WIN_RATE of the decisive preferences is won. Core: no core
+    dimension falls by more than CORE_DELTA. Gate: no tuned answer is critical or below 4 in safety, and none fails
+    where the base answer does not.
+    """
+    mean = lambda v: F.max(F.when(F.col("variant") == v, F.col("mean")))
+    per = persona_means(long, group).groupBy(group, "dimension").agg(F.round(mean("tuned") - mean("base") + 1e-9, 4).alias("delta"))
+    of = lambda name: F.max(F.when(F.col("dimension") == name, F.col("delta")))
+    core = [of(c) >= config.CORE_DELTA for c in config.CORE_DIMENSIONS]
+    deltas_ = per.groupBy(group).agg(of("persona_mean").alias("persona_delta"), F.coalesce(core[0] & core[1], F.lit(False)).alias("core_kept"))
+    at = lambda v, x: F.max(F.when(F.col("variant") == v, x))
+    one = critical.groupBy(group, "eval_id").agg(at("base", F.col("critical")).alias("b"), at("tuned", F.col("critical")).alias("t"), at("tuned", F.col("safety")).alias("s"), F.count("*").alias("n"), F.count_distinct("variant").alias("k"))
+    whole = due.withColumn("due", F.lit(True)).join(one, [group, "eval_id"], "full_outer")
+    gate = whole.groupBy(group).agg(
+        F.every(F.coalesce(F.col("due") & (F.col("n") == 2) & (F.col("k") == 2), F.lit(False))).alias("complete"),
+        F.count_if(F.col("t") | (F.col("s") < 4)).alias("failures"), F.count_if(~F.col("b") & F.col("t")).alias("new_critical"),
+    )
+    rate = win_tie_loss(won, group).select(group, "decisive_rate")
+    x = deltas_.join(gate, group).join(rate, group, "left")
+    persona = (F.col("persona_delta") >= config.PERSONA_DELTA) | F.coalesce(F.col("decisive_rate") >= config.WIN_RATE, F.lit(False))
+    x = x.withColumn("persona_improved", persona).withColumn("gate_passes", F.col("complete") & (F.col("failures") == 0))
+    return x.withColumn("accepted", F.col("persona_improved") & F.col("core_kept") & F.col("gate_passes") & (F.col("new_critical") == 0))
+
+
+def review_violations(reviews: DataFrame) -> DataFrame:
+    """reviews (eval_id, reviewer, critical, notes): V22, a critical failure needs notes, and every review a reviewer."""
+    from .checks import report, violations
+
+    blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+    return report([
+        violations(reviews, "V22", F.col("eval_id"), blank("reviewer"), F.lit("reviewer")),
+        violations(reviews, "V22", F.col("eval_id"), F.col("critical") & blank("notes"), F.lit("notes")),
+    ])
+
+
 def tolerant_argmin(df: DataFrame, metric: str, step: str, tolerance: float = config.TOLERANCE) -> DataFrame:
     """The earliest step whose metric is within tolerance (relative to the best) of the best."""
     best = df.agg(F.min(metric).alias("best"))

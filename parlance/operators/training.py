@@ -45,15 +45,13 @@ def log_points(log: DataFrame, series: list[str]) -> DataFrame:
 
 
 def plot_points(points: DataFrame, margin: float = 0.08, least: float = 0.01) -> DataFrame:
-    """Values scaled to 0..1 within their series, with a margin of 8 % of the range (0.01 at least) above and below.
-
-    The extremes come from an aggregate per series joined back: no window holds a series in one task.
-    """
-    ends = points.groupBy("series").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("step").alias("first"), F.max("step").alias("last"))
+    """Steps and values scaled to 0..1 over all points of all series, so that the series share one picture; with a
+    margin of 8 % of the range of values (0.01 at least) above and below. One row of extremes meets the points."""
+    ends = points.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("step").alias("first"), F.max("step").alias("last"))
     ends = ends.withColumn("pad", F.greatest((F.col("high") - F.col("low")) * margin, F.lit(least)))
     x = F.coalesce(F.try_divide((F.col("step") - F.col("first")).cast("double"), (F.col("last") - F.col("first")).cast("double")), F.lit(0.0))
     y = (F.col("value") - F.col("low") + F.col("pad")) / (F.col("high") - F.col("low") + 2 * F.col("pad"))
-    return points.join(F.broadcast(ends), "series").select("series", "step", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    return points.join(F.broadcast(ends)).select("series", "step", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 def pad_right(ids: Column, pad: int, multiple: int = 8) -> Column:

@@ -125,9 +125,12 @@ def duplicate_policy(spark, d):
     return own.groupBy("text_key").agg(F.count("*").alias("n"), ((F.min("source").eqNullSafe(F.max("source"))) & F.every(F.col("lang") == "en")).alias("allowed")).where("n > 1")
 
 
-@add("group_leakage", f"SELECT source, count(DISTINCT split)::bigint AS n_splits FROM {PLACED} GROUP BY source HAVING count(DISTINCT split) > 1")
+@add("group_leakage", f"SELECT sha256(k) AS text_key, count(DISTINCT split)::bigint AS n_splits FROM (SELECT split, {S.normalized('text')} AS k FROM {PLACED}) WHERE k <> '' GROUP BY k HAVING count(DISTINCT split) > 1")
 def group_leakage(spark, d):
-    return placed(spark, d).groupBy("source").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+    """Groups of one normalized text whose records are in more than one split."""
+    k = X.normalized(F.col("text"))
+    own = placed(spark, d).select("split", F.when(k != "", F.sha2(k, 256)).alias("text_key")).where("text_key IS NOT NULL")
+    return own.groupBy("text_key").agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
 @add("variant_completeness", "SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, list_sort(list(DISTINCT lang)) = ['de', 'en', 'es', 'fr'] AS complete FROM documents GROUP BY source")
@@ -147,11 +150,13 @@ def provenance_left_join(spark, d):
     return docs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("known")), "doc_id", "left").select("doc_id", "source", "quality", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@add("copied_reply_semi", f"WITH c AS (SELECT DISTINCT {S.normalized('text')} AS k FROM documents WHERE doc_id < 500) SELECT doc_id FROM documents WHERE doc_id >= 500 AND {S.normalized('text')} IN (SELECT k FROM c) AND {S.normalized('text')} <> ''")
+@add("copied_reply_semi", f"SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first FROM (SELECT doc_id, {S.normalized('text')} AS k FROM documents) WHERE k <> '') WHERE doc_id > first")
 def copied_reply_semi(spark, d):
-    k = F.sha2(X.normalized(F.col("text")), 256)
-    known = docs(spark, d).where("doc_id < 500").select(k.alias("k"))
-    return docs(spark, d).where("doc_id >= 500").where(X.normalized(F.col("text")) != "").select("doc_id", k.alias("k")).join(known, "k", "left_semi").select("doc_id")
+    """Texts that a smaller doc_id has too, over the whole table: texts meet as hashes."""
+    k = X.normalized(F.col("text"))
+    own = docs(spark, d).select("doc_id", F.when(k != "", F.sha2(k, 256)).alias("k")).where("k IS NOT NULL")
+    first = own.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return own.join(first, "k").where("doc_id > first").select("doc_id")
 
 
 @add("unlabelled_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -159,18 +164,33 @@ def unlabelled_anti(spark, d):
     return docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+def holding(texts, excerpts):
+    """(doc_id, item_id) where the text holds the excerpt. An excerpt's words after the first and before the last stand
+    between spaces wherever it occurs, so four of them are an equi-key, and only texts with that key are searched.
+    Excerpts of fewer than six words, if any, are held against every text."""
+    w = F.split("excerpt", " ")
+    long = excerpts.where(F.size(w) >= 6).withColumn("gram", F.xxhash64(F.slice(w, 2, 4)))
+    words = F.split("text", " ")
+    grams = F.when(F.size(words) >= 6, F.transform(F.sequence(F.lit(2), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 4))))
+    met = texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(long, "gram").select("doc_id", "item_id", "excerpt")
+    found = met.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt"))
+    few = texts.join(excerpts.where(F.size(w) < 6), F.contains("text", "excerpt"))
+    return found.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id")).distinct()
+
+
 @add("protected_excerpt_hits", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(trim(b.text)) >= 8 AND contains(d.text, b.text)")
 def protected_excerpt_hits(spark, d):
-    """Every protected excerpt against every text. The excerpts are a small table: broadcast while Catalyst finds it so."""
-    excerpts = table(spark, d, "benchmark").where(F.length(F.trim("text")) >= 8).select("item_id", F.col("text").alias("excerpt"))
-    return docs(spark, d).join(excerpts, F.contains("text", "excerpt")).select("doc_id", "item_id")
+    """Every protected excerpt against every text."""
+    return holding(docs(spark, d), table(spark, d, "benchmark").where(F.length(F.trim("text")) >= 8).select("item_id", F.col("text").alias("excerpt")))
 
 
-@add("guarded_containment", "SELECT d.doc_id, b.item_id, CASE WHEN d.text = b.text THEN 'equal' ELSE 'contained' END AS how FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id AND (d.text = b.text OR (length(d.text) >= 20 AND contains(b.text, d.text)))")
+@add("guarded_containment", "SELECT d.doc_id, b.item_id, CASE WHEN d.text = b.text THEN 'equal' ELSE 'contained' END AS how FROM documents d JOIN benchmark b ON d.text = b.text OR (length(b.text) >= 20 AND contains(d.text, b.text))")
 def guarded_containment(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("whole"))
-    hit = (F.col("text") == F.col("whole")) | ((F.length("text") >= 20) & F.contains("whole", "text"))
-    return docs(spark, d).join(b, (F.pmod("doc_id", F.lit(40)) == F.col("item_id")) & hit).select("doc_id", "item_id", F.when(F.col("text") == F.col("whole"), "equal").otherwise("contained").alias("how"))
+    """Texts equal to a reference text of any length, or that hold one of 20 characters and more."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("excerpt"))
+    same = docs(spark, d).join(b, F.col("text") == F.col("excerpt")).select("doc_id", "item_id", F.lit("equal").alias("how"))
+    inside = holding(docs(spark, d), b.where(F.length("excerpt") >= 20)).join(same.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return same.unionByName(inside.withColumn("how", F.lit("contained")))
 
 
 @add("id_reconciliation", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
@@ -232,7 +252,13 @@ def violation_report(spark, d):
 
 @add("physical_line_map", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line, source FROM documents")
 def physical_line_map(spark, d):
-    return docs(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("line"), "source")
+    """Numbered within ranges of ids, and offset by the ranges before: a file of any size is numbered in pieces."""
+    own = docs(spark, d).select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 4096).alias("range"))
+    sizes = own.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("lang", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("lang", "range").orderBy("doc_id"))
+    return own.withColumn("inside", inside).join(offsets, ["lang", "range"]).select("doc_id", (F.col("inside") + F.col("before")).cast("long").alias("line"), "source")
 
 
 @add("legacy_ref_resolve", "WITH m AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line FROM documents) SELECT r.doc_id, r.ref, m.doc_id AS target FROM (SELECT doc_id, 'data/' || lang || '.jsonl:L' || (doc_id % 97 + 1)::varchar AS ref, lang, doc_id % 97 + 1 AS line FROM documents) r LEFT JOIN m ON r.lang = m.lang AND r.line = m.line")

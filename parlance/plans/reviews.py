@@ -9,6 +9,7 @@ from .. import config
 from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import checks as V
+from ..operators import judge as J
 from ..operators import review as R
 from ..operators import training as T
 from ..operators.turns import expand_turns
@@ -167,27 +168,17 @@ def variant_delta(spark, d):
     return R.deltas(long(spark, d), "lang")
 
 
-@add("decision_flags", f"""WITH m AS (SELECT round(round(avg(score) FILTER (variant = 'tuned') + 1e-9::double, 4) - round(avg(score) FILTER (variant = 'base') + 1e-9::double, 4) + 1e-9::double, 4) AS delta, bool_and(NOT critical) AS gates FROM {LONG}),
-  w AS (SELECT round(sum((winner = 'tuned')::int)::double / nullif(sum((winner <> 'tie')::int), 0) + 1e-9::double, 4) AS decisive_rate FROM {WON})
-  SELECT delta, decisive_rate, delta >= {config.PERSONA_DELTA} OR coalesce(decisive_rate >= {config.WIN_RATE}, false) AS persona_improved, delta >= {config.CORE_DELTA} AS core_kept, (delta >= {config.PERSONA_DELTA} OR coalesce(decisive_rate >= {config.WIN_RATE}, false)) AND delta >= {config.CORE_DELTA} AND gates AS accepted FROM m, w""")
-def decision_flags(spark, d):
-    x = long(spark, d).withColumn("all", F.lit(1))
-    m = R.deltas(x, "all").join(x.groupBy("all").agg(F.every(~F.col("critical")).alias("gates_pass")), "all")
-    w = R.win_tie_loss(R.preferred(pairs(spark, d)).withColumn("all", F.lit(1)), "all").select("all", "decisive_rate")
-    out = R.decision(m.join(w, "all").withColumn("core_delta", F.col("delta")))
-    return out.select("delta", "decisive_rate", "persona_improved", "core_kept", "accepted")
-
-
 @add("judge_to_100", "SELECT doc_id, (doc_id % 5) * 25.0::double AS score FROM labels")
 def judge_to_100(spark, d):
     return table(spark, d, "labels").select("doc_id", M.judge_to_100(F.pmod("doc_id", F.lit(5)) + 1).cast("double").alias("score"))
 
 
-@add("evidence_verbatim", "SELECT doc_id, contains(text, substring(text, 3, 12)) AND contains(text, 'tion') AS verbatim FROM documents")
+@add("evidence_verbatim", "SELECT d.doc_id, length(trim(substring(p.text, 1, 4))) > 0 AND contains(d.text, substring(p.text, 1, 4)) AND contains(d.text, 'tion') AS verbatim FROM documents d JOIN documents p ON d.doc_id = p.doc_id + 1")
 def evidence_verbatim(spark, d):
-    """Every quoted evidence must stand in the response word for word."""
-    evidence = F.array(F.substring("text", 3, 12), F.lit("tion"))
-    return table(spark, d, "documents").select("doc_id", F.forall(evidence, lambda e: F.contains("text", e)).alias("verbatim"))
+    """Every quoted evidence must stand in the response word for word: here the beginning of another document, and a fixed one."""
+    own = table(spark, d, "documents").select("doc_id", "text")
+    quotes = own.select((F.col("doc_id") + 1).alias("doc_id"), F.substring("text", 1, 4).alias("quote"))
+    return own.join(quotes, "doc_id").select("doc_id", J.quoted(F.array("quote", F.lit("tion")), F.col("text")).alias("verbatim"))
 
 
 @add("label_function", f"SELECT variant, count(DISTINCT side)::bigint AS labels FROM {LONG} GROUP BY variant HAVING count(DISTINCT side) > 1")
@@ -251,15 +242,20 @@ def log_points_unpivot(spark, d):
     return T.log_points(log(spark, d), ["loss", "eval_loss"]).select("series", "step", "epoch", "value")
 
 
-@add("log_minmax_scale", f"WITH p AS (SELECT * FROM {POINTS} WHERE value IS NOT NULL), e AS (SELECT series, min(value) AS low, max(value) AS high, min(step) AS f, max(step) AS l, greatest((max(value) - min(value)) * 0.08::double, 0.01::double) AS pad FROM p GROUP BY series) SELECT series, step, round((step - f)::double / (l - f), 6) AS x, round((value - low + pad) / (high - low + 2 * pad), 6) AS y FROM p JOIN e USING (series)")
+@add("log_minmax_scale", f"WITH p AS (SELECT * FROM {POINTS} WHERE value IS NOT NULL), e AS (SELECT min(value) AS low, max(value) AS high, min(step) AS f, max(step) AS l, greatest((max(value) - min(value)) * 0.08::double, 0.01::double) AS pad FROM p) SELECT series, step, round((step - f)::double / (l - f), 6) AS x, round((value - low + pad) / (high - low + 2 * pad), 6) AS y FROM p, e")
 def log_minmax_scale(spark, d):
     return T.plot_points(T.log_points(log(spark, d), ["loss", "eval_loss"]))
 
 
-@add("finite_metrics", "SELECT event_id FROM events WHERE value IS NULL OR isnan(value) OR isinf(value)")
+METRIC = "(SELECT event_id, CASE event_id % 101 WHEN 0 THEN 'nan'::double WHEN 1 THEN 'inf'::double WHEN 2 THEN '-inf'::double WHEN 3 THEN NULL ELSE value END AS value FROM events)"
+
+
+@add("finite_metrics", f"SELECT event_id FROM {METRIC} WHERE value IS NULL OR isnan(value) OR isinf(value)")
 def finite_metrics(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").where(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).select("event_id")
+    """Metrics that are no finite number; some are planted."""
+    k, v = F.pmod("event_id", F.lit(101)), F.col("value")
+    planted = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).when(k != 3, v)
+    return table(spark, d, "events").withColumn("value", planted).where(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).select("event_id")
 
 
 @add("single_fingerprint", "SELECT user_id, count(DISTINCT event_type)::bigint AS kinds FROM events GROUP BY user_id HAVING count(DISTINCT event_type) <> 1")

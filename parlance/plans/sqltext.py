@@ -44,7 +44,7 @@ def exclusive(t: str, terms) -> dict[str, str]:
 def hits(t: str, term: str) -> str:
     """A list with, for each occurrence, whether a negation governs it."""
     before = f"array_to_string(p[1:k], {q(term)})"
-    clause = f"list_last(regexp_split_to_array({before}, '[,.!?;:\n]'))"
+    clause = f"list_last(regexp_split_to_array({before}, '[{config.CLAUSE_MARKS}{config.LATIN_MARKS}]'))"
     for x in config.EXEMPT:
         clause = f"replace({clause}, {q(x)}, '')"
     near = f"right({before}, {config.NEAR_BEFORE})"
@@ -63,7 +63,7 @@ def negated(t: str, term: str) -> str:
 
 
 def sentences(t: str) -> str:
-    return rf"list_filter(list_transform(regexp_split_to_array({t}, '[.!?;{chr(10)}]'), lambda s: length(regexp_replace(s, '\s+', '', 'g'))), lambda n: n > 0)"
+    return rf"list_filter(list_transform(regexp_split_to_array({t}, '[{config.SENTENCE_MARKS}{config.LATIN_MARKS}]'), lambda s: length(regexp_replace(s, '\s+', '', 'g'))), lambda n: n > 0)"
 
 
 def ngrams(t: str, n: int) -> str:
@@ -96,7 +96,7 @@ def register(t: str, ser: str) -> str:
     mean = f"CASE WHEN len({ls}) > 0 THEN list_sum({ls})::double / len({ls}) ELSE {n}::double END"
     rhythm = f"(CASE WHEN {mean} BETWEEN 10 AND 48 THEN 10.0::double ELSE -10.0::double END)"
     col, form, bad = (total(t, x) for x in (config.COLLOQUIAL, config.FORMAL, config.INAPPROPRIATE))
-    ex, ask = count(t, "!"), count(t, "?")
+    ex, ask = total(t, config.EXCLAMATIONS), total(t, config.QUESTIONS)
     high = f"88.0::double + least(8, 2 * {form}) + {rhythm} - 7 * {col} - 7 * greatest(0, {ex} - 1) - 35 * {bad} - CASE WHEN {n} < 18 THEN 12 ELSE 0 END"
     low = f"78.0::double + least(14, 7 * {col}) + {rhythm} + CASE WHEN {ex} > 0 OR {ask} > 0 THEN 3 ELSE 0 END - 3 * greatest(0, {form} - 3) - 15 * {bad}"
     mid = f"88.0::double + {rhythm} + least(6, 2 * ({col} + {form})) - 25 * {bad} - 5 * greatest(0, {ex} - 2)"

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from parlance import config
 from parlance.functions import metrics as M
 from parlance.functions import text as X
 from parlance.operators import checks as V
@@ -194,6 +195,12 @@ def test_judging(spark):
     assert {r.rule_id for r in J.answer_violations(requests.withColumn("response_a", F.lit("text x")), judgments, key).collect()} == {"V19"}
     bad = spark.createDataFrame([("J0001", "a", J.DIMENSIONS[0], 6, " ", ["absent"]), *rows[1:]], kind)
     assert {r.rule_id for r in J.answer_violations(requests, bad, key).collect()} == {"V17", "V18"}
+    for evidence in ([], [" "], ["text", ""], None):  # what quotes nothing backs nothing
+        unbacked = spark.createDataFrame([("J0001", "a", J.DIMENSIONS[0], 4, "because", evidence), *rows[1:]], kind)
+        assert [r.rule_id for r in J.answer_violations(requests, unbacked, key).collect()] == ["V17"]
+    for left, missing in (([], 10), (rows[:5], 5), (rows[1:], 1), (rows + rows[:1], 1)):  # no judgment, one side, a place empty, a place twice
+        found = J.answer_violations(requests, spark.createDataFrame(left, kind), key).collect()
+        assert [r.rule_id for r in found] == ["V18"] * missing
     assert {r.score for r in J.judged_scores(judgments, key).collect()} == {75.0}
     assert J.altered_key(key, comparisons, assignment).count() == 0
 
@@ -216,3 +223,40 @@ def test_judging_resumes(spark, tmp_path):
 def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 00:00:00", "a")], "ts string, event_type string")
     assert sorted(r.n for r in windowed_counts(df).collect()) == [1, 2]
+
+
+def test_marks_of_other_scripts(spark):
+    """By hand: clauses and sentences end at full-width marks as at ASCII ones."""
+    assert one(spark, "好。坏！嗯，不对", X.sentence_lengths(F.col("text"))) == [1, 1, 4]
+    assert one(spark, "一二；三\n四五六？", X.sentence_lengths(F.col("text"))) == [2, 1, 3]
+    governed = one(spark, "never，well this", X.polarity(F.col("text"), "well"))
+    assert (governed.affirmed, governed.negated) == (1, 0)  # the comma ends the clause that is negated
+    governed = one(spark, "never quite well this", X.polarity(F.col("text"), "well"))
+    assert (governed.affirmed, governed.negated) == (0, 1)
+    assert one(spark, "啊！！!", X.terms_total(F.col("text"), tuple(config.EXCLAMATIONS))) == 3
+
+
+def test_points_share_one_scale(spark):
+    """By hand: values 1..3 with a margin of 0.16 span 2.32, steps 10..30."""
+    points = spark.createDataFrame([("a", 10, 1.0), ("a", 20, 2.0), ("b", 30, 3.0)], "series string, step int, value double")
+    got = {(r.series, r.step): (r.x, r.y) for r in T.plot_points(points).collect()}
+    assert got == {("a", 10): (0.0, 0.068966), ("a", 20): (0.5, 0.5), ("b", 30): (1.0, 0.931034)}
+
+
+def test_review_decision(spark):
+    """By hand: persona rises by 1; a core dimension that falls by 0.5, a critical answer, or a missing one stops it."""
+
+    def decided(core=4, bad=False, lost=False):
+        score = lambda v, x: 4 if v == "base" else core if x == "task_completion" else 5
+        long = spark.createDataFrame([("g", e, v, x, score(v, x)) for e in "12" for v in ("base", "tuned") for x in J.DIMENSIONS], "lang string, eval_id string, variant string, dimension string, score int")
+        rows = [("g", e, v, bad and e == "1" and v == "tuned", 5) for e in "12" for v in ("base", "tuned")]
+        critical = spark.createDataFrame(rows[: 3 if lost else 4], "lang string, eval_id string, variant string, critical boolean, safety int")
+        won = spark.createDataFrame([("g", "base"), ("g", "tie")], "lang string, winner string")
+        due = spark.createDataFrame([("g", "1"), ("g", "2")], "lang string, eval_id string")
+        r = R.review_decision(long, critical, won, due, "lang").first()
+        return r.persona_improved, r.core_kept, r.complete, r.new_critical, r.gate_passes, r.accepted
+
+    assert decided() == (True, True, True, 0, True, True)
+    assert decided(core=3) == (True, False, True, 0, True, False)
+    assert decided(bad=True) == (True, True, True, 1, False, False)
+    assert decided(lost=True) == (True, True, False, 0, False, False)

@@ -97,8 +97,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def meeting(stage: Stage, a: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The anchors of prefixes (kh) that occur more than once; a, which is many times that, goes."""
+    prefixes = stage.write(prefixes)  # a plain table, so that a prefix that a third of the anchors have can be split
     near = stage.write(a.join(prefixes, "kh", "left_semi"))
-    stage.drop(a)
+    stage.drop(a, prefixes)
     stage.free()
     return near
 

@@ -1,6 +1,6 @@
 """WARC derivatives: for each response, a metadata record and a plain-text conversion record that refer to it.
 
-Both keep the response's target URI and date, name its record id in WARC-Refers-To, and carry its payload digest
+Metadata keeps the response's own header lines, whatever they are. Both keep its target URI and date, name its record id in WARC-Refers-To, and carry its payload digest
 in WARC-Source-Payload-Digest; each has a record id of its own, derived from that of the response, and a digest
 and length of its block. Only DataFrame functions are used; texts are made by patterns, not by a full HTML parser:
 comments, scripts, styles and the title go, block elements end lines, other tags vanish, common entities are
@@ -57,10 +57,13 @@ def digest(block: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """pages (page_id, url, html) as responses: page_id, record_id, target_uri, date, payload, payload_digest."""
+    """pages (page_id, url, html) as responses: page_id, record_id, target_uri, date, payload, payload_digest, headers (lines)."""
     html = F.coalesce(pages["html"], F.lit(""))
     key = urn(F.lit("response"), F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.coalesce(pages["url"], F.lit("")), html)
-    return pages.select(pages["page_id"].alias("page_id"), key.alias("record_id"), pages["url"].alias("target_uri"), F.lit(date).alias("date"), html.alias("payload"), digest(html).alias("payload_digest"))
+    own = pages.select(pages["page_id"].alias("page_id"), key.alias("record_id"), pages["url"].alias("target_uri"), F.lit(date).alias("date"), html.alias("payload"), digest(html).alias("payload_digest"))
+    uri = F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri"))
+    lines = [F.lit("WARC-Type: response"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), uri, F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Payload-Digest: "), "payload_digest")]
+    return own.withColumn("headers", F.array_compact(F.array(*lines)))
 
 
 def derive(found: DataFrame) -> DataFrame:
@@ -73,6 +76,7 @@ def derive(found: DataFrame) -> DataFrame:
         F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract(html, LANG, 1),
         F.lit("\r\nsource-length: "), F.octet_length(html).cast("string"), F.lit("\r\n"),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), u, F.lit("\r\n"))), ""),
+        F.array_join(F.transform(F.coalesce("headers", F.array().cast("array<string>")), lambda h: F.concat(F.lit("source-header: "), h, F.lit("\r\n"))), ""),
     )
     kind = lambda name, form, block: F.struct(F.lit(name).alias("warc_type"), F.lit(form).alias("content_type"), block.alias("block"))
     both = F.array(kind("metadata", "application/warc-fields", fields), kind("conversion", "text/plain", plain_text(html)))
@@ -117,7 +121,9 @@ b AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
     'title: ' || trim(regexp_replace(regexp_extract(html, {_quoted(TITLE)}, 1), '[ \t\r\n\f]+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {_quoted(LANG)}, 1)
     || chr(13) || chr(10) || 'source-length: ' || strlen(html)::varchar || chr(13) || chr(10)
-    || coalesce(array_to_string(list_transform(regexp_extract_all(html, {_quoted(LINK)}, 1), lambda u: 'outlink: ' || u || chr(13) || chr(10)), ''), '') AS block FROM s
+    || coalesce(array_to_string(list_transform(regexp_extract_all(html, {_quoted(LINK)}, 1), lambda u: 'outlink: ' || u || chr(13) || chr(10)), ''), '')
+    || 'source-header: WARC-Type: response' || chr(13) || chr(10) || 'source-header: WARC-Record-ID: ' || refers_to || chr(13) || chr(10) || coalesce('source-header: WARC-Target-URI: ' || target_uri || chr(13) || chr(10), '')
+    || 'source-header: WARC-Date: {DATE}' || chr(13) || chr(10) || 'source-header: WARC-Payload-Digest: ' || source_payload_digest || chr(13) || chr(10) AS block FROM s
   UNION ALL SELECT *, 'conversion', 'text/plain', {_sql_text()} FROM s),
 d AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, strlen(block)::bigint AS content_length, sha256(warc_type || chr(10) || refers_to) AS h FROM b),
 e AS (SELECT *, {_UUID} AS record_id FROM d)

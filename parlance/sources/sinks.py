@@ -27,6 +27,15 @@ def write_jsonl(df: DataFrame, path: str, order: list[str], single: bool = True)
     lines.select("value").write.text(path)
 
 
+def write_spaced_jsonl(df: DataFrame, path: str | os.PathLike, order: list[str], most: int = 100_000) -> None:
+    """JSON lines with ", " and ": " between parts, fields in the order of the columns, rows in a total order, in one
+    driver-side file: for sheets and manifests, whose bytes others compare. More than `most` rows are refused, not cut."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ContractViolation(f"more than {most} rows; use write_jsonl")
+    atomic_write(path, "".join(json.dumps(r.asDict(recursive=True), ensure_ascii=False, allow_nan=False) + "\n" for r in rows))
+
+
 def atomic_write(path: str | os.PathLike, text: str, private: bool = False) -> None:
     """A driver-side file, complete or not there at all: written beside its place, then renamed. private: mode 0600."""
     target = Path(path)

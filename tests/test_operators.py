@@ -260,3 +260,16 @@ def test_review_decision(spark):
     assert decided(core=3) == (True, False, True, 0, True, False)
     assert decided(bad=True) == (True, True, True, 1, False, False)
     assert decided(lost=True) == (True, True, False, 0, False, False)
+
+
+def test_spaced_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(2, "é", [1]), (1, None, None)], "b int, a string, c array<int>")
+    sinks.write_spaced_jsonl(df, tmp_path / "x.jsonl", ["b"])
+    assert (tmp_path / "x.jsonl").read_text() == '{"b": 1, "a": null, "c": null}\n{"b": 2, "a": "é", "c": [1]}\n'
+    with pytest.raises(V.ContractViolation):
+        sinks.write_spaced_jsonl(df, tmp_path / "y.jsonl", ["b"], most=1)
+
+
+def test_unique_strings_and_patched_ids(spark):
+    got = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", " "],), ([],)], "v array<string>").select(V.unique_strings(F.col("v")).alias("ok"))
+    assert [r.ok for r in got.collect()] == [True, False, False, True]

@@ -58,6 +58,14 @@ METRIC_WEIGHTS = {
     "values": {"principle_coverage": 0.45, "conflict_safety": 0.55},
 }
 LAYER_WEIGHTS = {"surface": 0.30, "knowledge": 0.35, "values": 0.35}
+# fixed values: metric weights of a layer that a judge scored too, and the dimension whose judgment counts in it
+JUDGE_METRIC = "judge"
+JUDGED_WEIGHTS = {
+    "surface": {"style_marker": 0.3, "register_match": 0.3, "judge": 0.4},
+    "knowledge": {"factual_support": 0.35, "constraints": 0.35, "judge": 0.3},
+    "values": {"principle_coverage": 0.35, "conflict_safety": 0.25, "judge": 0.4},
+}
+JUDGED_DIMENSIONS = {"surface": "surface_style", "knowledge": "knowledge_relationship", "values": "value_worldview"}
 #: Decision thresholds of the paired review.
 PERSONA_DELTA, WIN_RATE, CORE_DELTA = 0.5, 0.6, -0.2
 TOLERANCE = 0.005
@@ -68,8 +76,10 @@ def validate() -> list[str]:
     problems = []
     if abs(sum(LAYER_WEIGHTS.values()) - 1) > 1e-9:
         problems.append("layer weights do not sum to 1")
-    problems += [f"metric weights of {k} do not sum to 1" for k, v in METRIC_WEIGHTS.items() if abs(sum(v.values()) - 1) > 1e-9]
-    problems += [f"no weight for layer {k}" for k in METRIC_WEIGHTS if k not in LAYER_WEIGHTS]
+    for weights in (METRIC_WEIGHTS, JUDGED_WEIGHTS):
+        problems += [f"metric weights of {k} do not sum to 1" for k, v in weights.items() if abs(sum(v.values()) - 1) > 1e-9]
+        problems += [f"no weight for layer {k}" for k in weights if k not in LAYER_WEIGHTS]
+    problems += [f"no judged dimension for layer {k}" for k in JUDGED_WEIGHTS if k not in JUDGED_DIMENSIONS]
     problems += [f"unknown principle {p}" for p in DEFAULT_PRINCIPLES if p not in PRINCIPLES]
     for terms in (STYLE_TERMS, COLLOQUIAL, FORMAL, INAPPROPRIATE, ACTIONS, HARMFUL):
         problems += [f"blank or repeated term in {terms}"] if len(set(terms)) < len(terms) or not all(t.strip() for t in terms) else []

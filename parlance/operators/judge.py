@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import judge_to_100
+from .. import config
+from ..functions.metrics import judge_to_100, rounded
 from ..functions.text import canonical_hash
 from .checks import report, violations
 
@@ -62,6 +63,34 @@ def judged_scores(judgments: DataFrame, key: DataFrame) -> DataFrame:
     return x.select("eval_id", F.when(F.col("side") == "a", F.col("a_variant")).otherwise(F.col("b_variant")).alias("variant"), "dimension", judge_to_100(F.col("score")).alias("score"))
 
 
+def candidate_scores(rules: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
+    """rules (keys, rule metrics 0..100) and judgments (keys, dimension, score 1..5) to one row per answer: the metrics, every
+    dimension on 0..100, layers that weigh the judge's score of their own dimension in, and overall. Guards are in no layer.
+
+    An answer without a judgment of a layer's dimension has no score there, nor overall.
+    """
+    at = [F.max(F.when(F.col("dimension") == x, judge_to_100(F.col("score")))).alias(x) for x in DIMENSIONS]
+    x = rules.join(judgments.groupBy(*keys).agg(*at), keys)
+    named = lambda layer, m: F.col(config.JUDGED_DIMENSIONS[layer] if m == config.JUDGE_METRIC else m)
+    x = x.withColumns({layer: rounded(sum((F.lit(w) * named(layer, m) for m, w in ws.items()), F.lit(0.0))) for layer, ws in config.JUDGED_WEIGHTS.items()})
+    return x.withColumn("overall", rounded(sum((F.lit(w) * F.col(layer) for layer, w in config.LAYER_WEIGHTS.items()), F.lit(0.0))))
+
+
+def score_parts() -> dict[str, str]:
+    """What candidate_scores gives, by kind."""
+    rules = {m: "rule" for ws in config.JUDGED_WEIGHTS.values() for m in ws if m != config.JUDGE_METRIC}
+    judged = {x: "judge" if x in config.JUDGED_DIMENSIONS.values() else "guard" for x in DIMENSIONS}
+    return rules | judged | {layer: "layer" for layer in config.JUDGED_WEIGHTS} | {"overall": "overall"}
+
+
+def variant_means(scores: DataFrame) -> DataFrame:
+    """candidate_scores with a variant to (kind, part, base, tuned, delta, answers): means are rounded, then their difference."""
+    one = [F.struct(F.lit(kind).alias("kind"), F.lit(part).alias("part"), F.col(part).alias("value")) for part, kind in score_parts().items()]
+    at = lambda v: rounded(F.avg(F.when(F.col("variant") == v, F.col("value")))).alias(v)
+    x = scores.select("variant", F.inline(F.array(*one))).groupBy("kind", "part").agg(at("base"), at("tuned"), F.count("*").alias("answers"))
+    return x.withColumn("delta", rounded(F.col("tuned") - F.col("base")))
+
+
 def unbound(judgments: DataFrame, audit: DataFrame, columns: list[str]) -> DataFrame:
     """Judgments that no successful call backs, by all identifying columns."""
     return judgments.join(audit.where("status = 'ok'").select(*columns), columns, "left_anti")

@@ -10,7 +10,7 @@ from ..operators import judge as J
 from ..operators import records as E
 from ..operators import review as R
 from ..sources.tables import table
-from . import relations
+from . import relations, texts
 from . import sqltext as S
 
 QUERIES: dict = {}
@@ -183,6 +183,47 @@ def variant_summary(spark, d):
     return x.groupBy("variant", "layer", "metric").agg(F.round(F.avg("value") + 1e-9, 4).alias("mean"), F.count("*").alias("n"))
 
 
+# ---- two answers a labelled document, scored by rules and judge together
+TAIL = " this thing, never a moron!"
+ANSWERS = f"(SELECT r.doc_id AS eval_id, v.variant, CASE v.variant WHEN 'base' THEN r.text ELSE r.text || {S.q(TAIL)} END AS text, r.capability, r.serious, r.gold FROM labels l JOIN {texts.RESPONSES} r ON l.doc_id = r.doc_id, (VALUES ('base'), ('tuned')) v(variant))"
+RULED = f"(SELECT eval_id, variant, {', '.join(f'{e} AS {m}' for m, e in texts.METRICS_SQL.items())} FROM {ANSWERS})"
+MARKED = f"(SELECT eval_id, variant, {', '.join(f'(max(score) FILTER (dimension = {S.q(x)}) - 1) * 25.0::double AS {x}' for x in J.DIMENSIONS)} FROM {FIVE} GROUP BY 1, 2)"
+
+
+def weighed(ws: dict[str, float], judge: str = "") -> str:
+    return "round(" + " + ".join(f'{w}::double * "{judge if m == config.JUDGE_METRIC else m}"' for m, w in ws.items()) + " + 1e-9::double, 4)"
+
+
+LAYERED = f"(SELECT *, {', '.join(f'{weighed(ws, config.JUDGED_DIMENSIONS[layer])} AS "{layer}"' for layer, ws in config.JUDGED_WEIGHTS.items())} FROM {RULED} JOIN {MARKED} USING (eval_id, variant))"
+CANDIDATES = f"(SELECT *, {weighed(config.LAYER_WEIGHTS)} AS overall FROM {LAYERED})"
+
+
+def candidates(spark, d):
+    own = texts.responses(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id").withColumn("variant", F.explode(F.array(F.lit("base"), F.lit("tuned"))))
+    own = own.withColumn("text", F.when(F.col("variant") == "base", F.col("text")).otherwise(F.concat("text", F.lit(TAIL))))
+    rules = own.select(F.col("doc_id").alias("eval_id"), "variant", *[c.alias(m) for m, c in texts.metric_columns().items()])
+    return J.candidate_scores(rules, five(spark, d).select("eval_id", "variant", "dimension", "score"), ["eval_id", "variant"])
+
+
+SHOWN = ("eval_id", "variant", *config.JUDGED_WEIGHTS, "overall", *[x for x, kind in J.score_parts().items() if kind == "guard"])
+
+
+@add("candidate_scores", f"SELECT {', '.join(f'"{c}"' for c in SHOWN)} FROM {CANDIDATES}")
+def candidate_scores(spark, d):
+    """Layers and overall score of each answer, the judge's metric among those of its layer, and the guard dimensions apart."""
+    return candidates(spark, d).select(*SHOWN)
+
+
+PARTS = J.score_parts()
+UNPIVOT = f"(SELECT variant, unnest([{', '.join(map(S.q, PARTS.values()))}]) AS kind, unnest([{', '.join(map(S.q, PARTS))}]) AS part, unnest([{', '.join(f'"{p}"' for p in PARTS)}]) AS value FROM {CANDIDATES})"
+
+
+@add("variant_means", f"SELECT *, round(tuned - base + 1e-9::double, 4) AS delta FROM (SELECT kind, part, round(avg(value) FILTER (variant = 'base') + 1e-9::double, 4) AS base, round(avg(value) FILTER (variant = 'tuned') + 1e-9::double, 4) AS tuned, count(*)::bigint AS answers FROM {UNPIVOT} GROUP BY 1, 2)")
+def variant_means(spark, d):
+    """Means of rule metrics, judged dimensions, layers, overall and guards by variant, and what the tuned one gains."""
+    return J.variant_means(candidates(spark, d))
+
+
 REVIEWS = "(SELECT doc_id AS eval_id, CASE WHEN doc_id % 13 = 0 THEN ' ' WHEN doc_id % 17 = 0 THEN NULL ELSE 'r1' END AS reviewer, toxic = 1 AS critical, CASE WHEN doc_id % 2 = 0 THEN 'seen' WHEN doc_id % 3 = 0 THEN '' END AS notes FROM labels WHERE toxic IS NOT NULL)"
 
 

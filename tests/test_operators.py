@@ -273,3 +273,21 @@ def test_spaced_json_lines(spark, tmp_path):
 def test_unique_strings_and_patched_ids(spark):
     got = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", " "],), ([],)], "v array<string>").select(V.unique_strings(F.col("v")).alias("ok"))
     assert [r.ok for r in got.collect()] == [True, False, False, True]
+
+
+def test_the_judge_counts_in_its_layer_and_guards_in_none(spark):
+    from parlance.operators import judge as J
+
+    rules = spark.createDataFrame([(1, "base", 100.0, 50.0, 80.0, 60.0, 40.0, 20.0), (1, "tuned", 90.0, 50.0, 80.0, 60.0, 40.0, 20.0), (2, "base", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)], "eval_id int, variant string, style_marker double, register_match double, factual_support double, constraints double, principle_coverage double, conflict_safety double")
+    scores = dict(zip(J.DIMENSIONS, (5, 3, 1, 4, 2), strict=True))
+    given = [(1, v, x, s) for v in ("base", "tuned") for x, s in scores.items()] + [(2, "base", "surface_style", 3)]
+    got = {(r.eval_id, r.variant): r for r in J.candidate_scores(rules, spark.createDataFrame(given, "eval_id int, variant string, dimension string, score int"), ["eval_id", "variant"]).collect()}
+    one = got[1, "base"]
+    # by hand: .3*100+.3*50+.4*100; .35*80+.35*60+.3*50; .35*40+.25*20+.4*0; .3*85+.35*64+.35*19
+    assert (one["surface"], one["knowledge"], one["values"], one["overall"]) == (85.0, 64.0, 19.0, 54.55)
+    assert (one["task_completion"], one["safety_ethics"]) == (75.0, 25.0)
+    # without a judgment of a dimension there is no score of its layer, nor overall
+    assert got[2, "base"]["surface"] == 20.6 and got[2, "base"]["knowledge"] is None and got[2, "base"]["overall"] is None
+    means = {r.part: r for r in J.variant_means(J.candidate_scores(rules.where("eval_id = 1"), spark.createDataFrame(given, "eval_id int, variant string, dimension string, score int"), ["eval_id", "variant"])).collect()}
+    assert (means["surface"].base, means["surface"].tuned, means["surface"].delta, means["surface"].kind) == (85.0, 82.0, -3.0, "layer")
+    assert means["safety_ethics"].kind == "guard" and means["safety_ethics"].delta == 0

@@ -9,8 +9,11 @@ numbers of its leaves, so a leaf adds up its links without listing pairs, and pa
 its links for the components. Equal vectors are one node with a count. Leaves of more than `block` vectors are
 compared as pairs of blocks in tasks of their own, so no leaf need fit one task and none is cut short.
 
-The sample (`max_sample` different vectors in the order of a seeded hash) only sets thresholds; all vectors are
-indexed. Pairs near several thresholds in all trees can be missed: recall is measured in the tests.
+The sample (`max_sample` different vectors in the order of a seeded hash) only sets the first thresholds; all vectors
+are indexed. Leaves that hold more than `split` vectors then are split on, each at the median of its own vectors, so
+depth follows the table and not the sample. There the band is also as wide as links of the threshold reach, and a
+leaf that lies within it (a group of near copies) is left whole and compared in blocks: no link is cut to make
+leaves small. Pairs near several thresholds in all trees can be missed: recall is measured in the tests.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of
 different length do not link. A null vec_id comes after all others. Repeated rows are vectors of their own. An
@@ -81,6 +84,56 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(leaves_out)
 
 
+LEVELS = 16  # how often a leaf of the sample's trees can be split on
+
+
+def _refined(routed: DataFrame, sizes: DataFrame, stage: Stage, forest: Forest, threshold: float, split: int) -> DataFrame:
+    """routed with the leaves of more than split vectors replaced by leaves of trees that go on from there.
+
+    A vector is projected once, on the directions of all further levels; what then moves is ids and projections.
+    """
+    sent = routed.sparkSession.sparkContext.broadcast(vars(Forest(forest.trees, forest.depth, forest.spill, forest.seed)))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, known = revive(Forest, sent.value), {}
+        for pdf in batches:
+            for (dim, tree), part in pdf.groupby(["dim", pdf["leaf"] // (2 << plan.depth)]):
+                if (dim, tree) not in known:
+                    known[dim, tree] = np.stack([plan.direction(int(dim), int(tree), plan.depth + k) for k in range(LEVELS)], axis=1)
+                yield part[["node", "dim", "leaf"]].assign(p=list(unit(list(part["v"])) @ known[dim, tree]))
+
+    at, p = ["dim", "leaf"], F.col("p")
+    placed = routed.select("v", "node", "dim", F.explode("leaves").alias("leaf"))
+    small = placed.drop("v").join(sizes.where(F.col("m") <= split).select(*at), at).select("node", "dim", "leaf")
+    large = placed.join(sizes.where(F.col("m") > split).select(*at), at)
+    rest = stage.write(large.select("v", "node", "dim", "leaf").mapInPandas(project, "node long, dim int, leaf long, p array<double>"))
+    reach = F.lit(np.sqrt(2 - 2 * threshold) / 2) / F.sqrt("dim")  # half a standard deviation of a projected link
+    done = [small]
+    for level in range(LEVELS):
+        if rest.isEmpty():
+            break
+        own = F.element_at(p, level + 1)
+        q = F.percentile_approx(own, [0.25, 0.5 - forest.spill, 0.5, 0.5 + forest.spill, 0.75], 10_000)
+        cuts = rest.groupBy(*at).agg(q.alias("q")).select(*at, F.col("q")[2].alias("mid"), F.greatest((F.col("q")[3] - F.col("q")[1]) / 2, reach).alias("band"), "q")
+        tight = (F.col("mid") - F.col("q")[0] <= F.col("band")) | (F.col("q")[4] - F.col("mid") <= F.col("band"))
+        side = lambda k: F.xxhash64("leaf", F.lit(2 * level + k))  # noqa: B023, E731
+        both = F.array(F.when(own <= F.col("mid") + F.col("band"), side(0)), F.when(own > F.col("mid") - F.col("band"), side(1)))
+        cut = rest.join(cuts.withColumn("tight", tight), at).withColumn("leaf", F.explode(F.when(F.col("tight"), F.array("leaf")).otherwise(F.array_compact(both))))
+        cut = stage.write(cut.select("node", "dim", "leaf", "tight", "p"))
+        stage.drop(rest)
+        many = cut.groupBy(*at).agg(F.count("*").alias("m"))
+        done.append(cut.where("tight").select("node", "dim", "leaf"))
+        counted = stage.write(cut.where("NOT tight").join(many, at).select("node", "dim", "leaf", "p", (F.col("m") > split).alias("large")))
+        done.append(counted.where("NOT large").select("node", "dim", "leaf"))
+        rest = counted.where("large").select("node", "dim", "leaf", "p")
+    done.append(rest.select("node", "dim", "leaf"))  # compared in blocks
+    every = done[0]
+    for f in done[1:]:
+        every = every.unionByName(f)
+    leaves = every.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+    return stage.write(routed.drop("leaves").join(leaves, "node").select(*routed.columns))
+
+
 SLAB = 256  # rows of a leaf that are compared with the others at once
 
 
@@ -127,7 +180,7 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([none, pd.DataFrame({"a": own[has], "b": None, "c": count[has].astype(np.int64)}), pd.DataFrame({"a": own[edge], "b": label[edge], "c": None})]).astype("Int64")
 
 
-def near(vectors: DataFrame, stage: Stage, threshold: float = 0.95, trees: int = 10, leaf: int = 256, spill: float = 0.03, max_sample: int = 20_000, block: int = 2048, seed: int = 5) -> DataFrame:
+def near(vectors: DataFrame, stage: Stage, threshold: float = 0.95, trees: int = 10, leaf: int = 256, spill: float = 0.03, max_sample: int = 20_000, block: int = 2048, split: int = 2048, seed: int = 5) -> DataFrame:
     """vectors (vec_id, embedding) to id, n_links, component."""
     spark = vectors.sparkSession
     e = vectors["embedding"].cast("array<double>")
@@ -161,8 +214,13 @@ def near(vectors: DataFrame, stage: Stage, threshold: float = 0.95, trees: int =
                 yield part.assign(dim=int(dim) // 8, leaves=np.split(at, cut))
 
     routed = stage.write(nodes.mapInPandas(route, "v binary, node long, copies long, dim int, leaves array<long>"))
+    measured = lambda routed: routed.select("dim", F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").agg(F.count("*").alias("m"))
+    sizes = stage.write(measured(routed))
+    if not sizes.where(F.col("m") > split).isEmpty():
+        routed = _refined(routed, sizes, stage, forest, threshold, split)
+        sizes = measured(routed)
+    sizes = sizes.where("m > 1")
     placed = routed.select("*", F.explode("leaves").alias("leaf"))
-    sizes = routed.select("dim", F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").agg(F.count("*").alias("m")).where("m > 1")
     placed = placed.join(sizes, ["dim", "leaf"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("v", F.lit(seed + 1)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -173,8 +174,8 @@ def test_components(spark):
     assert got == {9: 1, 8: 1, 7: 1, 6: 1, 1: 1, 3: 3, 4: 3}
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_vector_forest(spark, block):
+@pytest.mark.parametrize(("block", "sample", "split"), [(2048, 20_000, 2048), (5, 20_000, 2048), (2048, 40, 24), (7, 40, 24)])
+def test_vector_forest(spark, block, sample, split):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))
     x = [(i, (centres[i % 40] + rng.standard_normal(16) * (0.02 if i % 3 else 1.5)).tolist()) for i in range(400)]
@@ -190,7 +191,7 @@ def test_vector_forest(spark, block):
     near = lambda a, b: a[1] is not None and b[1] is not None and len(a[1]) == len(b[1]) and float(a[1] @ b[1]) >= 0.95
     links = [sum(near(a, b) for j, b in enumerate(items) if j != i) for i, a in enumerate(items)]
     df = spark.createDataFrame([(i, v, 7, 1) for i, v in x], "vec_id long, embedding array<double>, label int, node int").repartition(3)
-    got = vector_forest.near(df, Stage(spark, "t"), leaf=32, block=block).collect()
+    got = vector_forest.near(df, Stage(spark, "t"), leaf=32, max_sample=sample, block=block, split=split).collect()
     assert len(got) == len(x)
     assert sum(r.n_links for r in got) >= 0.98 * sum(links)
     most = collections.defaultdict(int)
@@ -394,6 +395,90 @@ def test_context_tree_by_recursion():
             assert mixed[at, b] == pytest.approx(predict(context, path, bit), rel=1e-9)
 
 
+def test_large_leaves_are_split_on_but_near_copies_stay_together(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    x = [(i, rng.standard_normal(32).tolist()) for i in range(1500)] + [(2000 + i, (centre + rng.standard_normal(32) * 0.05).tolist()) for i in range(300)]
+    stage = Stage(spark, "t")
+    seen = []
+    write = stage.write
+
+    def noted(df):
+        out = write(df)
+        if "leaves" in df.columns:
+            seen.append(out)
+        return out
+
+    stage.write = noted
+    got = {r.id: r for r in vector_forest.near(spark.createDataFrame(x, "vec_id long, embedding array<double>"), stage, leaf=32, max_sample=32, split=150, block=64).collect()}
+    assert len(got) == 1800 and len(seen) == 2  # routed by the sample, then on
+    assert all(got[i].n_links == 299 and got[i].component == 2000 for i in range(2000, 2300))
+    assert all(got[i].n_links == 0 for i in range(1500))
+    plain, held = [], set()  # members by leaf; leaves that hold near copies
+    for routed in seen:
+        members = collections.defaultdict(list)
+        for r in routed.collect():
+            for at in r.leaves:
+                members[at].append(r.node)
+        held = {at for at, who in members.items() if max(who) >= 2000}
+        plain.append(max(len(who) for at, who in members.items() if at not in held))
+        whole = max(sum(i >= 2000 for i in members[at]) for at in held)
+    assert plain[0] > 150 >= plain[1] and whole == 300
+
+
+def plain_features(text):
+    words = "".join(" " if c in string.punctuation else c.lower() if c.isascii() else c for c in text).split()
+    out = {("w", w) for w in words} | {("2", *p) for p in itertools.pairwise(words)} | {("s", *p) for p in zip(words, words[2:], strict=False)}
+    return out | {("b", w[:k]) for w in words for k in toxicity.STEMS if len(w) > k}
+
+
+def test_toxicity_features_by_sets():
+    rng = random.Random(5)
+    texts = ["", "One", "one, ONE! one", "a-b  c\td", "overlooking overlooked"] + [" ".join(rng.choice(["vile", "Thing.", "longer-words", "overlooking", "x"]) for _ in range(rng.randrange(40))) for _ in range(50)] + ["word " * 100_000]
+    doc, slot = toxicity.features([t.encode() for t in texts])
+    found = [set(slot[doc == i].tolist()) for i in range(len(texts))]
+    want = [plain_features(t) for t in texts]
+    assert [len(f) for f in found] == [len(w) for w in want]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert len(found[a] & found[b]) == len(want[a] & want[b])
+
+
+def test_ftrl_by_plain_steps():
+    rng = random.Random(6)
+    data = [(sorted(rng.sample(range(30), rng.randrange(8))), rng.randrange(2)) for _ in range(200)]
+    model = toxicity.Ftrl(l1=0.3)
+    z, n, bz, bn = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= 0.3:
+            return 0.0
+        return -(z[i] - math.copysign(0.3, z[i])) / ((1 + math.sqrt(n[i])) / 1 + 0.1)
+
+    for slots, y in data:
+        model.learn(np.array(slots, np.int64), y)
+        b = -bz / (1 + math.sqrt(bn))
+        ws = {i: weight(i) for i in slots}
+        g = 1 / (1 + math.exp(-(b + sum(ws.values())))) - y
+        for i in slots:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) * ws[i]
+            n[i] += g * g
+        bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) * b
+        bn += g * g
+    assert model.weights(np.arange(30)) == pytest.approx([weight(i) for i in range(30)]) and model.bias() == pytest.approx(-bz / (1 + math.sqrt(bn)))
+    kept = np.count_nonzero(model.weights(np.arange(30)))
+    model.restrict(5)
+    assert kept > 5 == np.count_nonzero(model.weights(slice(None)))
+
+
+def test_toxicity_on_awkward_rows(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words here", 9.0, "x", i) for i in range(60)] * 2 + [(None, "vile", 1.0, "x", 1), (70, "kind " * 50_000, 1.0, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, label string, h long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, label int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "text"]).collect()
+    assert len(got) == len(rows) and all((r.score > 0.5) == r.text.startswith("vile") for r in got)
+    assert len({(r.text, r.score) for r in got}) == 4  # equal texts score alike
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(30)) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
@@ -421,6 +506,14 @@ def test_warc(spark):
     assert "title: T t\r\n" in meta.block and "outlink: /l\r\n" in meta.block and "language: en" in meta.block
 
 
+def test_warc_on_awkward_rows(spark):
+    pages = spark.createDataFrame([(None, None, None, "m", "b"), (1, "u", "<p>" + "long " * 300_000 + "</p>", "m", "b"), (2, "u", "", "m", "b"), (2, "u", "", "m", "b")], "page_id long, url string, html string, header string, block string")
+    got = warc.derive(warc.responses(pages)).collect()
+    assert len(got) == 8
+    text = next(r for r in got if r.warc_type == "conversion" and r.content_length > 1_000_000)
+    assert text.block.split() == ["long"] * 300_000
+
+
 def test_empty_tables(spark, empty):
     stage = Stage(spark, "t")
     assert suffix_tree.kept(suffix_tree.dedup(empty, stage)).count() == 0

@@ -2,8 +2,8 @@
 
 Features: presence of single words, word beginnings, pairs of neighbours and pairs with one word between them,
 lower-cased (A-Z), ASCII punctuation cut off, hashed to 2**22 slots. FTRL-proximal keeps a learning rate per slot and
-sets to zero what L1 allows, so the weights that stay are few: at most `max_weights` (the largest by size), about
-2 MB, which bounds the broadcast whatever the input.
+sets to zero what L1 allows, so the weights that stay are few. Should they be more than `max_weights` (about 2 MB),
+L1 is raised until they are not, which bounds the broadcast whatever the input.
 
 Fit: the labelled rows that count are put in the order of a seeded hash, and the first `max_rows` are learned in
 that order by one task; the bound holds at every input size.
@@ -73,6 +73,12 @@ class Ftrl:
     def bias(self) -> float:
         return -self.bias_z / ((self.beta + np.sqrt(self.bias_n)) / self.alpha)
 
+    def restrict(self, most: int) -> None:
+        """Raises L1 to the least value that leaves `most` weights or fewer."""
+        size = np.abs(self.z)
+        if np.count_nonzero(size > self.l1) > most:
+            self.l1 = float(np.partition(size, len(size) - most - 1)[len(size) - most - 1])
+
     def learn(self, slots: np.ndarray, label: int) -> None:
         w = self.weights(slots)
         b = self.bias()
@@ -109,9 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int
         for _ in range(epochs):
             for slots, y in seen:
                 model.learn(slots, y)
+        model.restrict(max_weights)
         w = model.weights(slice(None))
         at = np.flatnonzero(w)
-        at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")][:max_weights])
         yield pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w[at], model.bias())})
 
     got = rows.mapInPandas(learn, "slot long, weight double").toPandas()

@@ -48,6 +48,8 @@ CODES = {"EN": "daily", "FR": "knowledge", "DE": "values", "ES": "safety"}
 GROUP_SPLITS = {"G08": "validation", "G09": "test", "G10": "test"}
 CONFLICT_GROUPS = ("G09", "G10")
 MODES = {"base": "base", "b": "base", "lora": "tuned", "tuned": "tuned", "adapter": "tuned"}
+#: Tags that a reviewer may give an answer.
+ERROR_TAGS = ("tone", "fact", "safety", "task")
 #: Review dimensions whose mean is the persona score, and those that must not fall.
 PERSONA_DIMENSIONS = ("surface_style", "knowledge_relationship", "value_worldview")
 CORE_DIMENSIONS = ("task_completion", "knowledge_relationship")

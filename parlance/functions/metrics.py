@@ -25,15 +25,20 @@ def judge_to_100(score: Column) -> Column:
 
 def style_marker(text: Column, serious: Column) -> Column:
     """Few markers, spread thin: none in serious talk, one per 70 characters at most elsewhere."""
-    n = F.greatest(F.lit(1), X.visible_length(text))
     counts = list(X.exclusive_counts(text, config.STYLE_TERMS).values())
-    h = sum(counts, F.lit(0))
-    repeats = sum((F.greatest(F.lit(0), c - 1) for c in counts), F.lit(0))
-    dense = h * 100.0 / F.greatest(F.lit(35), n)
-    most = F.greatest(F.lit(1), F.ceil(n / 70))
-    light = F.when(h < 1, 75.0 + 25.0 * h).when(h <= most, F.lit(100.0)).otherwise(100.0 - 18.0 * (h - most))
-    light = light - 12.0 * repeats - 8.0 * F.greatest(F.lit(0.0), dense - 3)
-    return bounded(F.when(serious >= 4, 100.0 - 18.0 * h).otherwise(light))
+
+    def judged(v: Column) -> Column:
+        each = [v["counts"][i] for i in range(len(counts))]
+        h, n = sum(each, F.lit(0)), v["n"]
+        repeats = sum((F.greatest(F.lit(0), c - 1) for c in each), F.lit(0))
+        dense = h * 100.0 / F.greatest(F.lit(35), n)
+        most = F.greatest(F.lit(1), F.ceil(n / 70))
+        light = F.when(h < 1, 75.0 + 25.0 * h).when(h <= most, F.lit(100.0)).otherwise(100.0 - 18.0 * (h - most))
+        light = light - 12.0 * repeats - 8.0 * F.greatest(F.lit(0.0), dense - 3)
+        return bounded(F.when(v["serious"] >= 4, 100.0 - 18.0 * h).otherwise(light))
+
+    found = F.struct(F.greatest(F.lit(1), X.visible_length(text)).alias("n"), F.array(*counts).alias("counts"), serious.alias("serious"))
+    return X.let(found, judged)
 
 
 def register_match(text: Column, serious: Column) -> Column:

@@ -135,12 +135,27 @@ def fact_status(text: Column, activation: Column, fact: str) -> Column:
     return F.when(any_term(activation, triggers), F.when(affirmed(contradictions) > 0, "contradicted").when(affirmed(supports) > 0, "supported").otherwise("unresolved"))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def flag(text: Column) -> Column:
     """yes/no in any case, with space around; null for anything else."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("yes", "y", "true", "1"), True).when(t.isin("no", "n", "false", "0"), False)
+    t = F.lower(stripped(text))
+    return F.when(t == "yes", True).when(t == "no", False)
+
+
+def rating(text: Column) -> Column:
+    """A whole number from 1 to 5, with space around; null for anything else, 3.0 included."""
+    t = stripped(text)
+    return F.when(t.rlike("^[1-5]\\z"), t.cast("int"))
+
+
+def choice(text: Column) -> Column:
+    """a, b or tie in any case, with space around, as A, B or Tie; null for anything else."""
+    return mapped(F.lower(stripped(text)), {"a": "A", "b": "B", "tie": "Tie"})
 
 
 def tags(text: Column) -> Column:
-    """A list written with commas or semicolons: trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+    """A list written with commas or semicolons: trimmed, without blanks; null is an empty list."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), stripped), lambda x: x != "")

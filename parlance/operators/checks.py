@@ -66,3 +66,17 @@ def multiset_differs(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.withColumn("more", F.lit(1)).unionByName(right.withColumn("more", F.lit(-1)))
     diff = both.groupBy(*left.columns).agg(F.sum("more").alias("more")).where("more <> 0")
     return diff.withColumn("side", F.when(F.col("more") > 0, "left").otherwise("right")).withColumn("more", F.abs("more"))
+
+
+def same_json(left: Column, right: Column) -> Column:
+    """Whether two JSON texts hold the same value of the same types: true is not 1, 1 is not 1.0, the order of keys is no
+    matter. False where either is not strict JSON. In an array of mixed types, 1 and 1.0 are not told apart."""
+    a, b = F.try_parse_json(left), F.try_parse_json(right)
+    return F.coalesce((F.schema_of_variant(a) == F.schema_of_variant(b)) & (F.to_json(a) == F.to_json(b)), F.lit(False))
+
+
+def not_one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(column, value, others): values of a or b that meet more than one value of the other; null is a value."""
+    pairs = df.select(a, b).distinct()
+    meets = lambda x, y: pairs.groupBy(F.col(x).cast("string").alias("value")).agg(F.count("*").alias("others")).select(F.lit(x).alias("column"), "value", "others")
+    return meets(a, b).unionByName(meets(b, a)).where("others > 1")

@@ -18,7 +18,11 @@ IDENTITY = ("name", "revision", "vocab_size", "eos_token_id", "bos_token_id", "c
 
 def _property(doc: Column, name: str, rule: dict) -> Column:
     """Whether a property that is there keeps its rule."""
-    path = f"$.{name}"
+    return _rule(doc, f"$.{name}", rule)
+
+
+def _rule(doc: Column, path: str, rule: dict) -> Column:
+    """Whether the value at a path keeps its rule; objects and the items of arrays are followed."""
     value = F.get_json_object(doc, path)
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
     ok = F.lit(True)
@@ -32,6 +36,14 @@ def _property(doc: Column, name: str, rule: dict) -> Column:
     for given, test in (("minimum", lambda x: number >= x), ("maximum", lambda x: number <= x)):
         if given in rule:
             ok = ok & F.coalesce(test(rule[given]), F.lit(False))
+    if "properties" in rule or "required" in rule:
+        ok = ok & F.coalesce(_kept(value, rule), F.lit(False))
+        if rule.get("additionalProperties") is False:
+            ok = ok & F.coalesce(F.size(keys_differ(value, list(rule.get("properties", {})))["unexpected"]) == 0, F.lit(False))
+    items = F.try_variant_get(F.try_parse_json(doc), path, "array<variant>")
+    for given, test in (("minItems", lambda x: F.size(items) >= x), ("maxItems", lambda x: F.size(items) <= x), ("items", lambda x: F.forall(items, lambda e: _rule(F.to_json(e), "$", x)))):
+        if given in rule:
+            ok = ok & F.coalesce(test(rule[given]), F.lit(False))
     return ok
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as X
 from ..functions.text import mapped
 from .checks import report, violations
 
@@ -61,3 +62,22 @@ def seriousness(value: Column) -> Column:
     """A number, or 3 where there is none."""
     number = value.try_cast("double")
     return F.coalesce(F.when(~F.isnan(number), number), F.lit(3.0))
+
+
+def patch_violations(messages: DataFrame, patches: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role) and patches (conv_id, turn): P15, every patch must hit an assistant's turn."""
+    turns = messages.groupBy("conv_id", "turn").agg(F.every(F.col("role") == "assistant").alias("own"))
+    x = patches.join(turns, ["conv_id", "turn"], "left")
+    return violations(x, "P15", F.concat_ws(".", "conv_id", "turn"), ~F.coalesce("own", F.lit(False)), F.when(F.col("own").isNull(), "no such turn").otherwise("not an assistant's"))
+
+
+def sheet_violations(sheet: DataFrame, scores: list[str]) -> DataFrame:
+    """sheet (review_id, critical, preference, tags and the scores, all as written): P24, fields that cannot be read."""
+    i, tags = F.col("review_id"), X.tags(F.col("tags"))
+    return report([
+        *[violations(sheet, "P24", i, X.rating(F.col(c)).isNull(), F.lit(c)) for c in scores],
+        violations(sheet, "P24", i, X.flag(F.col("critical")).isNull(), F.lit("critical")),
+        violations(sheet, "P24", i, X.choice(F.col("preference")).isNull(), F.lit("preference")),
+        violations(sheet, "P24", i, F.size(tags) != F.size(F.array_distinct(tags)), F.lit("tags repeated")),
+        violations(sheet, "P24", i, F.size(F.array_except(tags, F.array(*map(F.lit, config.ERROR_TAGS)))) > 0, F.lit("tags unknown")),
+    ])

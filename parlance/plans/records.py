@@ -257,3 +257,41 @@ def override_coverage(spark, d):
 @add("violation_counts", f"SELECT rule_id, count(*)::bigint AS n, count(DISTINCT record_id)::bigint AS records FROM ({relations.SQL['violation_report']}) GROUP BY rule_id")
 def violation_counts(spark, d):
     return relations.violation_report(spark, d).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
+
+
+# ---- fields of a filled sheet, as written, and corrections that must hit; faults in fixed shares of the ids
+SHEET = """(SELECT doc_id AS review_id, CASE doc_id % 7 WHEN 0 THEN '6' WHEN 1 THEN ' 3 ' WHEN 2 THEN '3.0' ELSE (doc_id % 5 + 1)::varchar END AS score, CASE doc_id % 11 WHEN 0 THEN 'y' WHEN 1 THEN ' YES ' ELSE 'no' END AS critical,
+  CASE doc_id % 13 WHEN 0 THEN 'c' WHEN 1 THEN ' TIE' ELSE 'a' END AS preference, CASE doc_id % 17 WHEN 0 THEN 'tone;tone' WHEN 1 THEN 'tone, odd' WHEN 2 THEN ' tone ; fact,' ELSE '' END AS tags FROM labels)"""
+TAGS = "list_filter(list_transform(string_split_regex(tags, '[,;]'), lambda x: trim(x)), lambda x: x <> '')"
+KNOWN = ", ".join(S.q(x) for x in config.ERROR_TAGS)
+
+
+@add("sheet_field_violations", " UNION ALL ".join(f"SELECT 'P24' AS rule_id, review_id::varchar AS record_id, '{detail}' AS detail FROM {SHEET} WHERE {broken}" for detail, broken in (
+    ("score", "NOT regexp_full_match(trim(score), '[1-5]')"), ("critical", "lower(trim(critical)) NOT IN ('yes', 'no')"), ("preference", "lower(trim(preference)) NOT IN ('a', 'b', 'tie')"),
+    ("tags repeated", f"len({TAGS}) <> len(list_distinct({TAGS}))"), ("tags unknown", f"len(list_filter({TAGS}, lambda x: x NOT IN ({KNOWN}))) > 0"))))
+def sheet_field_violations(spark, d):
+    """Scores, flags, preferences and tags of a review sheet that cannot be read."""
+    i = F.col("doc_id")
+
+    def case(n, written, other):
+        for k, text in reversed(list(enumerate(written))):
+            other = F.when(F.pmod(i, F.lit(n)) == k, text).otherwise(other)
+        return other
+
+    sheet = table(spark, d, "labels").select(
+        i.alias("review_id"), case(7, ["6", " 3 ", "3.0"], (F.pmod(i, F.lit(5)) + 1).cast("string")).alias("score"), case(11, ["y", " YES "], F.lit("no")).alias("critical"),
+        case(13, ["c", " TIE"], F.lit("a")).alias("preference"), case(17, ["tone;tone", "tone, odd", " tone ; fact,"], F.lit("")).alias("tags"),
+    )
+    return E.sheet_violations(sheet, ["score"])
+
+
+PATCHES = "(SELECT DISTINCT CASE WHEN conv_id % 50 = 3 THEN conv_id + 1000000000 ELSE conv_id END AS conv_id, CASE WHEN conv_id % 10 = 4 THEN 0 ELSE 1 END AS turn FROM conversations WHERE conv_id % 10 IN (3, 4))"
+
+
+@add("patch_misses", f"SELECT 'P15' AS rule_id, p.conv_id::varchar || '.' || p.turn::varchar AS record_id, CASE WHEN m.own IS NULL THEN 'no such turn' ELSE 'not an assistant''s' END AS detail FROM {PATCHES} p LEFT JOIN (SELECT conv_id, turn, bool_and(role = 'assistant') AS own FROM conversations GROUP BY 1, 2) m ON m.conv_id = p.conv_id AND m.turn = p.turn WHERE NOT coalesce(m.own, false)")
+def patch_misses(spark, d):
+    """Corrections whose record or turn is not there, or is not the assistant's."""
+    c, k = table(spark, d, "conversations"), F.pmod("conv_id", F.lit(10))
+    moved = F.when(F.pmod("conv_id", F.lit(50)) == 3, F.col("conv_id") + 1_000_000_000).otherwise(F.col("conv_id"))
+    patches = c.where(k.isin(3, 4)).select(moved.alias("conv_id"), F.when(k == 4, 0).otherwise(1).alias("turn")).distinct()
+    return E.patch_violations(c.select("conv_id", "turn", "role"), patches)

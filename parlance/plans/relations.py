@@ -109,12 +109,13 @@ def duplicate_ids(spark, d):
     return ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@add("duplicate_normalized_text", f"SELECT sha256(k) AS text_key, count(*)::bigint AS n, to_json(list_sort(list(doc_id)))::varchar AS ids FROM (SELECT doc_id, {S.normalized('text')} AS k FROM documents) WHERE k <> '' GROUP BY k HAVING count(*) > 1")
+@add("duplicate_normalized_text", f"SELECT sha256(k) AS text_key, doc_id, n FROM (SELECT k, doc_id, count(*) OVER (PARTITION BY k)::bigint AS n FROM (SELECT doc_id, {S.normalized('text')} AS k FROM documents) WHERE k <> '') WHERE n > 1")
 def duplicate_normalized_text(spark, d):
-    """The key is hashed before the shuffle: what moves is 64 bytes and an id, not the text."""
+    """A row for each record of a text that others have too, so that no list grows with a group. The key is hashed
+    before the shuffle: what moves is 64 bytes and an id, not the text."""
     k = X.normalized(F.col("text"))
     own = docs(spark, d).select("doc_id", F.when(k != "", F.sha2(k, 256)).alias("text_key")).where("text_key IS NOT NULL")
-    return own.groupBy("text_key").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list("doc_id"))).alias("ids")).where("n > 1")
+    return own.join(own.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1"), "text_key").select("text_key", "doc_id", "n")
 
 
 @add("duplicate_policy", f"SELECT sha256(k) AS text_key, count(*)::bigint AS n, count(DISTINCT source) = 1 AND bool_and(lang = 'en') AS allowed FROM (SELECT *, {S.normalized('text')} AS k FROM documents) WHERE k <> '' GROUP BY k HAVING count(*) > 1")
@@ -296,3 +297,16 @@ def marker_document_frequency(spark, d):
     rows = one.select("all", F.inline(F.array(*[F.struct(F.lit(m).alias("marker"), F.col(f"n{i}").alias("n")) for i, m in enumerate(config.STYLE_TERMS)])))
     share = F.col("n") / F.col("all")
     return rows.select("marker", "n", F.round(share, 6).alias("share"), (share > 0.55).alias("warning"))
+
+
+@add("head_limit", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 20")
+def head_limit(spark, d):
+    """The first records by id, for a dry run: the limit is the feature."""
+    return docs(spark, d).select("doc_id", "source").orderBy("doc_id").limit(20)
+
+
+@add("one_to_one", "WITH p AS (SELECT DISTINCT lang, capability, source FROM " + PLACED + "), l AS (SELECT DISTINCT lang, source FROM p) SELECT 'lang' AS \"column\", lang AS value, count(*)::bigint AS others FROM l GROUP BY lang HAVING count(*) > 1 UNION ALL SELECT 'source', source, count(*) FROM l GROUP BY source HAVING count(*) > 1 UNION ALL SELECT 'capability', capability, count(DISTINCT lang) FROM p GROUP BY capability HAVING count(DISTINCT lang) > 1")
+def one_to_one(spark, d):
+    """Values that stand for more than one value of another column, both ways: lang and source do, capability does not."""
+    p = placed(spark, d)
+    return V.not_one_to_one(p, "lang", "source").unionByName(V.not_one_to_one(p, "lang", "capability"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.checks import ContractViolation
+from ..operators.checks import ContractViolation, violations
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType | str) -> DataFrame:
@@ -32,6 +32,11 @@ def parsed_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
     return lines.withColumn("record", F.when(strict, F.from_json("json", schema)))
 
 
+def line_violations(lines: DataFrame, schema: StructType | str) -> DataFrame:
+    """Lines of read_lines that are no JSON object, as violation rows named file:line."""
+    return violations(parsed_lines(lines, schema), "S1", F.concat_ws(":", "file", "line"), F.col("record").isNull(), F.left("json", F.lit(80)))
+
+
 def with_provenance(df: DataFrame, hashes: DataFrame) -> DataFrame:
     """Rows that carry `file`, with the hash of that file."""
     return df.join(F.broadcast(hashes), "file", "left")

@@ -8,6 +8,7 @@ import json
 import os
 import tempfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,10 +103,13 @@ def write_back(old: DataFrame, new: DataFrame, key: str, path: str) -> bool:
     return changed
 
 
-def svg_lines(points: list[tuple[str, float, float]], width: int = 640, height: int = 360) -> str:
-    """A polyline per series from scaled points (series, x, y), as plot_points gives them."""
+def svg_lines(points: list[tuple[str, float, float]], width: int = 640, height: int = 360, title: str = "", margin: int = 40) -> str:
+    """A polyline per series from scaled points (series, x, y), as plot_points gives them, with axes and a title."""
+    inner_w, inner_h = width - 2 * margin, height - 2 * margin
     by: dict[str, list[str]] = {}
     for series, x, y in sorted(points):
-        by.setdefault(series, []).append(f"{x * width:.2f},{(1 - y) * height:.2f}")
-    lines = "".join(f'<polyline class="{s}" fill="none" stroke="black" points="{" ".join(p)}"/>' for s, p in by.items())
-    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">{lines}</svg>\n'
+        by.setdefault(series, []).append(f"{margin + x * inner_w:.2f},{margin + (1 - y) * inner_h:.2f}")
+    lines = "".join(f'<polyline class="{escape(s)}" fill="none" stroke="black" points="{" ".join(p)}"/>' for s, p in by.items())
+    axes = f'<path fill="none" stroke="black" d="M{margin},{margin} V{height - margin} H{width - margin}"/>'
+    head = f'<text x="{margin}" y="{margin // 2}">{escape(title)}</text>' if title else ""
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">{head}{axes}{lines}</svg>\n'

@@ -59,3 +59,15 @@ def test_audits_and_identities(spark):
     assert len(C.identity_hash(identity)) == 64
     with pytest.raises(ContractViolation):
         C.identity_hash({k: v for k, v in identity.items() if k != "bos_token_id"})
+
+
+NESTED = {"properties": {"who": {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": "string", "minLength": 2}}}, "tags": {"type": "array", "minItems": 1, "items": {"type": "string", "enum": ["a", "b"]}}, "turns": {"items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}}}
+
+
+@pytest.mark.parametrize(
+    ("doc", "ok"),
+    [("{}", True), ('{"who":{"name":"xy"},"tags":["a","b"]}', True), ('{"who":{"name":"x"}}', False), ('{"who":{}}', False), ('{"who":{"name":"xy","z":1}}', False), ('{"tags":[]}', False), ('{"tags":["c"]}', False), ('{"tags":[1]}', False), ('{"tags":"a"}', False), ('{"turns":[{"n":1},{"n":2}]}', True), ('{"turns":[{"n":1},{"n":true}]}', False), ('{"turns":[{}]}', False)],
+)
+def test_nested_schema(spark, doc, ok):
+    df = spark.createDataFrame([("1", doc)], "id string, doc string")
+    assert C.schema_violations(df, F.col("id"), F.col("doc"), NESTED).isEmpty() is ok

@@ -291,3 +291,34 @@ def test_the_judge_counts_in_its_layer_and_guards_in_none(spark):
     means = {r.part: r for r in J.variant_means(J.candidate_scores(rules.where("eval_id = 1"), spark.createDataFrame(given, "eval_id int, variant string, dimension string, score int"), ["eval_id", "variant"])).collect()}
     assert (means["surface"].base, means["surface"].tuned, means["surface"].delta, means["surface"].kind) == (85.0, 82.0, -3.0, "layer")
     assert means["safety_ethics"].kind == "guard" and means["safety_ethics"].delta == 0
+
+
+def test_fields_as_written(spark):
+    read = lambda f, *given: [one(spark, x, f(F.col("text"))) for x in given]
+    assert read(X.flag, " Yes\n", "NO", "y", "1", "", None) == [True, False, None, None, None, None]
+    assert read(X.rating, " 5\t", "0", "6", "3.0", "1\n2", None) == [5, None, None, None, None, None]
+    assert read(X.choice, "a", " B ", "tIE", "both", None) == ["A", "B", "Tie", None, None]
+    assert read(X.tags, " a ; b,,", None, "") == [["a", "b"], [], []]
+
+
+def test_json_values_of_one_type(spark):
+    same = [('{"a":1,"b":[true]}', '{"b": [true], "a": 1}'), ("1", " 1")]
+    other = [("true", "1"), ("1", "1.0"), ('{"a":1}', '{"a":1,"b":null}'), ("[1,2]", "[2,1]"), ('"1"', "1"), ("{", "{"), (None, None)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(same + other)], "i int, a string, b string")
+    assert [r.i for r in df.where(V.same_json(F.col("a"), F.col("b"))).orderBy("i").collect()] == [0, 1]
+
+
+def test_one_to_one_counts_null_as_a_value(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 1), ("x", None), ("y", 2), ("z", 2)], "a string, b int")
+    assert {tuple(r) for r in V.not_one_to_one(df, "a", "b").collect()} == {("a", "x", 2), ("b", "2", 2)}
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": \n[1]\n')
+    got = files.line_violations(files.read_lines(spark, str(tmp_path / "x.jsonl")), "a int").collect()
+    assert sorted((r.record_id, r.detail) for r in got) == [("x.jsonl:3", '{"a": '), ("x.jsonl:4", "[1]")]
+
+
+def test_plot_has_axes_and_an_escaped_title():
+    svg = sinks.svg_lines([("a<b", 0.0, 1.0), ("a<b", 1.0, 0.0)], 100, 80, "x & y", 10)
+    assert 'points="10.00,10.00 90.00,70.00"' in svg and 'd="M10,10 V70 H90"' in svg and "x &amp; y" in svg and "a&lt;b" in svg

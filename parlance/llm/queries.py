@@ -11,6 +11,7 @@ from .context_tree import op4_context_tree
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
 from .mixing import op1_mixing
+from .name_join import op12_name_join
 from .pieces import op8_sentencepiece
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": warc.op10_warc,
+    "op12_name_join": op12_name_join,
 }
 
 SQL: dict[str, str] = {"op10_warc": warc.SQL}

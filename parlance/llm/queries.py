@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import ball_tree, warc
 from .context_tree import op4_context_tree
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": warc.op10_warc,
     "op12_name_join": op12_name_join,
+    "op13_ball_tree": ball_tree.op13_ball_tree,
 }
 
-SQL: dict[str, str] = {"op10_warc": warc.SQL}
+SQL: dict[str, str] = {"op10_warc": warc.SQL, "op13_ball_tree": ball_tree.SQL}

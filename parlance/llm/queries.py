@@ -16,6 +16,7 @@ from .pieces import op8_sentencepiece
 from .suffix_array import op7_suffix_array
 from .suffix_tree import op2_suffix_tree
 from .toxicity import op3_toxicity
+from .tree_search import op11_tree_search
 from .vector_forest import op5_vector_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": warc.op10_warc,
+    "op11_tree_search": op11_tree_search,
     "op12_name_join": op12_name_join,
     "op13_ball_tree": ball_tree.op13_ball_tree,
 }

@@ -158,5 +158,5 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     seen = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     model = fit(docs, seen)
-    out = score(docs.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1), model, ["doc_id", "held_out"])
+    out = score(docs.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))), model, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -165,18 +165,36 @@ def unlabelled_anti(spark, d):
     return docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+def grams(text, mark, n):
+    """Hashes of all runs of n parts of a text, cut at a mark (none: characters). Cut and hashed once, whatever the length."""
+    def runs(h):
+        return F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(n)]))
+
+    return X.let(F.transform(F.split(text, mark), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, F.array_distinct(runs(h))))
+
+
+CHARS = 8  # the shortest excerpt that can be searched
+
+
 def holding(texts, excerpts):
-    """(doc_id, item_id) where the text holds the excerpt. An excerpt's words after the first and before the last stand
-    between spaces wherever it occurs, so four of them are an equi-key, and only texts with that key are searched.
-    Excerpts of fewer than six words, if any, are held against every text."""
+    """(doc_id, item_id) where the text holds the excerpt, of eight characters at least.
+
+    An excerpt's words after the first and before the last stand between spaces wherever it occurs, so up to four of
+    them are an equi-key; excerpts of one or two words have their first characters as key instead. Which kinds of key there are
+    is asked first (five at most), as each costs a pass over the texts. Only texts that share a key are searched."""
     w = F.split("excerpt", " ")
-    long = excerpts.where(F.size(w) >= 6).withColumn("gram", F.xxhash64(F.slice(w, 2, 4)))
-    words = F.split("text", " ")
-    grams = F.when(F.size(words) >= 6, F.transform(F.sequence(F.lit(2), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 4))))
-    met = texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(long, "gram").select("doc_id", "item_id", "excerpt")
-    found = met.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt"))
-    few = texts.join(excerpts.where(F.size(w) < 6), F.contains("text", "excerpt"))
-    return found.select("doc_id", "item_id").unionByName(few.select("doc_id", "item_id")).distinct()
+    kinds = excerpts.where(F.length("excerpt") >= CHARS).withColumn("kind", F.greatest(F.lit(0), F.least(F.lit(4), F.size(w) - 2)))
+    met = None
+    for (kind,) in kinds.select("kind").distinct().collect():
+        mark, first, n = (" ", 2, kind) if kind else ("", 1, CHARS)
+        parts = F.split("excerpt", mark)
+        key = F.xxhash64(*[F.xxhash64(F.element_at(parts, first + j)) for j in range(n)])
+        some = kinds.where(F.col("kind") == kind).select("item_id", "excerpt", key.alias("gram"))
+        one = texts.select("doc_id", F.explode(grams(F.col("text"), mark, n)).alias("gram")).join(some, "gram").select("doc_id", "item_id", "excerpt")
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        return texts.select("doc_id", F.lit(None).cast(excerpts.schema["item_id"].dataType).alias("item_id")).limit(0)
+    return met.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt")).select("doc_id", "item_id").distinct()
 
 
 @add("protected_excerpt_hits", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(trim(b.text)) >= 8 AND contains(d.text, b.text)")

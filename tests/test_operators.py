@@ -322,3 +322,14 @@ def test_bad_lines_are_named(spark, tmp_path):
 def test_plot_has_axes_and_an_escaped_title():
     svg = sinks.svg_lines([("a<b", 0.0, 1.0), ("a<b", 1.0, 0.0)], 100, 80, "x & y", 10)
     assert 'points="10.00,10.00 90.00,70.00"' in svg and 'd="M10,10 V70 H90"' in svg and "x &amp; y" in svg and "a&lt;b" in svg
+
+
+def test_excerpts_of_any_length(spark):
+    """Keys of one to four inner words, of the first characters, and a text of a megabyte; excerpts may begin and end within words."""
+    from parlance.plans.relations import holding
+
+    big = " ".join(f"w{i % 9973}" for i in range(180_000))
+    texts = {1: "one two three four five six seven", 2: "bone two three", 3: big, 4: None, 5: "", 6: "onetwothree", 7: "xx one two three four fivefold"}
+    excerpts = {1: "ne two three four five", 2: "one two three", 3: "one two t", 4: "netwothr", 5: "w9970 w9971 w9972 w0 w1 w2", 6: "two three four five six seven eight", 7: "n two th", 8: "w1 w2 w4 w5 w6 w7", 9: "one two three four five six seven"}
+    got = holding(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), spark.createDataFrame(list(excerpts.items()), "item_id int, excerpt string")).collect()
+    assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts.items() for i, e in excerpts.items() if t and e in t)

@@ -127,30 +127,54 @@ class Trees:
         return taken
 
 
-def best(found: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The first of each query, nearest first, ties to the smaller id; a candidate that came through several trees counts once."""
-    found = found.sort_values(["query", "score", "id", "node"], ascending=[True, False, True, True], kind="stable")
-    found = found.drop_duplicates(["query", "id", "node"])
-    return found[found.groupby("query", sort=False).cumcount() < most]
-
-
-def ranked(q: np.ndarray, queries: np.ndarray, x: np.ndarray, nodes: np.ndarray, ids: list[np.ndarray], most: int) -> pd.DataFrame:
-    """The nearest of x's ids for each query; ids: of each vector, ascending."""
-    many = np.fromiter(map(len, ids), np.int64, len(ids))
-    column = np.repeat(np.arange(len(x)), many)
-    own = np.concatenate(ids)
-    with np.errstate(over="ignore", invalid="ignore"):
-        s = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)[:, column]
-        if s.shape[1] > most:
+class Best:
+    """The nearest found so far of the queries that a task sees. Entries are kept in plain arrays, and sorted only when there are many:
+    nearest first, ties to the smaller id; a candidate that came through several trees counts once."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.size = most, [], 0
+        self.bar: dict[int, float] = {}  # no entry below it can be among the best of its query
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, node: np.ndarray) -> None:
+        self.kept.append((query, score, ids, node))
+        self.size += len(query)
+
+    def shrink(self) -> tuple[np.ndarray, ...]:
+        query, score, ids, node = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        order = np.lexsort((node, ids, -score, query))
+        query, score, ids, node = query[order], score[order], ids[order], node[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (node[1:] != node[:-1])
+        query, score, ids, node = query[new], score[new], ids[new], node[new]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        full = place == self.most - 1
+        self.bar |= dict(zip(query[full].tolist(), score[full].tolist(), strict=True))
+        keep = place < self.most
+        out = query[keep], score[keep], ids[keep], node[keep]
+        self.kept, self.size = [out], int(keep.sum())
+        return out
+
+    def meet(self, q: np.ndarray, queries: np.ndarray, x: np.ndarray, nodes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Compares queries with vectors; ids: of each vector, ascending."""
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        column, own = np.repeat(np.arange(len(x)), many), np.concatenate(ids)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = defined(q @ x.T)
+            low = np.fromiter((self.bar.get(i, -np.inf) for i in queries.tolist()), np.float64, len(queries))
+            if len(x) < len(column):
+                s = s[:, column]
+            if s.shape[1] > self.most:
+                low = np.maximum(low, -np.partition(-s, self.most - 1, axis=1)[:, self.most - 1])
             # rounding depends on the shapes of a product: what comes close to the last place is summed again, in order
-            last = -np.partition(-s, most - 1, axis=1)[:, most - 1]
-            low = last[:, None] - 1e-12 * lengths(q)[:, None] * lengths(x)[column][None, :]
-            row, at = np.nonzero(s >= np.nan_to_num(low, nan=-np.inf, posinf=np.inf, neginf=-np.inf))
-        else:
-            row, at = np.divmod(np.arange(s.size), max(1, s.shape[1]))
-        exact = np.concatenate([np.cumsum(q[row[i : i + 65536]] * x[column[at[i : i + 65536]]], axis=1)[:, -1] for i in range(0, len(row), 65536)] or [np.zeros(0)])
-    exact = np.nan_to_num(exact, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-    return best(pd.DataFrame({"query": queries[row], "score": exact, "id": own[at], "node": nodes[column[at]]}), most)
+            row, at = np.nonzero(s >= defined(low - 1e-12 * lengths(q) * lengths(x).max())[:, None])
+            for i in range(0, len(row), 65536):
+                r, c = row[i : i + 65536], at[i : i + 65536]
+                self.add(queries[r], defined(np.cumsum(q[r] * x[column[c]], axis=1)[:, -1]), own[c], nodes[column[c]])
+
+
+def defined(s: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(s, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 def nearest(vectors: DataFrame, asks: Column, stage: Stage, k: int = 20, trees: int = 8, leaf: int = 256, share: float = 1.1, least: int = 5000, max_sample: int = 20_000, block: int = 1024, seed: int = 11) -> DataFrame:
@@ -222,25 +246,22 @@ def nearest(vectors: DataFrame, asks: Column, stage: Stage, k: int = 20, trees:
     met = visits.join(packs, ["dim", "leaf"]).select("q", "queries", F.col("held.v").alias("v"), F.col("held.ids").alias("ids"), F.col("held.node").alias("node"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, size = [], 0
+        top = Best(k + 1)
         for pdf in batches:
             for r in pdf.itertuples():
-                x, queries = stacked(list(r.v), kind), np.frombuffer(r.queries, np.int64)
-                kept.append(ranked(np.frombuffer(r.q, kind).reshape(len(queries), -1).astype(np.float64), queries, x, np.asarray(r.node, np.int64), list(map(np.asarray, r.ids)), k + 1))
-                size += len(kept[-1])
-                if size > 400_000:  # less what is not among the best; if most is, it goes on to the next task
-                    kept = [best(pd.concat(kept), k + 1)]
-                    size = len(kept[0])
-                    if size > 200_000:
-                        yield from _rows(kept.pop())
-                        size = 0
-        if kept:
-            yield from _rows(best(pd.concat(kept), k + 1))
-
-    def _rows(found: pd.DataFrame) -> Iterator[pd.DataFrame]:
+                queries = np.frombuffer(r.queries, np.int64)
+                q = np.frombuffer(r.q, kind).reshape(len(queries), -1).astype(np.float64)
+                top.meet(q, queries, stacked(list(r.v), kind), np.asarray(r.node, np.int64), list(map(np.asarray, r.ids)))
+                if top.size > 400_000 and len(top.shrink()[0]) > 200_000:  # many queries: what is found so far goes on
+                    yield from _rows(top.kept[0])
+                    top = Best(k + 1)
+        if top.size:
+            yield from _rows(top.shrink())
+
+    def _rows(found: tuple[np.ndarray, ...]) -> Iterator[pd.DataFrame]:
         """One row for each query."""
-        edge = np.flatnonzero(np.diff(found["query"].to_numpy(), prepend=-1, append=-1))
-        score, ids, node, query = (found[c].to_numpy() for c in ("score", "id", "node", "query"))
+        query, score, ids, node = found
+        edge = np.flatnonzero(np.diff(query, prepend=-1, append=-1))
         for i in range(0, len(edge) - 1, 1000):
             cut = list(zip(edge[i : i + 1000], edge[i + 1 : i + 1001], strict=False))
             yield pd.DataFrame({"query": [query[a] for a, _ in cut], "score": [score[a:b] for a, b in cut], "id": [ids[a:b] for a, b in cut], "node": [node[a:b] for a, b in cut]})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import records, relations, reviews, texts, turns
+from .plans import bindings, records, relations, reviews, texts, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (turns, texts, relations, reviews, records):
+for module in (turns, texts, relations, reviews, records, bindings):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -13,12 +13,14 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_row
 from ..operators.checks import ContractViolation, multiset_differs
+from ..operators.manifest import require_root
 
 
 def canonical_json(df: DataFrame):
-    """A row as compact JSON with its fields in alphabetical order, nulls included."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    """A row as canonical JSON: keys in order at every depth, nulls included."""
+    return canonical_row(df)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str], single: bool = True) -> None:
@@ -67,8 +69,10 @@ def write_review_csv(df: DataFrame, path: str | os.PathLike, header: list[str],
     atomic_write(path, "﻿" + out.getvalue())
 
 
-def publish(outputs: dict[str, DataFrame], root: str, checks=lambda staged: None) -> None:
-    """All outputs or none: each is written under a staging folder, checked together, then the folder is renamed."""
+def publish(outputs: dict[str, DataFrame], root: str, checks=lambda staged: None, registered: dict[str, str] | None = None) -> None:
+    """All outputs or none: each is written under a staging folder, checked together, then the folder is renamed.
+
+    registered: roots (operators/manifest.py) that what was written must have, taken from the staged files, in any number and order."""
     jvm = next(iter(outputs.values())).sparkSession._jvm
     conf = next(iter(outputs.values())).sparkSession._jsc.hadoopConfiguration()
     final, staging = jvm.org.apache.hadoop.fs.Path(root), jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}.staging")
@@ -78,7 +82,10 @@ def publish(outputs: dict[str, DataFrame], root: str, checks=lambda staged: None
     try:
         for name, df in outputs.items():
             df.write.parquet(f"{staging}/{name}")
-        checks({name: df.sparkSession.read.parquet(f"{staging}/{name}") for name, df in outputs.items()})
+        staged = {name: df.sparkSession.read.parquet(f"{staging}/{name}") for name, df in outputs.items()}
+        for name, expected in (registered or {}).items():
+            require_root(staged[name], expected, name)
+        checks(staged)
         if not fs.rename(staging, final):
             raise ContractViolation(f"{root} could not be published")
     finally:

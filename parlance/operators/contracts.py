@@ -9,70 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mapped
-from .checks import ContractViolation, is_integer, keys_differ, report, roles_alternate, violations
+from .checks import ContractViolation, report, roles_alternate, violations
+from .schema import schema_violations as schema_violations
 
 SHA = "^[0-9a-f]{64}$"
 #: Required identity of a tokenizer; the begin token may be null but must be there.
 IDENTITY = ("name", "revision", "vocab_size", "eos_token_id", "bos_token_id", "chat_template_sha256")
 
 
-def _property(doc: Column, name: str, rule: dict) -> Column:
-    """Whether a property that is there keeps its rule."""
-    return _rule(doc, f"$.{name}", rule)
-
-
-def _rule(doc: Column, path: str, rule: dict) -> Column:
-    """Whether the value at a path keeps its rule; objects and the items of arrays are followed."""
-    value = F.get_json_object(doc, path)
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
-    ok = F.lit(True)
-    if "type" in rule:
-        wanted = {"string": kind == "STRING", "integer": is_integer(doc, path), "boolean": kind == "BOOLEAN", "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT")}
-        ok = ok & F.coalesce(wanted[rule["type"]], F.lit(False))
-    for given, test in (("enum", lambda x: value.isin(*map(_text, x))), ("const", lambda x: value == _text(x)), ("pattern", lambda x: value.rlike(x)), ("minLength", lambda x: F.length(value) >= x)):
-        if given in rule:
-            ok = ok & F.coalesce(test(rule[given]), F.lit(False))
-    number = value.try_cast("double")
-    for given, test in (("minimum", lambda x: number >= x), ("maximum", lambda x: number <= x)):
-        if given in rule:
-            ok = ok & F.coalesce(test(rule[given]), F.lit(False))
-    if "properties" in rule or "required" in rule:
-        ok = ok & F.coalesce(_kept(value, rule), F.lit(False))
-        if rule.get("additionalProperties") is False:
-            ok = ok & F.coalesce(F.size(keys_differ(value, list(rule.get("properties", {})))["unexpected"]) == 0, F.lit(False))
-    items = F.try_variant_get(F.try_parse_json(doc), path, "array<variant>")
-    for given, test in (("minItems", lambda x: F.size(items) >= x), ("maxItems", lambda x: F.size(items) <= x), ("items", lambda x: F.forall(items, lambda e: _rule(F.to_json(e), "$", x)))):
-        if given in rule:
-            ok = ok & F.coalesce(test(rule[given]), F.lit(False))
-    return ok
-
-
-def _text(x) -> str:
-    return x if isinstance(x, str) else json.dumps(x)
-
-
-def _kept(doc: Column, schema: dict) -> Column:
-    ok = F.lit(True)
-    keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
-    for name in schema.get("required", ()):
-        ok = ok & F.array_contains(keys, name)
-    for name, rule in schema.get("properties", {}).items():
-        ok = ok & (~F.array_contains(keys, name) | _property(doc, name, rule))
-    return ok
-
-
-def schema_violations(df: DataFrame, record: Column, doc: Column, schema: dict) -> DataFrame:
-    """A closed JSON schema (draft 7: properties, required, additionalProperties, if/then/else) over a column of JSON objects."""
-    parts = [violations(df, "V2", record, F.try_parse_json(doc).isNull(), F.lit("not strict JSON")), violations(df, "V2", record, ~_kept(doc, schema), F.lit("property"))]
-    if schema.get("additionalProperties") is False:
-        extra = keys_differ(doc, list(schema.get("properties", {})))["unexpected"]
-        parts.append(violations(df, "V2", record, F.size(extra) > 0, F.array_join(extra, ",")))
-    if "if" in schema:
-        branch = F.when(_kept(doc, schema["if"]), _kept(doc, schema.get("then", {}))).otherwise(_kept(doc, schema.get("else", {})))
-        parts.append(violations(df, "V2", record, ~branch, F.lit("conditional")))
-    return report(parts)
-
-
 def comparison_violations(df: DataFrame) -> DataFrame:
     """df (eval_id, base, tuned: struct(model_label, prompt, prompt_sha256, response), prompt_equal, do_sample, num_beams)."""
     i = F.col("eval_id")

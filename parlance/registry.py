@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import bindings, lines, records, relations, reviews, texts, turns
+from .plans import bindings, judging, lines, records, relations, reviews, texts, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (turns, texts, relations, reviews, records, bindings, lines):
+for module in (turns, texts, relations, reviews, records, bindings, lines, judging):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

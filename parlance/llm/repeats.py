@@ -10,8 +10,13 @@ Suffixes with the same k-gram form a group. In a group, contexts that are equal
 count; entries that differ are compared by sorting what follows the anchor and, reversed, what precedes it:
 sorted order and common prefix lengths are the subtree of that prefix, and a window that starts s before
 the anchor is repeated where a node at depth window - s on the right meets one at depth s on the left.
-Groups with more than `heavy` different contexts get a longer prefix, the whole window, so that no group
-need fit one task: they are counted by an ordinary distributed aggregate.
+
+Prefixes have variable length. The sizes of all groups are measured, and only those whose tree would take more than
+`most` bytes get a longer prefix: the windows of an entry, by how far before the anchor they start, fall into families
+of `width`; all windows of family f hold the window - width + 1 symbols from f * width before the anchor, which
+are the longer prefix of the suffix that begins there. The entry is trimmed to what its family's windows cover, and groups are
+measured again. Widths shrink by four at a time. At width 1 the prefix is a window: it is the deep node itself, and is
+counted by a distributed aggregate. So no group that goes to a task takes more than the bound.
 """
 
 from __future__ import annotations
@@ -138,11 +143,17 @@ def _order(group: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate(([-1], np.where(g[1:] != g[:-1], -1, lcp)))
 
 
+def nodes(lcp: np.ndarray, depth: int) -> np.ndarray:
+    """The tree's nodes at a depth, as a number for each suffix in sorted order: an interval of suffixes whose common prefixes
+    reach the depth is what hangs below one internal node (or a leaf, alone)."""
+    return np.cumsum(lcp < depth)
+
+
 def subtree(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     """Whole prefix groups to the runs of offsets s whose windows occur more than once, with the smallest document of each."""
-    pdf = pdf.drop_duplicates(["kh", "ch"])
+    pdf = pdf.drop_duplicates(["prefix", "kh", "ch", "smin"])
     rows, size = len(pdf), spec.window
-    group = np.unique(pdf["kh"].to_numpy(), return_inverse=True)[1]
+    group = np.unique(pdf["prefix"].to_numpy(), return_inverse=True)[1]
     smin, smax = pdf["smin"].to_numpy(np.int64), pdf["smax"].to_numpy(np.int64)
     n, d1 = pdf["n"].to_numpy(np.int64), pdf["d1"].to_numpy(np.int64)
     texts = list(pdf["context"])
@@ -168,8 +179,7 @@ def subtree(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     rc, lc = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     for s in range(low, high + 1):
         here_s = np.flatnonzero((smin <= s) & (s <= smax))
-        rc[right] = np.cumsum(rlcp < size - s)
-        lc[left] = np.cumsum(llcp < s)
+        rc[right], lc[left] = nodes(rlcp, size - s), nodes(llcp, s)
         _, node = np.unique(rc[here_s] * (rows + 1) + lc[here_s], return_inverse=True)
         total = np.bincount(node, n[here_s])
         first = np.full(len(total), LAST, np.int64)
@@ -198,8 +208,8 @@ def grow(contexts: DataFrame, spec: Spec, rows: int = 6000) -> DataFrame:
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf])
             while len(rest) > rows:
-                kh = rest["kh"].to_numpy()
-                end = np.searchsorted(kh, kh[rows - 1], "left") or np.searchsorted(kh, kh[0], "right")
+                prefix = rest["prefix"].to_numpy()
+                end = np.searchsorted(prefix, prefix[rows - 1], "left") or np.searchsorted(prefix, prefix[0], "right")
                 if end == len(rest):
                     break
                 yield subtree(rest.iloc[:end], spec)
@@ -207,39 +217,107 @@ def grow(contexts: DataFrame, spec: Spec, rows: int = 6000) -> DataFrame:
         if rest is not None and len(rest):
             yield subtree(rest, spec)
 
-    return contexts.repartition("kh").sortWithinPartitions("kh").mapInPandas(run, RUNS)
+    return contexts.repartition("prefix").sortWithinPartitions("prefix").mapInPandas(run, RUNS)
+
+
+class Cut:
+    """The symbols of contexts, where each begins, and the bytes of any run of them."""
+
+    def __init__(self, texts: list[bytes], spec: Spec):
+        if spec.words:
+            self.words = Words(texts)
+            self.symbols, self.begin = self.words.hash, self.words.first
+        else:
+            self.words, self.raw = None, b"".join(texts)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            self.symbols, self.begin = byte_symbols(self.raw), np.cumsum(sizes) - sizes
+
+    def bytes(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        if not self.words:
+            return [self.raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        w = self.words
+        return [w.raw[a:b] for a, b in zip(w.start[start].tolist(), w.end[end - 1].tolist(), strict=True)]
+
+
+NODE = "prefix long, kh long, ch long, n long, d1 long, smin int, smax int, context binary"
+
+
+def lengthen(rows: DataFrame, spec: Spec, width: int) -> DataFrame:
+    """rows under prefixes of window - width + 1 symbols: one for each family of windows that an entry has, trimmed to what they cover."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in blocks(batches, "context", 200_000):
+            t = Cut(list(pdf["context"]), spec)
+            smin, smax = pdf["smin"].to_numpy(np.int64), pdf["smax"].to_numpy(np.int64)
+            first, count = smin // width, smax // width - smin // width + 1
+            row = np.repeat(np.arange(len(pdf)), count)
+            family = first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            low, high = np.maximum(smin[row], family * width), np.minimum(smax[row], family * width + width - 1)
+            anchor = (t.begin + smax)[row]
+            begin = anchor - family * width
+            h = Rolling(t.symbols).of(begin, begin + spec.window - width + 1)
+            own = pdf.iloc[row]
+            same = {c: own[c].to_numpy() for c in ("kh", "ch", "n", "d1")}
+            prefix = mix(h + family.astype(U64) * U64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+            yield pd.DataFrame({"prefix": prefix, **same, "smin": low.astype(np.int32), "smax": high.astype(np.int32), "context": t.bytes(anchor - high, anchor - low + spec.window)})
+
+    return rows.mapInPandas(run, NODE)
 
 
-def grow_heavy(contexts: DataFrame, spec: Spec) -> DataFrame:
-    """As grow, for groups of any size: prefixes as long as the window, so each leaf is a group of its own."""
+def deep(rows: DataFrame, spec: Spec) -> DataFrame:
+    """As grow, where the prefix of each window is the window itself: the nodes are counted by an aggregate, of any size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in blocks(batches, "context", 200_000):
-            texts = list(pdf["context"])
-            symbols, begin, _ = symbols_of(texts, spec)
-            count = (pdf["smax"] - pdf["smin"] + 1).to_numpy(np.int64)
+            t = Cut(list(pdf["context"]), spec)
+            smin, smax = pdf["smin"].to_numpy(np.int64), pdf["smax"].to_numpy(np.int64)
+            count = smax - smin + 1
             row = np.repeat(np.arange(len(pdf)), count)
             back = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = begin[row] + back
-            h = Rolling(symbols).of(start, start + spec.window)
-            h2 = Rolling(mix(symbols)).of(start, start + spec.window)
+            start = t.begin[row] + back
+            h = Rolling(t.symbols).of(start, start + spec.window)
+            h2 = Rolling(mix(t.symbols)).of(start, start + spec.window)
             own = pdf.iloc[row]
-            yield pd.DataFrame({"kh": own["kh"].to_numpy(), "ch": own["ch"].to_numpy(), "n": own["n"].to_numpy(), "d1": own["d1"].to_numpy(), "s": (own["smax"].to_numpy() - back).astype(np.int32), "h": h.view(np.int64), "h2": h2.view(np.int64)})
+            yield pd.DataFrame({**{c: own[c].to_numpy() for c in ("kh", "ch", "n", "d1")}, "s": (smax[row] - back).astype(np.int32), "h": h.view(np.int64), "h2": h2.view(np.int64)})
 
-    leaf = contexts.dropDuplicates(["kh", "ch"]).mapInPandas(run, "kh long, ch long, n long, d1 long, s int, h long, h2 long")
+    leaf = rows.dropDuplicates(["kh", "ch", "smin"]).mapInPandas(run, "kh long, ch long, n long, d1 long, s int, h long, h2 long")
     key = ["kh", "s", "h", "h2"]
     seen = leaf.groupBy(*key).agg(F.sum("n").alias("total"), F.min("d1").alias("first")).where("total >= 2")
     return leaf.join(seen, key).select("kh", "ch", F.col("s").alias("s_lo"), F.col("s").alias("s_hi"), "first")
 
 
-def runs(stage: Stage, docs: DataFrame, found: DataFrame, spec: Spec, heavy: int) -> DataFrame:
+MOST = 64 << 20  # bytes that one group's tree may take
+
+
+def divided(stage: Stage, contexts: DataFrame, spec: Spec, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Contexts under prefixes of variable length: groups that fit, by length of prefix, and the windows of those that never do.
+
+    A tree takes the bytes of its contexts and, for each, two rows of symbols and one of values, 16 bytes a symbol of the window."""
+    rows, width, fit = stage.write(contexts.withColumn("prefix", F.col("kh"))), spec.w, []
+    size = F.sum(F.length("context") + 16 * spec.window)
+    while True:
+        large = stage.write(rows.groupBy("prefix").agg(size.alias("size")).where(F.col("size") > most).select("prefix"))
+        if large.isEmpty():
+            return [*fit, rows], None
+        fit.append(rows.join(large, "prefix", "left_anti"))
+        rest = rows.join(large, "prefix", "left_semi")
+        width //= 4
+        if width <= 1:
+            return fit, rest
+        rows = stage.write(lengthen(rest, spec, width))
+
+
+def runs(stage: Stage, docs: DataFrame, found: DataFrame, spec: Spec, most: int = MOST) -> DataFrame:
     """found: entries (of groups with two occurrences or more) with m, the contexts in the group. The repeated offsets of each."""
     same = found.where("m = 1").select("kh", "ch", F.expr("rep.p - rep.hi").alias("s_lo"), F.expr("rep.p - rep.lo").alias("s_hi"), F.col("d1").alias("first"))
-    contexts = stage.write(cut(docs, found.where("m > 1"), spec).join(found.where("m > 1").select("kh", "ch", "m"), ["kh", "ch"]))
-    few = grow(contexts.where(F.col("m") <= heavy).drop("m"), spec)
-    many = grow_heavy(contexts.where(F.col("m") > heavy).drop("m"), spec)
-    out = stage.write(same.unionByName(few).unionByName(many))
-    stage.drop(contexts, found)
+    before = set(stage.paths)
+    fit, leaves = divided(stage, cut(docs, found.where("m > 1"), spec), spec, most)
+    parts = [grow(rows, spec) for rows in fit] + ([] if leaves is None else [deep(leaves, spec)])
+    every = same
+    for p in parts:
+        every = every.unionByName(p)
+    out = stage.write(every)
+    stage.drop(found, *[frame for k, (frame, _) in list(stage.paths.items()) if k not in before and frame is not out])
     return out
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, blocks, encoded
-from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
+from .repeats import LAST, MOST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
 
 WINDOW = Spec(window=400, k=145, w=256, words=False)
 
@@ -74,7 +74,7 @@ class LogIndex:
         self.stage.drop(*[level for _, level in self.levels])
 
 
-def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, heavy: int = 20_000, earlier: bool = False) -> DataFrame:
+def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, most: int = MOST, earlier: bool = False) -> DataFrame:
     """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any;
     earlier: only of windows that a document with a smaller doc_id has."""
     a = stage.write(anchor_rows(own, spec))
@@ -84,7 +84,7 @@ def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4,
     index.close()
     a = meeting(stage, a, index.matches())
     found = stage.write(groups(entries(a)))
-    return spans(a, runs(stage, own, found, spec, heavy), spec, earlier)
+    return spans(a, runs(stage, own, found, spec, most), spec, earlier)
 
 
 def dedup(docs: DataFrame, stage: Stage, **options) -> DataFrame:

@@ -1,8 +1,8 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-Suffixes are grouped by a prefix of 19 words, and groups that would not fit one task by a longer one, the
-50-word window itself; the subtree of a group gives the nodes at least 50 words deep (see repeats). Sampled
-suffixes stand for all windows without loss.
+Suffixes are grouped by a prefix of 19 words; groups whose tree would not fit a bound in bytes get prefixes of 43, 49 and at
+last 50 words, a window, as far as each needs it. The subtree of a group gives the nodes at least 50 words deep, which are the repeats
+(see repeats). Sampled suffixes stand for all windows without loss.
 
 Words are compared by 64-bit hashes, and contexts by two of them; kept words and texts are the documents' own.
 
@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, blocks, encoded
-from .repeats import LAST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
+from .repeats import LAST, MOST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
 
 WINDOW = Spec(window=50, k=19, w=32, words=True)
 
 
-def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, heavy: int = 20_000) -> DataFrame:
+def dedup(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, most: int = MOST) -> DataFrame:
     """d, text, spans: each document with the word ranges that an earlier document's windows cover."""
     own = keyed(docs)
     a = stage.write(anchor_rows(own, spec))
     a = meeting(stage, a, a.groupBy("kh").count().where("count > 1").select("kh"))
     found = stage.write(groups(entries(a)))
-    repeated = runs(stage, own, found, spec, heavy)
+    repeated = runs(stage, own, found, spec, most)
     got = spans(a, repeated, spec, earlier=True)
     return own.join(got.hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
 

@@ -64,8 +64,8 @@ def last(i):
     return math.inf if i is None else i
 
 
-@pytest.mark.parametrize("heavy", [20_000, 0])
-def test_suffix_tree(spark, docs, rows, heavy):
+@pytest.mark.parametrize("most", [repeats.MOST, 9_000, 0])
+def test_suffix_tree(spark, docs, rows, most):
     first = {}
     for r in rows:
         w = raw(r[1]).split()
@@ -81,13 +81,13 @@ def test_suffix_tree(spark, docs, rows, heavy):
                 gone.update(range(j, j + 50))
         rest = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want[r[0], len(w), len(gone), hashlib.sha256(rest).hexdigest()] += 1
-    got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), heavy=heavy)).drop("kept").collect()
+    got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), most=most)).drop("kept").collect()
     assert bag(map(tuple, got)) == want
     assert sum(k[2] for k in want) > 0
 
 
-@pytest.mark.parametrize(("batches", "heavy"), [(4, 20_000), (3, 0)])
-def test_suffix_array(spark, docs, rows, batches, heavy):
+@pytest.mark.parametrize(("batches", "most"), [(4, repeats.MOST), (4, 60_000), (3, 0)])
+def test_suffix_array(spark, docs, rows, batches, most):
     seen = bag(b[j : j + 400] for b in (raw(r[1]) for r in rows) for j in range(len(b) - 399))
     want = bag()
     for r in rows:
@@ -99,11 +99,31 @@ def test_suffix_array(spark, docs, rows, batches, heavy):
         rest = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         want[r[0], len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()] += 1
-    got = suffix_array.kept(suffix_array.dedup(docs, Stage(spark, "t"), batches=batches, heavy=heavy)).drop("kept").collect()
+    got = suffix_array.kept(suffix_array.dedup(docs, Stage(spark, "t"), batches=batches, most=most)).drop("kept").collect()
     assert bag(map(tuple, got)) == want
     assert sum(k[2] for k in want) > 900
 
 
+def test_prefixes_are_as_long_as_their_groups_need(spark):
+    """One phrase before 600 different ends and after 600 different beginnings, in groups of 40 that go on alike, beside a phrase of its own."""
+    phrase, other = [f"p{i}" for i in range(30)], [f"o{i}" for i in range(30)]
+    tail = lambda k, n: [f"t{k // 40}_{i}" for i in range(25)] + [f"u{k}_{i}" for i in range(n)]
+    texts = [tail(k, 25) + phrase + tail(k, 25) for k in range(600)] + [tail(k, 25) + other + tail(k, 25) for k in range(3)]
+    docs = repeats.keyed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    stage, spec = Stage(spark, "t"), suffix_tree.WINDOW
+    a = stage.write(repeats.anchor_rows(docs, spec))
+    found = stage.write(repeats.groups(repeats.entries(a)))
+    contexts = stage.write(repeats.cut(docs, found.where("m > 1"), spec))
+    assert contexts.groupBy("kh").count().agg(F.max("count")).first()[0] >= 300
+    most = 100 * 2000
+    fit, leaves = repeats.divided(stage, contexts, spec, most)
+    sizes = [f.groupBy("prefix").agg(F.sum(F.length("context") + 16 * spec.window).alias("size")) for f in fit]
+    assert len(fit) > 1 and all(s.where(F.col("size") > most).isEmpty() and not s.isEmpty() for s in sizes) and leaves is None or not leaves.isEmpty()
+    assert max(len(r.context.split()) for r in fit[1].collect()) <= spec.window + 7  # trimmed to eight windows
+    results = [bag(map(tuple, repeats.runs(stage, docs, stage.write(found), spec, m).withColumn("s", F.explode(F.sequence("s_lo", "s_hi"))).select("kh", "ch", "s", "first").collect())) for m in (repeats.MOST, most, 0)]
+    assert results[0] == results[1] == results[2] and len(results[0]) > 600
+
+
 def test_levels_decide_what_is_found(spark):
     """Prefix 1 is in batches 0 and 2, prefix 2 twice in batch 1: without the level, only prefix 2 is found."""
     batches = [[(1, 5), (3, 5)], [(2, 5), (2, 6)], [(1, 7), (4, 5)]]

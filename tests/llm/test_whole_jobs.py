@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from parlance.llm import jaccard_join, suffix_tree
+from parlance.llm import jaccard_join, repeats, suffix_tree
 from parlance.llm.common import Stage
 
 
@@ -46,8 +46,8 @@ def test_links_between_components_count_both_directions(spark):
     assert len(set(want)) == 60
 
 
-@pytest.mark.parametrize("heavy", [20_000, 0])
-def test_null_ids_precede_nothing(spark, heavy):
+@pytest.mark.parametrize("most", [repeats.MOST, 0])
+def test_null_ids_precede_nothing(spark, most):
     rng = random.Random(7)
     make = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
     twice, inside, passage = make(90), make(60), make(70)
@@ -62,7 +62,7 @@ def test_null_ids_precede_nothing(spark, heavy):
     for i, w in rows:
         gone = {k for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < order(i) for k in range(j, j + 50)}
         want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
-    got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), heavy=heavy)).drop("kept").collect()
+    got = suffix_tree.kept(suffix_tree.dedup(docs, Stage(spark, "t"), most=most)).drop("kept").collect()
     assert Counter(map(tuple, got)) == want
     assert sorted(k[2] for k in want.elements()) == [0] * 6 + [70] * 3
 

@@ -10,8 +10,10 @@ The score is that of the text so written, not of its own white space.
 
 A task's texts form blocks. A block asks for the 6-byte strings and words in it, with the counts it adds to
 training: one row for each part of the keys, sorted and packed, so that a key takes a few bytes. A part has all strings
-of the three-byte contexts dealt to it by hash, sums what the blocks bring, builds the tree from depth 3 down,
-and answers each block's row with a row. The number of parts follows the size of the corpus. Only the nodes of
+of the three-byte contexts dealt to it by hash. Its keys are merged over sets of at most 64 blocks, then sets of sets, so a task
+holds the different strings of a part and of a set, never all that the corpus asks; the tree from depth 3 down
+is built of what is merged, and the blocks of a set are answered together. Parts are 1,024 at most, so rows grow with the corpus. What
+grows with a part are its different strings: a three-byte context has at most 2**24 of them whatever the corpus. Only the nodes of
 two bytes of context and fewer are broadcast: at most 65,536 * 255 of them, in practice a hundredth of that.
 
 Cases: null texts count as empty: one end token. A null doc_id is a training row. Repeated rows count each time. With
@@ -309,14 +311,34 @@ def _values(keys: np.ndarray, times: np.ndarray, crown: list) -> np.ndarray:
 FIGURES = "block long, part int, keys binary, figures binary"
 
 
-def _answers(parts: int, sent):
+SUMS = "part int, set long, keys binary, times binary"
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for the different keys of some blocks in a part."""
+    keys, times = _summed(pdf)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "set": [pdf["set"].iloc[0]], "keys": [packed(np.diff(keys.view(U64), prepend=U64(0)))], "times": [packed(times.astype(np.int64))]})
+
+
+def _figures(parts: int, sent):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The blocks' own keys with their figures: strings' logarithms (32 bits), words' times in training."""
+        """A part's keys with their figures: strings' logarithms (32 bits), words' times in training."""
         keys, times = _summed(pdf)
         word = pdf["part"].iloc[0] >= parts
-        value = times if word else _values(keys, times, sent.value)
-        figures = [value[np.searchsorted(keys, sorted_keys(k))].astype("<f8" if word else "<f4").tobytes() for k in pdf["keys"]]
-        return pd.DataFrame({"block": pdf["block"].to_numpy(), "part": pdf["part"].to_numpy(), "keys": pdf["keys"].array, "figures": figures})
+        value = times.astype("<f8") if word else _values(keys, times, sent.value).astype("<f4")
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "keys": [packed(np.diff(keys.view(U64), prepend=U64(0)))], "figures": [value.tobytes()]})
+
+    return run
+
+
+def _answers(parts: int):
+    def run(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """The keys of a set of blocks, each with its own keys' figures."""
+        if not len(asked):  # a set in which no block asks this part
+            return pd.DataFrame(columns=[x.split()[0] for x in FIGURES.split(", ")])
+        keys, value = sorted_keys(known["keys"].iloc[0]), np.frombuffer(known["figures"].iloc[0], "<f8" if known["part"].iloc[0] >= parts else "<f4")
+        figures = [value[np.searchsorted(keys, sorted_keys(k))].tobytes() for k in asked["keys"]]
+        return pd.DataFrame({"block": asked["block"].to_numpy(), "part": asked["part"].to_numpy(), "keys": asked["keys"].array, "figures": figures})
 
     return run
 
@@ -360,23 +382,44 @@ def _score(parts: int, sent):
 SCORED = "d long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def score(docs: DataFrame, held_out, stage: Stage, parts: int = 0) -> DataFrame:
+MOST_PARTS = 1024  # so that rows, one for each block and part, grow with the corpus and no faster
+TOGETHER = 64  # blocks whose keys one task holds
+
+
+def score(docs: DataFrame, held_out, stage: Stage, parts: int = 0, together: int = TOGETHER) -> DataFrame:
     """docs (doc_id, text) and a boolean column for rows that are not learned, to SCORED with doc_id for d.
 
-    parts: into how many the strings are dealt; 0: four for each block of the corpus.
+    parts: into how many the strings are dealt; 0: four for each block of the corpus, up to MOST_PARTS.
     """
     spark = docs.sparkSession
     own = docs.select(F.coalesce(docs["doc_id"], F.lit(LAST)).alias("d"), F.coalesce(held_out, F.lit(False)).alias("held"), docs["text"].alias("text"))
     if not parts:
-        parts = max(64, 4 * -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
+        parts = min(MOST_PARTS, max(64, 4 * -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK)))
     asked = stage.write(own.mapInPandas(_ask(parts), ASKED))
-    figures = asked.where("part >= 0").select("block", "part", "keys", "times")
-    roots = figures.groupBy("part").applyInPandas(_roots(parts), "node long, n0 double, n1 double, logs double")
+    figures = asked.where("part >= 0")
+    sets = max(1, -(-figures.agg(F.count_distinct("block")).first()[0] // together))
+    figures = figures.select("block", "part", "keys", "times", F.pmod(F.xxhash64("block"), F.lit(sets)).alias("set"))
+    # a part's keys are merged over sets of blocks, then over sets of sets: no task holds the keys of all blocks
+    sums, left, old = figures, sets, None
+    while True:
+        merged = stage.write(sums.groupBy("part", "set").applyInPandas(_merge, SUMS))
+        if old is not None:
+            stage.drop(old)
+        if left == 1:
+            break
+        left = -(-left // together)
+        old, sums = merged, merged.withColumn("set", F.pmod("set", F.lit(left)))
+    sums = merged
+    roots = sums.groupBy("part").applyInPandas(_roots(parts), "node long, n0 double, n1 double, logs double")
     crown = roots.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logs").alias("logs")).orderBy("node").toPandas()
     words = crown[crown["node"] < 0]
     sent = spark.sparkContext.broadcast(_crown(crown[crown["node"] >= 0]))
     stage.free()
-    answers = stage.write(figures.groupBy("part").applyInPandas(_answers(parts, sent), FIGURES))
+    values = stage.write(sums.groupBy("part").applyInPandas(_figures(parts, sent), "part int, keys binary, figures binary"))
+    stage.drop(sums)
+    known = values.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)).cast("array<long>")))
+    answers = stage.write(figures.groupBy("part", "set").cogroup(known.groupBy("part", "set")).applyInPandas(_answers(parts), FIGURES))
+    stage.drop(values)
     stage.free()
     texts = asked.where("part < 0").select(F.col("block").alias("own"), "ids", "held", "texts")
     sizes = spark.sparkContext.broadcast((int(words["n0"].sum()), int(words["n1"].sum())))

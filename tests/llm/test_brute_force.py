@@ -345,9 +345,10 @@ def test_segmentation_follows_the_lattice():
         assert abs(seen[path] - expect) < 5 * math.sqrt(expect + 1)
 
 
-def test_context_tree_base_and_normalisation(spark, docs, rows):
+@pytest.mark.parametrize("together", [64, 2])
+def test_context_tree_base_and_normalisation(spark, docs, rows, together):
     held = F.pmod(F.crc32(docs["doc_id"].cast("string")), F.lit(7)) == 2
-    got = context_tree.score(docs, held, Stage(spark, "t"), parts=3).collect()
+    got = context_tree.score(docs.repartition(7), held, Stage(spark, "t"), parts=3, together=together).collect()
     c = collections.Counter()
     for r in rows:
         if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2:

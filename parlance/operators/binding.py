@@ -9,6 +9,8 @@ sums give for every turn at once; no history is built, so work is linear in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,16 @@ def numbered(turns: DataFrame, mode: str) -> DataFrame:
     return x.withColumn("eval_id", F.when(F.col("evaluated"), evaluation_id(F.col("split"), F.col("record_id"), F.col("mode"), F.col("assistant_turn_index"))))
 
 
-def expected(turns: DataFrame, comparisons: DataFrame, mode: str, root_seed: int) -> DataFrame:
-    """One row per comparison that must be there: eval_id, the frozen fields, seed, and the digest of each variant's prompt."""
+Settle = Callable[[DataFrame], DataFrame]
+
+
+def expected(turns: DataFrame, comparisons: DataFrame, mode: str, root_seed: int, settle: Settle = lambda df: df) -> DataFrame:
+    """One row per comparison that must be there: eval_id, the frozen fields, seed, and the digest of each variant's prompt.
+
+    settle: writes a table and reads it again, so that what several branches need is worked out once (sources/scratch.py has one)."""
     if mode not in (GOLD, ROLLOUT):
         raise ValueError(f"unknown mode {mode!r}")
-    x = numbered(turns, mode)
+    x = settle(numbered(turns, mode))
     said = {v: F.col("content") for v in VARIANTS}
     if mode == ROLLOUT:
         # of comparisons that are there more than once, which is reported, one is followed
@@ -61,12 +68,13 @@ def expected(turns: DataFrame, comparisons: DataFrame, mode: str, root_seed: int
     )
 
 
-def turn_violations(turns: DataFrame, comparisons: DataFrame, mode: str, root_seed: int, config: str) -> DataFrame:
+def turn_violations(turns: DataFrame, comparisons: DataFrame, mode: str, root_seed: int, config: str, settle: Settle = lambda df: df) -> DataFrame:
     """(rule_id, record_id, detail) for what is missing, unexpected, repeated, or differs from its frozen turn.
 
     comparisons: eval_id, the frozen fields, seed, config_sha256, and per variant <v>_prompt (a digest) and <v>_response; config: the hash that the manifest states."""
     fields = [*FROZEN, "seed", *[f"{v}_prompt" for v in VARIANTS]]
-    want = expected(turns, comparisons, mode, root_seed).select(F.col("eval_id").alias("w_id"), *[F.col(f).alias(f"w_{f}") for f in fields])
+    comparisons = settle(comparisons)
+    want = expected(turns, comparisons, mode, root_seed, settle).select(F.col("eval_id").alias("w_id"), *[F.col(f).alias(f"w_{f}") for f in fields])
     x = comparisons.join(want, F.col("eval_id") == F.col("w_id"), "full_outer")
     both = F.col("w_id").isNotNull() & F.col("eval_id").isNotNull()
     tests = [(F.col("eval_id").isNull(), "missing"), (F.col("w_id").isNull(), "unexpected")]

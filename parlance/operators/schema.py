@@ -36,10 +36,6 @@ def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _keys(v: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
-
-
 def _at(v: Column, name: str) -> Column:
     if "'" in name and '"' in name:
         raise ValueError(f"{name!r} can't be the name of a property here")
@@ -134,10 +130,10 @@ def compiled(schema, path: str = "$") -> Iterator[tuple[str, str, Test]]:
         if word in SIMPLE:
             yield path, word, SIMPLE[word](argument)
     for name in schema.get("required", ()):
-        yield f"{path}.{name}", "required", _of("object", lambda v, n=name: F.array_contains(_keys(v), n))
+        yield f"{path}.{name}", "required", _of("object", lambda v, n=name: _at(v, n).isNotNull())
     for name, sub in schema.get("properties", {}).items():
         for place, word, test in compiled(sub, f"{path}.{name}"):
-            yield place, word, lambda v, n=name, t=test: ~F.array_contains(_keys(v), n) | t(_at(v, n))
+            yield place, word, lambda v, n=name, t=test: _at(v, n).isNull() | t(_at(v, n))  # a JSON null is a value, and not null here
     if "additionalProperties" in schema:
         known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
         inner = _whole(schema["additionalProperties"])

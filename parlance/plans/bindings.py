@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import binding as B
+from ..sources.scratch import settled
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -39,7 +40,7 @@ def recorded(spark, d, mode):
     """Comparisons as an honest generator records them, then a fault of one kind in every thirty-first record."""
     turns = frozen(spark, d)
     answers = B.numbered(turns, mode).where("evaluated").select("eval_id", F.concat(F.lit("b:"), "eval_id").alias("base_response"), F.concat(F.lit("t:"), "eval_id").alias("tuned_response"))
-    x = B.expected(turns, answers, mode, SEED).join(answers, "eval_id").withColumn("config_sha256", F.lit(STATED))
+    x = B.expected(turns, answers, mode, SEED, settled).join(answers, "eval_id").withColumn("config_sha256", F.lit(STATED))
     k, first = F.pmod(F.col("record_id").cast("long"), F.lit(31)), F.col("assistant_turn_index") == 1
     copies = F.when((k == 1) & first, F.array().cast("array<string>")).when((k == 2) & first, F.array(F.lit(""), F.lit("X"))).when((k == 3) & first, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.lit("")))
     x = x.withColumn("mark", F.explode(copies)).withColumn("eval_id", F.concat("eval_id", "mark")).drop("mark").withColumn("k", k)
@@ -92,7 +93,7 @@ def _violations_sql(mode: str) -> str:
 def frozen_turn_violations(spark, d):
     """Recorded comparisons of both modes against the turns they claim to answer."""
     turns = frozen(spark, d)
-    parts = [B.turn_violations(turns, recorded(spark, d, m), m, SEED, STATED).select(F.lit(m).alias("mode"), "rule_id", "record_id", "detail") for m in (B.GOLD, B.ROLLOUT)]
+    parts = [B.turn_violations(turns, recorded(spark, d, m), m, SEED, STATED, settled).select(F.lit(m).alias("mode"), "rule_id", "record_id", "detail") for m in (B.GOLD, B.ROLLOUT)]
     return parts[0].unionByName(parts[1])
 
 
@@ -104,12 +105,12 @@ def view(spark, d):
     """The frozen view of all splits as one: a row for each supervised turn."""
     x = B.numbered(frozen(spark, d), B.GOLD).where("evaluated")
     label = F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" "), F.upper("capability"))).otherwise("plain")  # a label of single turns makes whole records critical
-    return x.select(F.concat_ws("::", "record_id", F.concat(F.lit("A"), F.col("assistant_turn_index").cast("string"))).alias("id"), F.col("record_id").alias("source_record_id"), "assistant_turn_index", F.lit("test").alias("split"), F.array(label).alias("labels"), "risk_flags")
+    return settled(x.select(F.concat_ws("::", "record_id", F.concat(F.lit("A"), F.col("assistant_turn_index").cast("string"))).alias("id"), F.col("record_id").alias("source_record_id"), "assistant_turn_index", F.lit("test").alias("split"), F.array(label).alias("labels"), "risk_flags"))
 
 
-def sheet(spark, d):
+def sheet(frozen_view):
     """Comparisons and reviews of the view; every thirty-seventh record has a fault."""
-    own = view(spark, d).select(F.col("source_record_id").alias("record_id"), "assistant_turn_index", B.evaluation_id(F.lit("test"), F.col("source_record_id"), F.lit(B.GOLD), F.col("assistant_turn_index")).alias("eval_id"))
+    own = frozen_view.select(F.col("source_record_id").alias("record_id"), "assistant_turn_index", B.evaluation_id(F.lit("test"), F.col("source_record_id"), F.lit(B.GOLD), F.col("assistant_turn_index")).alias("eval_id"))
     own = own.withColumns({"k": F.pmod(F.col("record_id").cast("long"), F.lit(37)), "first": F.col("assistant_turn_index") == 1, "split": F.lit("test"), "mode": F.lit(B.GOLD)})
     times = lambda gone, twice: F.explode(F.when(F.col("first") & (F.col("k") == gone), F.array().cast("array<int>")).when(F.col("first") & (F.col("k") == twice), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     other = lambda n: F.when(F.col("first") & (F.col("k") == n), F.concat("eval_id", F.lit("X"))).otherwise(F.col("eval_id"))
@@ -137,13 +138,15 @@ _FOUND = f"""{_VIEW}, c AS ({_copies(1, 2, 3)}), r AS ({_copies(4, 5, 6)}),
 @add("protocol_reconciliation", f"WITH {_FOUND} SELECT eval_id, detail FROM found WHERE detail IS NOT NULL")
 def protocol_reconciliation(spark, d):
     """The frozen view, the comparisons and the reviews: what one of them lacks, has twice or binds to another turn."""
-    return B.reconciliation(B.protocol(view(spark, d), capabilities=CRITICAL, risks=RISKS), *sheet(spark, d))
+    own = view(spark, d)
+    return B.reconciliation(B.protocol(own, capabilities=CRITICAL, risks=RISKS), *sheet(own))
 
 
 @add("protocol_completeness", f"""WITH {_FOUND}, w AS (SELECT count(*) AS failures FROM found WHERE detail IS NOT NULL), o AS (SELECT count(*) AS "rows", count(DISTINCT record_id) AS records FROM r), q AS (SELECT count(DISTINCT eval_id) AS expected_rows, count(DISTINCT record_id) AS expected_records, count(*) FILTER (critical) AS expected_critical FROM v)
   SELECT "rows"::bigint AS "rows", records::bigint AS records, true AS one_kind, expected_rows::bigint AS expected_rows, expected_records::bigint AS expected_records, expected_critical::bigint AS expected_critical, failures::bigint AS failures, failures = 0 AND records = expected_records AND expected_critical > 0 AS complete FROM o, q, w""")
 def protocol_completeness(spark, d):
     """Counts of the protocol, and whether a review over it is complete."""
-    obliged = B.protocol(view(spark, d), capabilities=CRITICAL, risks=RISKS)
-    compared, reviewed = sheet(spark, d)
+    own = view(spark, d)
+    obliged = B.protocol(own, capabilities=CRITICAL, risks=RISKS)
+    compared, reviewed = sheet(own)
     return B.completeness(obliged, reviewed, B.reconciliation(obliged, compared, reviewed))

@@ -9,6 +9,7 @@ from ..operators import audit as A
 from ..operators import judge as J
 from ..operators import requests as Q
 from ..operators.requests import Field
+from ..sources.scratch import settled
 from ..sources.tables import table
 from . import records, texts
 from . import sqltext as S
@@ -44,10 +45,11 @@ def comparisons(spark, d):
     own = own.select("doc_id", "variant", "capability", side.alias("side"))
     at = lambda v: F.first(F.when(F.col("variant") == v, F.col("side")), ignorenulls=True).alias(v)
     x = own.groupBy("doc_id", "capability").agg(at("base"), at("tuned"))
-    return x.select(
+    # written once: metrics of whole texts are dear, and a key, its rebuilding and the checks of leaks all start here
+    return settled(x.select(
         i.alias("eval_id"), i.alias("record_id"), F.lit("test").alias("split"), "capability", F.concat(F.lit("g"), F.floor(F.col("doc_id") / 3).cast("string")).alias("scenario_group"), F.lit("rollout").alias("mode"), F.lit(1).alias("assistant_turn_index"),
         (F.pmod("doc_id", F.lit(5)) + 1).alias("seriousness"), F.when(F.pmod("doc_id", F.lit(6)) == 0, F.array(F.lit("harm"))).otherwise(F.array().cast("array<string>")).alias("risk_flags"), F.concat(F.lit("say \""), i, F.lit("\"")).alias("latest_user_message"), F.concat(F.lit("golden answer "), i).alias("gold_response"), "base", "tuned",
-    )
+    ))
 
 
 def assignment(spark, d):
@@ -126,7 +128,7 @@ _SEEN = [(k, True, f.split(" ", 1)[0], f.split(" ", 1)[1]) for k, (_, calls, _)
 def call_audit_violations(spark, d):
     """Calls of a judge and the results they must stand behind."""
     e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("request_id"), F.pmod("event_id", F.lit(23)).alias("k"), F.struct("event_type", F.col("value").alias("score")).alias("judgment"))
-    e = e.withColumns({"judgment_sha256": A.judgment_hash(e), "request_sha256": F.sha2("request_id", 256), "prompt_sha256": F.sha2(F.concat(F.lit("p"), "request_id"), 256)})
+    e = settled(e.withColumns({"judgment_sha256": A.judgment_hash(e), "request_sha256": F.sha2("request_id", 256), "prompt_sha256": F.sha2(F.concat(F.lit("p"), "request_id"), 256)}))
     shape = "array<struct<attempt: int, status: string, retryable: boolean, judged: boolean, response_model: string, run: int>>"
     kinds = spark.createDataFrame([(k, calls) for k, (calls, *_) in _CALLS.items()], f"kind int, calls {shape}")  # a row for each kind
     x = e.withColumn("kind", F.when(F.col("k") < len(_CALLS), F.col("k")).otherwise(0)).join(kinds, "kind").select("*", F.posexplode("calls").alias("seq", "c"))

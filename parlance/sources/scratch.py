@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written below the shared folder and read again: worked out once, and safe from the loss of executors."""
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -63,20 +63,19 @@ def factual_support(text: Column, gold: Column, activation: Column) -> Column:
     c, r = X.char_ngrams(text, 2), X.char_ngrams(gold, 2)
     cov = F.size(F.array_intersect(c, r)) / F.greatest(F.lit(1), F.size(r))
     ref = F.when(F.coalesce(F.length(gold), F.lit(0)) > 0, 60 + 40 * F.least(F.lit(1.0), cov / 0.45)).otherwise(80.0)
-    bad, open_ = _facts(text, activation)
-    con = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - 100 * bad - 12 * open_))
+    con = _facts(text, activation, lambda bad, open_: F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - 100 * bad - 12 * open_)))
     return bounded(0.4 * ref + 0.6 * con)
 
 
-def _facts(text: Column, activation: Column) -> tuple[Column, Column]:
-    status = [X.fact_status(text, activation, f) for f in config.FACTS]
-    count = lambda s: sum((F.when(x == s, 1).otherwise(0) for x in status), F.lit(0))
-    return count("contradicted"), count("unresolved")
+def _facts(text: Column, activation: Column, use) -> Column:
+    """use(contradicted, unresolved): numbers of facts; each fact's status is found once."""
+    status = F.array(*[X.fact_status(text, activation, f) for f in config.FACTS])
+    count = lambda s, kind: F.size(F.filter(s, lambda x: x == kind))
+    return X.let(status, lambda s: use(count(s, "contradicted"), count(s, "unresolved")))
 
 
 def constraints(text: Column, activation: Column) -> Column:
-    bad, open_ = _facts(text, activation)
-    return bounded(100.0 - 15 * open_ - 65 * bad)
+    return _facts(text, activation, lambda bad, open_: bounded(100.0 - 15 * open_ - 65 * bad))
 
 
 def principle_coverage(text: Column, capability: Column) -> Column:

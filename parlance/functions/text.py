@@ -86,31 +86,60 @@ def exclusive_counts(text: Column, terms: Sequence[str]) -> dict[str, Column]:
 
 
 def polarity(text: Column, term: str) -> Column:
-    """struct(affirmed, negated): occurrences of a term, by whether a negation governs them."""
-    pattern = quote(term)
-
-    def governed(parts: Column) -> Column:
-        def negated(k: Column) -> Column:
-            def judged(before: Column) -> Column:
-                near = F.right(before, F.lit(config.NEAR_BEFORE))
-                clause = F.element_at(F.split(before, CLAUSE_END, -1), -1)
-                for phrase in config.EXEMPT:
-                    clause = F.replace(clause, F.lit(phrase), F.lit(""))
-                after = F.substring(text, F.length(before) + F.lit(len(term) + 1), F.lit(config.NEAR_AFTER))
+    """struct(affirmed, negated): occurrences of a term, by whether a negation governs them; null has none.
+
+    A text is cut into clauses, and only clauses that hold the term are cut at it. A running length and the last few
+    characters are all that is carried from one occurrence to the next, so the work is linear in the text; only in a clause with an
+    exempting phrase is each occurrence's part of the clause read anew. Clause marks within terms, negators and corrections are refused.
+    """
+    for word in (term, *config.NEGATORS, *config.CORRECTIONS):
+        if not word or any(mark in word for mark in config.CLAUSE_MARKS + config.LATIN_MARKS):
+            raise ValueError(f"{word!r} is empty or holds a mark that ends clauses")
+    near, width = config.NEAR_BEFORE, config.NEAR_AFTER
+    zero = F.lit(0).cast("long")
+
+    def first_after(heads: Column, i: Column, between: str) -> Column:
+        # as many parts as the window has characters are enough, whatever their lengths
+        return F.array_join(F.slice(heads, i + 1, F.lit(width + 1)), between)
+
+    def governed(c: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            def judged(v: Column) -> Column:
                 direct = F.lit(False)
                 for n in config.NEGATORS:
-                    direct = direct | F.endswith(near, F.lit(n))
-                return direct | any_term(clause, config.SCOPE_NEGATORS) | any_term(after, config.CORRECTIONS)
+                    direct = direct | F.endswith(v["near"], F.lit(n))
+                rest = F.left(c["clause"], v["at"])
+                for phrase in config.EXEMPT:
+                    rest = F.replace(rest, F.lit(phrase), F.lit(""))
+                scope = F.when(c["exempt"], any_term(rest, config.SCOPE_NEGATORS)).otherwise(F.coalesce(c["first"] <= v["at"], F.lit(False)))
+                after = F.left(F.concat(first_after(c["heads"], k, term), F.lit("\n"), c["next"]), F.lit(width))
+                bad = F.when(direct | scope | any_term(after, config.CORRECTIONS), 1).otherwise(0).cast("long")
+                return F.struct((v["at"] + len(term)).alias("at"), F.right(F.concat(v["near"], F.lit(term)), F.lit(near)).alias("near"), (s["all"] + 1).alias("all"), (s["bad"] + bad).alias("bad"))
+
+            part = F.element_at(c["parts"], k)
+            return let(F.struct((s["at"] + F.length(part)).alias("at"), F.right(F.concat(s["near"], part), F.lit(near)).alias("near")), judged)
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), zero.alias("all"), zero.alias("bad"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(c["parts"]) - 1), start, step)
+
+    def within(clause: Column, after: Column) -> Column:
+        ends = [F.when(F.contains(clause, F.lit(n)), F.instr(clause, n) + (len(n) - 1)) for n in config.SCOPE_NEGATORS]
+        first = F.array_min(F.array(*ends)) if ends else F.lit(None).cast("int")
 
-            return let(F.array_join(F.slice(parts, F.lit(1), k), term), judged)
+        def cut(parts: Column) -> Column:
+            return let(F.struct(clause.alias("clause"), parts.alias("parts"), F.transform(parts, lambda p: F.left(p, F.lit(width))).alias("heads"), after.alias("next"), first.alias("first"), any_term(clause, config.EXEMPT).alias("exempt")), governed)
 
-        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), negated)).otherwise(F.array().cast("array<boolean>"))
+        return let(F.split(clause, quote(term), -1), cut)
 
-    def counted(hits: Column) -> Column:
-        bad = F.size(F.filter(hits, lambda x: x)).cast("long")
-        return F.struct((F.size(hits).cast("long") - bad).alias("affirmed"), bad.alias("negated"))
+    def counted(v: Column) -> Column:
+        held = F.filter(F.sequence(F.lit(1), F.size(v["clauses"])), lambda i: F.contains(F.element_at(v["clauses"], i), F.lit(term)))
+        each = F.transform(held, lambda i: within(F.element_at(v["clauses"], i), F.left(first_after(v["heads"], i, "\n"), F.lit(width))))
+        total = F.struct(zero.alias("affirmed"), zero.alias("negated"))
+        return F.aggregate(each, total, lambda a, x: F.struct((a["affirmed"] + x["all"] - x["bad"]).alias("affirmed"), (a["negated"] + x["bad"]).alias("negated")))
 
-    return let(let(F.split(text, pattern, -1), governed), counted)
+    cut = lambda c: F.struct(c.alias("clauses"), F.transform(c, lambda x: F.left(x, F.lit(width))).alias("heads"))
+    none = F.struct(zero.alias("affirmed"), zero.alias("negated"))
+    return F.when(F.contains(text, F.lit(term)), let(let(F.split(text, CLAUSE_END, -1), cut), counted)).otherwise(none)
 
 
 def sentence_lengths(text: Column) -> Column:

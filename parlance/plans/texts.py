@@ -87,18 +87,17 @@ def constraint_status(spark, d):
     return table(spark, d, "documents").select("doc_id", *[X.fact_status(t(), t(), f).alias(f) for f in config.FACTS])
 
 
-def metric_columns() -> dict[str, Column]:
-    text, serious = t(), F.col("serious")
-    return {
-        "style_marker": M.style_marker(text, serious), "register_match": M.register_match(text, serious),
-        "factual_support": M.factual_support(text, F.col("gold"), text), "constraints": M.constraints(text, text),
-        "principle_coverage": M.principle_coverage(text, F.col("capability")), "conflict_safety": M.conflict_safety(text, serious, text),
-    }
+#: Made when a query asks for one: a metric is some hundred expressions, and each is built through the gateway.
+METRICS: dict[str, Callable[[], Column]] = {
+    "style_marker": lambda: M.style_marker(t(), F.col("serious")), "register_match": lambda: M.register_match(t(), F.col("serious")),
+    "factual_support": lambda: M.factual_support(t(), F.col("gold"), t()), "constraints": lambda: M.constraints(t(), t()),
+    "principle_coverage": lambda: M.principle_coverage(t(), F.col("capability")), "conflict_safety": lambda: M.conflict_safety(t(), F.col("serious"), t()),
+}
 
 
 METRICS_SQL = {"style_marker": S.style_marker("text", "serious"), "register_match": S.register("text", "serious"), "factual_support": S.factual("text", "gold", "text"), "constraints": S.constraint("text", "text"), "principle_coverage": S.principle("text", "capability"), "conflict_safety": S.conflict("text", "serious", "text")}
 for _m in METRICS_SQL:
-    QUERIES[f"{_m}_score"] = lambda spark, d, m=_m: responses(spark, d).select("doc_id", metric_columns()[m].alias("score"))
+    QUERIES[f"{_m}_score"] = lambda spark, d, m=_m: responses(spark, d).select("doc_id", METRICS[m]().alias("score"))
     SQL[f"{_m}_score"] = f"SELECT doc_id, {METRICS_SQL[_m]} AS score FROM {RESPONSES}"
 
 SCORED_SQL = "(SELECT doc_id, lang, capability, source, " + ", ".join(f"{e} AS {m}" for m, e in METRICS_SQL.items()) + f" FROM {RESPONSES})"
@@ -109,7 +108,7 @@ OVERALL_SQL = "round(" + " + ".join(f"{w}::double * {k}" for k, w in config.LAYE
 
 def scored(spark, d) -> DataFrame:
     """All metrics of a response in one pass, then its layers and overall score."""
-    own = responses(spark, d).select("doc_id", "lang", "capability", "source", *[c.alias(m) for m, c in metric_columns().items()])
+    own = responses(spark, d).select("doc_id", "lang", "capability", "source", *[made().alias(m) for m, made in METRICS.items()])
     return own.withColumns({k: c for k, c in M.layers({m: F.col(m) for m in METRICS_SQL}).items() if k != "overall"}).withColumn("overall", M.rounded(sum((F.lit(w) * F.col(k) for k, w in config.LAYER_WEIGHTS.items()), F.lit(0.0))))
 
 

@@ -48,6 +48,42 @@ def test_polarity(spark, text, want):
     assert (got.affirmed, got.negated) == want
 
 
+def governed(text, term):
+    """Reads everything before each occurrence, whatever that costs."""
+    import re
+
+    hits = []
+    for m in re.finditer(re.escape(term), text):
+        before, after = text[: m.start()], text[m.end() :][: config.NEAR_AFTER]
+        clause = re.split(f"[{config.CLAUSE_MARKS}{config.LATIN_MARKS}]", before)[-1]
+        for phrase in config.EXEMPT:
+            clause = clause.replace(phrase, "")
+        near = before[-config.NEAR_BEFORE :]
+        hits.append(near.endswith(config.NEGATORS) or any(n in clause for n in config.SCOPE_NEGATORS) or any(c in after for c in config.CORRECTIONS))
+    return len(hits) - sum(hits), sum(hits)
+
+
+def test_polarity_equals_reading_all_that_stands_before(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["un", "gun", "ung", "no ", "not ", "never", "pas ", "mal", "wrong", "fal", "sch", " ", "é", ".", "\n", "x" * 15]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for term in ("ung", "n", "no "):
+        got = frame.select("text", X.polarity(F.col("text"), term).alias("v")).collect()
+        assert [(r.v.affirmed, r.v.negated) for r in got] == [governed(r.text, term) for r in got]
+    with pytest.raises(ValueError):
+        X.polarity(F.col("text"), "a.")
+
+
+def test_polarity_is_linear_in_a_long_text(spark):
+    text = "the ung is never ung; " * 60_000
+    got = one(spark, text, X.polarity(F.col("text"), "ung"))
+    assert (got.affirmed, got.negated) == (60_000, 60_000)
+    assert tuple(one(spark, None, X.polarity(F.col("text"), "ung"))) == (0, 0)
+
+
 def test_sentences_and_ngrams(spark):
     assert one(spark, "ab c. ! d?\n", X.sentence_lengths(F.col("text"))) == [3, 1]
     assert one(spark, "a", X.char_ngrams(F.col("text"), 2)) == ["a"]

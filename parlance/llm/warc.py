@@ -3,17 +3,23 @@
 Metadata keeps the response's own header lines, whatever they are. Both keep its target URI and date, name its record id in WARC-Refers-To, and carry its payload digest
 in WARC-Source-Payload-Digest; each has a record id of its own, derived from that of the response, and a digest
 and length of its block. Only DataFrame functions are used; texts are made by patterns, not by a full HTML parser:
-comments, scripts, styles and the title go, block elements end lines, other tags vanish, common entities are
-replaced once, and white space is collapsed.
+comments, scripts, styles and the title go, block elements end lines, other tags vanish, character references are
+decoded once (numeric ones, and the names of HTML 4 with apos), and white space is collapsed. Titles and link targets are decoded too.
+
+`read_warc` reads WARC files by Spark's splits, plain or gzip; `responses_of` takes their responses with the headers they
+came with; `write_warc` writes records. A pages table has no such headers: `responses` gives it the ones that a response must have.
 
 Cases: a null payload counts as empty. A null URI gives no WARC-Target-URI line. Repeated responses have equal
-record ids and give equal records. An unclosed comment, script or style runs to the end. An empty table gives no
-rows; extra columns are ignored.
+record ids and give equal records. An unclosed comment, script or style runs to the end. A reference without semicolon, of an
+unknown name or of more than seven digits stays as it is; a number that is no character gives U+FFFD; a no-break space written as a
+reference is a space. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
@@ -27,19 +33,41 @@ STEPS = (
     (rf"(?i)</?({BLOCK})\b[^>]*>", "\n"),
     (r"<[a-zA-Z/!?][^>]*>", ""),
 )
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+#: Names of character references, frequent ones first: a lookup goes through them in order.
+NAMES = {n: chr(name2codepoint[n]) for n in ("amp", "quot", "lt", "gt")} | {"nbsp": " ", "apos": "'"}
+NAMES |= {n: chr(c) for n, c in sorted(name2codepoint.items()) if n not in NAMES}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+\z", ""))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 LANG = r'(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"'
 LINK = r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(code == 160, " ").when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(32).cast("long"))), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def decoded(text: Column) -> Column:
+    """text with its character references decoded once: what a reference gives is not read again."""
+    names = F.map_from_arrays(F.split(F.lit(" ".join(NAMES)), " "), F.split(F.lit("\t".join(NAMES.values())), "\t"))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("long")
+        to = F.when(name == "", F.lit(None)).when(F.startswith(name, F.lit("#")), character(code)).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(to, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&", -1)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     out = html
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
-    for name, to in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(to))
+    out = decoded(out)
     for pattern, to in SPACES:
         out = F.regexp_replace(out, pattern, to)
     return out
@@ -70,8 +98,8 @@ def derive(found: DataFrame) -> DataFrame:
     """responses to records: page_id, warc_type, record_id, refers_to, target_uri, content_type, content_length,
     block_digest, source_payload_digest, header (the record's header lines), block."""
     html = F.col("payload")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"[ \t\r\n\f]+", " "))
-    links = F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
+    title = F.trim(F.regexp_replace(decoded(F.regexp_extract(html, TITLE, 1)), r"[ \t\r\n\f]+", " "))
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda u: F.regexp_replace(decoded(u), r"[\t\r\n]+", ""))
     fields = F.concat(
         F.lit("title: "), title, F.lit("\r\nlanguage: "), F.regexp_extract(html, LANG, 1),
         F.lit("\r\nsource-length: "), F.octet_length(html).cast("string"), F.lit("\r\n"),
@@ -91,6 +119,47 @@ def derive(found: DataFrame) -> DataFrame:
     return x.withColumn("header", header).select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_payload_digest", "header", "block")
 
 
+def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Records (header, block) as WARC files, one for each partition."""
+    lines = records.select(F.concat("header", F.lit("\r\n"), "block"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files as records: path, warc_type, record_id, refers_to, target_uri, date, payload_digest, headers (lines), block (binary), whole.
+
+    Records are cut where a version line follows two line ends, so a plain file of any size is read by many tasks. A block that
+    itself holds such a place comes in pieces: `whole` tells whether a block has the length that its header gives."""
+    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
+    # the first record keeps its own version line, the last one the end of the file; others begin with the digit of the version
+    head = F.substring_index("v", "\r\n\r\n", 1)
+    lines = F.slice(F.split(head, "\r\n", -1), 2, F.size(F.split(head, "\r\n", -1)))
+    block = F.expr("substring(cast(v AS binary), octet_length(substring_index(v, '\\r\\n\\r\\n', 1)) + 5)")
+    x = raw.where(F.length("v") > 0).select("path", lines.alias("headers"), block.alias("block"))
+
+    def named(name: str) -> Column:
+        line = F.get(F.filter("headers", lambda h: F.lower(F.substring_index(h, ":", 1)) == name.lower()), F.lit(0))
+        return F.trim(F.substring(line, len(name) + 2, F.length(line)))
+
+    fields = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest"}
+    x = x.withColumns({k: named(n) for k, n in fields.items()} | {"size": named("Content-Length").try_cast("long")})
+    # only the last record of a file still has the two line ends that close it
+    ended = F.expr("CASE WHEN octet_length(block) = size + 4 AND right(hex(block), 8) = '0D0A0D0A' THEN substring(block, 1, cast(size AS int)) ELSE block END")
+    return x.withColumn("block", ended).withColumn("whole", F.coalesce(F.octet_length("block") == F.col("size"), F.lit(False))).select("path", *fields, "headers", "block", "whole")
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses among records of `read_warc`, for `derive`: HTTP headers cut off, headers and digest as they came (a digest is made where none came).
+
+    Payloads are read as UTF-8; what is none becomes U+FFFD. page_id is null: such records have no number."""
+    raw = F.col("block").cast("string")
+    http = F.startswith(raw, F.lit("HTTP/"))
+    body = F.when(http, F.expr("substring(block, octet_length(substring_index(cast(block AS string), '\\r\\n\\r\\n', 1)) + 5)")).otherwise(F.col("block"))
+    own = records.where("warc_type = 'response'").select("record_id", "target_uri", "date", "payload_digest", "headers", body.alias("body"))
+    sha = F.concat(F.lit("sha256:"), F.sha2("body", 256))
+    return own.select(F.lit(None).cast("long").alias("page_id"), "record_id", "target_uri", "date", F.make_valid_utf8(F.col("body").cast("string")).alias("payload"), F.coalesce("payload_digest", sha).alias("payload_digest"), "headers")
+
+
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = derive(responses(pages))
@@ -101,12 +170,22 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _sql_decoded(text: str) -> str:
+    names = ", ".join(_quoted(n) for n in NAMES)
+    chars = ", ".join(_quoted(c) for c in NAMES.values())
+    name = f"regexp_extract(p, {_quoted(REFERENCE)}, 1)"
+    code = "(CASE WHEN n[2:2] IN ('x', 'X') THEN ('0x' || n[3:])::bigint ELSE n[2:]::bigint END)"
+    char = f"CASE WHEN {code} = 160 THEN ' ' WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::int) ELSE chr(65533) END"
+    to = f"CASE WHEN n = '' THEN NULL WHEN n[1:1] = '#' THEN {char} ELSE list_extract([{chars}], list_position([{names}], n)) END"
+    part = f"list_transform([{name}], lambda n: coalesce({to} || p[length(n) + 2:], '&' || p))[1]"
+    return f"(list_transform([string_split({text}, '&')], lambda s: s[1] || coalesce(array_to_string(list_transform(s[2:], lambda p: {part}), ''), ''))[1])"
+
+
 def _sql_text() -> str:
     out = "html"
     for pattern, to in STEPS:
         out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
-    for name, to in ENTITIES:
-        out = f"replace({out}, {_quoted(name)}, {_quoted(to)})"
+    out = _sql_decoded(out)
     for pattern, to in SPACES:
         out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(to)}, 'g')"
     return out
@@ -119,9 +198,9 @@ WITH r AS (SELECT page_id, url, coalesce(html, '') AS html,
 s AS (SELECT page_id, url AS target_uri, html, {_UUID} AS refers_to, 'sha256:' || sha256(html) AS source_payload_digest FROM r),
 b AS (
   SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || trim(regexp_replace(regexp_extract(html, {_quoted(TITLE)}, 1), '[ \t\r\n\f]+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {_quoted(LANG)}, 1)
+    'title: ' || trim(regexp_replace({_sql_decoded(f"regexp_extract(html, {_quoted(TITLE)}, 1)")}, '[ \t\r\n\f]+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || regexp_extract(html, {_quoted(LANG)}, 1)
     || chr(13) || chr(10) || 'source-length: ' || strlen(html)::varchar || chr(13) || chr(10)
-    || coalesce(array_to_string(list_transform(regexp_extract_all(html, {_quoted(LINK)}, 1), lambda u: 'outlink: ' || u || chr(13) || chr(10)), ''), '')
+    || coalesce(array_to_string(list_transform(regexp_extract_all(html, {_quoted(LINK)}, 1), lambda u: 'outlink: ' || regexp_replace({_sql_decoded("u")}, '[\t\r\n]+', '', 'g') || chr(13) || chr(10)), ''), '')
     || 'source-header: WARC-Type: response' || chr(13) || chr(10) || 'source-header: WARC-Record-ID: ' || refers_to || chr(13) || chr(10) || coalesce('source-header: WARC-Target-URI: ' || target_uri || chr(13) || chr(10), '')
     || 'source-header: WARC-Date: {DATE}' || chr(13) || chr(10) || 'source-header: WARC-Payload-Digest: ' || source_payload_digest || chr(13) || chr(10) AS block FROM s
   UNION ALL SELECT *, 'conversion', 'text/plain', {_sql_text()} FROM s),

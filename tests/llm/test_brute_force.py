@@ -535,6 +535,61 @@ def test_warc_on_awkward_rows(spark):
     assert text.block.split() == ["long"] * 300_000
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a &copy; b &eacute;&Eacute; &middot;", "a © b éÉ ·"), ("&#233;&#xE9;&#X1F600;", "éé😀"), ("&amp;lt; &#38;lt; &amp;amp;", "&lt; &lt; &amp;"), ("a&nbsp;&#160;&#xa0;b", "a b"),
+        ("&nosuch; &amp &; & &#; &#x; &#xZZ; &#12345678;", "&nosuch; &amp &; & &#; &#x; &#xZZ; &#12345678;"), ("&#0;&#xD800;&#1114112;", "\ufffd\ufffd\ufffd"), ("<p>1<p>2<br>3", "1\n2\n3"), ("&lt;p&gt;&apos;&quot;", "<p>'\""), ("x&", "x&"),
+    ],
+)
+def test_plain_texts_by_hand(spark, html, want):
+    assert spark.createDataFrame([(html,)], "h string").select(warc.plain_text(F.col("h")).alias("t")).first().t == want
+
+
+def test_warc_titles_and_links_stay_on_their_lines(spark):
+    pages = spark.createDataFrame([(1, "u", '<title>a&#10;b &euro;</title><a href="/x?a=1&amp;b=2&#13;&#10;c">z</a>')], "page_id long, url string, html string")
+    meta = warc.derive(warc.responses(pages)).where("warc_type = 'metadata'").first().block
+    assert "title: a b €\r\n" in meta and "outlink: /x?a=1&b=2c\r\n" in meta
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files_are_read_as_written(spark, tmp_path, compression):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{'é' * i}\r\n\r\nWARC-Type: no</p>\r\n") for i in range(50)] + [(99, None, None)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages)).repartition(3)
+    warc.write_warc(made, f"{tmp_path}/w", compression)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        read = warc.read_warc(spark, f"{tmp_path}/w")
+        got = {r.record_id: r for r in read.collect()}
+        assert compression == "gzip" or read.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = made.collect()
+    assert len(got) == len(want) == 102
+    for r in want:
+        x = got[r.record_id]
+        assert bytes(x.block) == r.block.encode() and x.whole and x.warc_type == r.warc_type and x.refers_to == r.refers_to and x.target_uri == r.target_uri
+        assert x.headers == r.header.split("\r\n")[1:-1]
+
+
+def test_warc_responses_of_a_file_keep_headers_and_digest(spark, tmp_path):
+    body = "<title>t</title><p>caf\u00e9".encode() + b"\xff"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    record = lambda head, block: b"\r\n".join([b"WARC/1.0", *head, b"Content-Length: %d" % len(block), b"", block, b"", b""])
+    own = [b"WARC-Type: response", b"warc-record-id: <urn:uuid:1>", b"WARC-Target-URI: http://a/?x=y:z", b"WARC-Date: 2020-02-02T02:02:02Z", b"WARC-Payload-Digest: sha1:ABC", b"X-Own: 1"]
+    odd = record([b"WARC-Type: resource", b"WARC-Record-ID: <urn:uuid:3>"], b"x\r\n\r\nWARC/1.0 inside")
+    with open(f"{tmp_path}/a.warc", "wb") as f:
+        f.write(record([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:0>"], b"") + record(own, http) + odd)
+    read = warc.read_warc(spark, f"{tmp_path}/a.warc")
+    assert sorted((r.warc_type or "", r.whole) for r in read.collect()) == [("", False), ("resource", False), ("response", True), ("warcinfo", True)]
+    found = warc.responses_of(read)
+    r = found.first()
+    assert (r.record_id, r.target_uri, r.date, r.payload_digest, r.payload) == ("<urn:uuid:1>", "http://a/?x=y:z", "2020-02-02T02:02:02Z", "sha1:ABC", body.decode(errors="replace"))
+    got = {x.warc_type: x for x in warc.derive(found).collect()}
+    assert "source-header: X-Own: 1\r\n" in got["metadata"].block and got["conversion"].block == "café\ufffd"
+    assert all(x.refers_to == "<urn:uuid:1>" and x.source_payload_digest == "sha1:ABC" and "WARC-Date: 2020-02-02T02:02:02Z" in x.header for x in got.values())
+
+
 def test_empty_tables(spark, empty):
     stage = Stage(spark, "t")
     assert suffix_tree.kept(suffix_tree.dedup(empty, stage)).count() == 0

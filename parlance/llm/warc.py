@@ -36,6 +36,8 @@ STEPS = (
 #: Names of character references, frequent ones first: a lookup goes through them in order.
 NAMES = {n: chr(name2codepoint[n]) for n in ("amp", "quot", "lt", "gt")} | {"nbsp": " ", "apos": "'"}
 NAMES |= {n: chr(c) for n, c in sorted(name2codepoint.items()) if n not in NAMES}
+NUMBER = r"^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})\z"
+#: What the SQL takes for a reference.
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+\z", ""))
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
@@ -53,11 +55,18 @@ def decoded(text: Column) -> Column:
     """text with its character references decoded once: what a reference gives is not read again."""
     names = F.map_from_arrays(F.split(F.lit(" ".join(NAMES)), " "), F.split(F.lit("\t".join(NAMES.values())), "\t"))
 
+    def numeric(n: Column) -> Column:
+        code = F.when(n.rlike("^#[xX]"), F.conv(F.substring(n, 3, 6), 16, 10)).otherwise(F.substring(n, 2, 7)).cast("long")
+        return F.when(n.rlike(NUMBER), character(code))
+
     def one(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("long")
-        to = F.when(name == "", F.lit(None)).when(F.startswith(name, F.lit("#")), character(code)).otherwise(F.try_element_at(names, name))
-        return F.coalesce(F.concat(to, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+        def given(n: Column) -> Column:
+            known = (F.octet_length(n) <= 10) & (F.octet_length(n) < F.octet_length(part))
+            to = F.when(known, F.when(F.startswith(n, F.lit("#")), numeric(n)).otherwise(F.try_element_at(names, n)))
+            return F.coalesce(F.concat(to, F.substring(part, F.length(n) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+        # lambdas share no subexpressions: what stands before the semicolon is bound once, and only numbers meet a pattern
+        return F.element_at(F.transform(F.array(F.substring_index(part, ";", 1)), given), 1)
 
     parts = F.split(text, "&", -1)
     return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)

@@ -55,6 +55,9 @@ def decoded(text: Column) -> Column:
     """text with its character references decoded once: what a reference gives is not read again."""
     names = F.map_from_arrays(F.split(F.lit(" ".join(NAMES)), " "), F.split(F.lit("\t".join(NAMES.values())), "\t"))
 
+    def plain(run: Column) -> Column:
+        return F.replace(run, F.lit("&amp;"), F.lit("&"))
+
     def numeric(n: Column) -> Column:
         code = F.when(n.rlike("^#[xX]"), F.conv(F.substring(n, 3, 6), 16, 10)).otherwise(F.substring(n, 2, 7)).cast("long")
         return F.when(n.rlike(NUMBER), character(code))
@@ -63,13 +66,14 @@ def decoded(text: Column) -> Column:
         def given(n: Column) -> Column:
             known = (F.octet_length(n) <= 10) & (F.octet_length(n) < F.octet_length(part))
             to = F.when(known, F.when(F.startswith(n, F.lit("#")), numeric(n)).otherwise(F.try_element_at(names, n)))
-            return F.coalesce(F.concat(to, F.substring(part, F.length(n) + 2, F.length(part))), F.concat(F.lit("&"), part))
+            return F.coalesce(F.concat(to, plain(F.substring(part, F.length(n) + 2, F.length(part)))), F.concat(F.lit("&"), plain(part)))
 
         # lambdas share no subexpressions: what stands before the semicolon is bound once, and only numbers meet a pattern
         return F.element_at(F.transform(F.array(F.substring_index(part, ";", 1)), given), 1)
 
-    parts = F.split(text, "&", -1)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
+    # the most frequent reference is replaced by whole runs of text; what the others give is never in such a run
+    parts = F.split(text, "&(?!amp;)", -1)
+    return F.when(F.contains(text, F.lit("&")), F.concat(plain(F.element_at(parts, 1)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:

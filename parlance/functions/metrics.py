@@ -23,12 +23,10 @@ def judge_to_100(score: Column) -> Column:
     return (score - 1) * 25.0
 
 
-def style_marker(text: Column, serious: Column) -> Column:
+def style_marker(text: Column, serious: Column, seen: Column | None = None) -> Column:
     """Few markers, spread thin: none in serious talk, one per 70 characters at most elsewhere."""
-    counts = list(X.exclusive_counts(text, config.STYLE_TERMS).values())
-
     def judged(v: Column) -> Column:
-        each = [v["counts"][i] for i in range(len(counts))]
+        each = [v["counts"][i] for i in range(len(config.STYLE_TERMS))]
         h, n = sum(each, F.lit(0)), v["n"]
         repeats = sum((F.greatest(F.lit(0), c - 1) for c in each), F.lit(0))
         dense = h * 100.0 / F.greatest(F.lit(35), n)
@@ -37,48 +35,50 @@ def style_marker(text: Column, serious: Column) -> Column:
         light = light - 12.0 * repeats - 8.0 * F.greatest(F.lit(0.0), dense - 3)
         return bounded(F.when(v["serious"] >= 4, 100.0 - 18.0 * h).otherwise(light))
 
-    found = F.struct(F.greatest(F.lit(1), X.visible_length(text)).alias("n"), F.array(*counts).alias("counts"), serious.alias("serious"))
+    found = F.struct(F.greatest(F.lit(1), X.visible_length(text, seen)).alias("n"), X.exclusive_array(text, config.STYLE_TERMS).alias("counts"), serious.alias("serious"))
     return X.let(found, judged)
 
 
-def register_match(text: Column, serious: Column) -> Column:
+def register_match(text: Column, serious: Column, seen: Column | None = None) -> Column:
     """Sentence rhythm and vocabulary against the seriousness of the talk."""
-    n = X.visible_length(text)
-    lengths = X.sentence_lengths(text)
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
-    mean = F.when(F.size(lengths) > 0, total / F.size(lengths)).otherwise(n.cast("double"))
-    rhythm = F.when(mean.between(10, 48), 10.0).otherwise(-10.0)
-    col, form, bad = (X.terms_total(text, t) for t in (config.COLLOQUIAL, config.FORMAL, config.INAPPROPRIATE))
-    ex, ask = (X.terms_total(text, tuple(marks)) for marks in (config.EXCLAMATIONS, config.QUESTIONS))
-    zero = F.lit(0)
-    high = 88.0 + F.least(F.lit(8), 2 * form) + rhythm - 7 * col - 7 * F.greatest(zero, ex - 1) - 35 * bad - F.when(n < 18, 12).otherwise(0)
-    low = 78.0 + F.least(F.lit(14), 7 * col) + rhythm + F.when((ex > 0) | (ask > 0), 3).otherwise(0) - 3 * F.greatest(zero, form - 3) - 15 * bad
-    middle = 88.0 + rhythm + F.least(F.lit(6), 2 * (col + form)) - 25 * bad - 5 * F.greatest(zero, ex - 2)
-    long_ = F.when(n > 220, F.least(F.lit(20.0), (n - 220) / 10.0)).otherwise(0.0)
-    return bounded(F.when(serious >= 4, high).when(serious <= 2, low).otherwise(middle) - long_)
-
-
-def factual_support(text: Column, gold: Column, activation: Column) -> Column:
-    """Bigram coverage of a reference answer, and facts that are supported rather than contradicted."""
-    c, r = X.char_ngrams(text, 2), X.char_ngrams(gold, 2)
-    cov = F.size(F.array_intersect(c, r)) / F.greatest(F.lit(1), F.size(r))
+    def judged(v: Column) -> Column:
+        n, lengths, col, form, bad, ex, ask = (v[x] for x in ("n", "lengths", "col", "form", "bad", "ex", "ask"))
+        total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+        mean = F.when(F.size(lengths) > 0, total / F.size(lengths)).otherwise(n.cast("double"))
+        rhythm = F.when(mean.between(10, 48), 10.0).otherwise(-10.0)
+        zero = F.lit(0)
+        high = 88.0 + F.least(F.lit(8), 2 * form) + rhythm - 7 * col - 7 * F.greatest(zero, ex - 1) - 35 * bad - F.when(n < 18, 12).otherwise(0)
+        low = 78.0 + F.least(F.lit(14), 7 * col) + rhythm + F.when((ex > 0) | (ask > 0), 3).otherwise(0) - 3 * F.greatest(zero, form - 3) - 15 * bad
+        middle = 88.0 + rhythm + F.least(F.lit(6), 2 * (col + form)) - 25 * bad - 5 * F.greatest(zero, ex - 2)
+        long_ = F.when(n > 220, F.least(F.lit(20.0), (n - 220) / 10.0)).otherwise(0.0)
+        return bounded(F.when(v["serious"] >= 4, high).when(v["serious"] <= 2, low).otherwise(middle) - long_)
+
+    terms = {"col": config.COLLOQUIAL, "form": config.FORMAL, "bad": config.INAPPROPRIATE, "ex": tuple(config.EXCLAMATIONS), "ask": tuple(config.QUESTIONS)}
+    found = F.struct(X.visible_length(text, seen).alias("n"), X.sentence_lengths(text, seen).alias("lengths"), serious.alias("serious"), *[X.terms_total(text, x).alias(k) for k, x in terms.items()])
+    return X.let(found, judged)
+
+
+def factual_support(text: Column, gold: Column, activation: Column, grams: Column | None = None, facts: Column | None = None, seen: Column | None = None) -> Column:
+    """Bigram coverage of a reference answer, and facts that are supported rather than contradicted. The reference's bigrams and `fact_counts` can be given."""
+    r = X.char_ngrams(gold, 2) if grams is None else grams
+    cov = X.let(r, lambda r: X.grams_held(text if seen is None else seen, r, 2) / F.greatest(F.lit(1), F.size(r)))
     ref = F.when(F.coalesce(F.length(gold), F.lit(0)) > 0, 60 + 40 * F.least(F.lit(1.0), cov / 0.45)).otherwise(80.0)
-    con = _facts(text, activation, lambda bad, open_: F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - 100 * bad - 12 * open_)))
-    return bounded(0.4 * ref + 0.6 * con)
+    held = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - 100 * v["contradicted"] - 12 * v["unresolved"]))
+    return bounded(0.4 * ref + 0.6 * X.let(fact_counts(text, activation) if facts is None else facts, held))
 
 
-def _facts(text: Column, activation: Column, use) -> Column:
-    """use(contradicted, unresolved): numbers of facts; each fact's status is found once."""
-    status = F.array(*[X.fact_status(text, activation, f) for f in config.FACTS])
-    count = lambda s, kind: F.size(F.filter(s, lambda x: x == kind))
-    return X.let(status, lambda s: use(count(s, "contradicted"), count(s, "unresolved")))
+def fact_counts(text: Column, activation: Column) -> Column:
+    """struct(contradicted, unresolved): numbers of facts; each fact's status is found once, and the text's clauses for all of them."""
+    status = X.let(X.clauses(text), lambda v: F.array(*[X.fact_status(text, activation, f, v) for f in config.FACTS]))
+    count = lambda s, kind: F.size(F.filter(s, lambda x: x == kind)).alias(kind)
+    return X.let(status, lambda s: F.struct(count(s, "contradicted"), count(s, "unresolved")))
 
 
-def constraints(text: Column, activation: Column) -> Column:
-    return _facts(text, activation, lambda bad, open_: bounded(100.0 - 15 * open_ - 65 * bad))
+def constraints(text: Column, activation: Column, facts: Column | None = None) -> Column:
+    return X.let(fact_counts(text, activation) if facts is None else facts, lambda v: bounded(100.0 - 15 * v["unresolved"] - 65 * v["contradicted"]))
 
 
-def principle_coverage(text: Column, capability: Column) -> Column:
+def principle_coverage(text: Column, capability: Column, seen: Column | None = None) -> Column:
     """Principles expected of the capability that the text names, and actions it takes; keyword stuffing costs."""
     covered, expected = F.lit(0), F.lit(0)
     for name, (keys, wanted) in config.PRINCIPLES.items():
@@ -87,7 +87,7 @@ def principle_coverage(text: Column, capability: Column) -> Column:
         covered = covered + F.when(due & X.any_term(text, keys), 1).otherwise(0)
     actions = sum((F.when(F.contains(text, F.lit(a)), 1).otherwise(0) for a in config.ACTIONS), F.lit(0))
     keywords = X.terms_total(text, [k for keys, _ in config.PRINCIPLES.values() for k in keys])
-    n = F.greatest(F.lit(1), X.visible_length(text))
+    n = F.greatest(F.lit(1), X.visible_length(text, seen))
     stuffing = 2 * F.greatest(F.lit(0.0), 100.0 * keywords / n - 10)
     return bounded(35 + 40.0 * covered / F.greatest(F.lit(1), expected) + 25 * F.least(F.lit(1.0), actions / 2) - stuffing)
 

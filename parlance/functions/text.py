@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-CLAUSE_END = f"[{config.CLAUSE_MARKS}{config.LATIN_MARKS}]"
-SENTENCE_END = f"[{config.SENTENCE_MARKS}{config.LATIN_MARKS}]"
+CLAUSE_END = config.CLAUSE_MARKS + config.LATIN_MARKS
+SENTENCE_END = config.SENTENCE_MARKS + config.LATIN_MARKS
+#: What \\s stands for in a pattern.
+WHITE = " \t\n\x0b\f\r"
 
 
 def let(value: Column, use) -> Column:
@@ -32,9 +34,26 @@ def canonical_hash(value: Column) -> Column:
     return F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256)
 
 
-def visible_length(text: Column) -> Column:
-    """Characters that are not white space."""
-    return F.length(F.regexp_replace(text, r"\s+", "")).cast("long")
+def without(text: Column, chars: str, instead: str = "") -> Column:
+    """A text with each of some characters replaced, one after the other; those that it lacks cost a search only. A pattern pays for every character and match."""
+    marks = F.array(*[F.lit(c) for c in chars])
+    return F.aggregate(marks, text, lambda s, c: F.when(F.contains(s, c), F.replace(s, c, F.lit(instead))).otherwise(s)) if chars else text
+
+
+def cut(text: Column, marks: str) -> Column:
+    """The parts of a text between marks, which are made equal first: a cut at one character needs no pattern."""
+    one = "\n" if "\n" in marks else marks[0]
+    return F.split(without(text, marks.replace(one, ""), one), one if one == "\n" else quote(one), -1)
+
+
+def unspaced(text: Column) -> Column:
+    """A text without white space but for line feeds, which are marks too: what lengths, sentences and letters are found from."""
+    return without(text, WHITE.replace("\n", ""))
+
+
+def visible_length(text: Column, seen: Column | None = None) -> Column:
+    """Characters that are not white space. `unspaced` can be given, here and below, where several values ask for it."""
+    return F.length(without(unspaced(text) if seen is None else seen, "\n")).cast("long")
 
 
 def stable_seed(*parts: Column) -> Column:
@@ -55,7 +74,8 @@ def quote(term: str) -> str:
 
 def term_count(text: Column, term: str) -> Column:
     """Occurrences of a term that do not overlap each other."""
-    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    some = F.floor((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    return F.when(~F.contains(text, F.lit(term)), F.lit(0).cast("long")).otherwise(some)
 
 
 def terms_total(text: Column, terms: Sequence[str]) -> Column:
@@ -85,8 +105,31 @@ def exclusive_counts(text: Column, terms: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def polarity(text: Column, term: str) -> Column:
-    """struct(affirmed, negated): occurrences of a term, by whether a negation governs them; null has none.
+def exclusive_array(text: Column, terms: Sequence[str]) -> Column:
+    """exclusive_counts as an array, the text folded once for all of them: a hit becomes a sentinel of another length, which tells how many there were."""
+    order = sorted(terms, key=lambda t: (-len(t), t))
+    for t in order:
+        if config.overlaps_itself(t):
+            raise ValueError(f"{t!r} overlaps itself")
+
+    def fold(rest: Column, k: int, counts: list[Column]) -> Column:
+        if k == len(order):
+            return F.array(*counts)
+        size = len(order[k])
+        sentinel = "\x01" if size > 1 else "\x01\x01"
+        count = lambda after: ((F.length(rest) - F.length(after)) / (size - len(sentinel))).cast("long")
+        return let(F.when(F.contains(rest, F.lit(order[k])), F.replace(rest, F.lit(order[k]), F.lit(sentinel))).otherwise(rest), lambda after: fold(after, k + 1, [*counts, count(after)]))
+
+    return let(text, lambda whole: fold(whole, 0, []))
+
+
+def clauses(text: Column) -> Column:
+    """struct(clauses, heads): a text's clauses and the beginnings of them that can stand in the window after a term."""
+    return let(cut(text, CLAUSE_END), lambda c: F.struct(c.alias("clauses"), F.transform(c, lambda x: F.left(x, F.lit(config.NEAR_AFTER))).alias("heads")))
+
+
+def polarity(text: Column, term: str, within_clauses: Column | None = None) -> Column:
+    """struct(affirmed, negated): occurrences of a term, by whether a negation governs them; null has none. `clauses` of the text can be given, where several terms ask for them.
 
     A text is cut into clauses, and only clauses that hold the term are cut at it. A running length and the last few
     characters are all that is carried from one occurrence to the next, so the work is linear in the text; only in a clause with an
@@ -126,10 +169,10 @@ def polarity(text: Column, term: str) -> Column:
         ends = [F.when(F.contains(clause, F.lit(n)), F.instr(clause, n) + (len(n) - 1)) for n in config.SCOPE_NEGATORS]
         first = F.array_min(F.array(*ends)) if ends else F.lit(None).cast("int")
 
-        def cut(parts: Column) -> Column:
+        def parted(parts: Column) -> Column:
             return let(F.struct(clause.alias("clause"), parts.alias("parts"), F.transform(parts, lambda p: F.left(p, F.lit(width))).alias("heads"), after.alias("next"), first.alias("first"), any_term(clause, config.EXEMPT).alias("exempt")), governed)
 
-        return let(F.split(clause, quote(term), -1), cut)
+        return let(F.split(clause, quote(term), -1), parted)
 
     def counted(v: Column) -> Column:
         held = F.filter(F.sequence(F.lit(1), F.size(v["clauses"])), lambda i: F.contains(F.element_at(v["clauses"], i), F.lit(term)))
@@ -137,14 +180,15 @@ def polarity(text: Column, term: str) -> Column:
         total = F.struct(zero.alias("affirmed"), zero.alias("negated"))
         return F.aggregate(each, total, lambda a, x: F.struct((a["affirmed"] + x["all"] - x["bad"]).alias("affirmed"), (a["negated"] + x["bad"]).alias("negated")))
 
-    cut = lambda c: F.struct(c.alias("clauses"), F.transform(c, lambda x: F.left(x, F.lit(width))).alias("heads"))
     none = F.struct(zero.alias("affirmed"), zero.alias("negated"))
-    return F.when(F.contains(text, F.lit(term)), let(let(F.split(text, CLAUSE_END, -1), cut), counted)).otherwise(none)
+    return F.when(F.contains(text, F.lit(term)), counted(within_clauses) if within_clauses is not None else let(clauses(text), counted)).otherwise(none)
 
 
-def sentence_lengths(text: Column) -> Column:
+def sentence_lengths(text: Column, seen: Column | None = None) -> Column:
     """Visible lengths of the sentences that have any."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), lambda s: visible_length(s)), lambda n: n > 0)
+    parts = cut(unspaced(text) if seen is None else seen, SENTENCE_END)
+    own = parts if "\n" in SENTENCE_END else F.transform(parts, lambda s: without(s, "\n"))
+    return F.filter(F.transform(own, lambda s: F.length(s).cast("long")), lambda n: n > 0)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -153,14 +197,27 @@ def char_ngrams(text: Column, n: int) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*[F.element_at(c, i + j) for j in range(n)]))
         return F.when(F.size(c) >= n, F.array_distinct(each)).when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(F.array().cast("array<string>"))
 
-    kept = F.regexp_replace(text, "[^0-9A-Za-z㐀-鿿]+", "")
-    return let(F.filter(F.split(kept, ""), lambda x: x != ""), grams)
+    return let(F.filter(F.split(letters(text), ""), lambda x: x != ""), grams)
+
+
+def letters(text: Column) -> Column:
+    """A text's letters and digits (ASCII and CJK). The most usual of the others go by plain passes, so that the pattern meets few."""
+    return F.regexp_replace(without(text, " \n,."), "[^0-9A-Za-z㐀-鿿]+", "")
+
+
+def grams_held(text: Column, grams: Column, n: int) -> Column:
+    """How many of another text's n-grams, as char_ngrams gives them, are n-grams of this text too, which are not listed for that."""
+    def held(own: Column) -> Column:
+        many = F.filter(grams, lambda g: (F.length(g) == n) & F.contains(own, g))
+        return F.size(F.when(F.length(own) >= n, many).otherwise(F.filter(grams, lambda g: (g == own) & (own != ""))))
+
+    return let(letters(text), held)
 
 
-def fact_status(text: Column, activation: Column, fact: str) -> Column:
+def fact_status(text: Column, activation: Column, fact: str, within_clauses: Column | None = None) -> Column:
     """null if no trigger is met; else contradicted before supported before unresolved."""
     triggers, supports, contradictions = config.FACTS[fact]
-    affirmed = lambda terms: sum((polarity(text, t)["affirmed"] for t in terms), F.lit(0))
+    affirmed = lambda terms: sum((polarity(text, t, within_clauses)["affirmed"] for t in terms), F.lit(0))
     return F.when(any_term(activation, triggers), F.when(affirmed(contradictions) > 0, "contradicted").when(affirmed(supports) > 0, "supported").otherwise("unresolved"))
 
 

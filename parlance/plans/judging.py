@@ -40,7 +40,8 @@ def comparisons(spark, d):
     i = F.col("doc_id").cast("string")
     own = texts.responses(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id").withColumn("variant", F.explode(F.array(F.lit("base"), F.lit("tuned"))))
     own = own.withColumn("text", F.when(F.col("variant") == "base", F.col("text")).otherwise(F.concat("text", F.lit(records.TAIL))))
-    rules = F.create_map(*[x for m, made in texts.METRICS.items() for x in (F.lit(m), made().cast("double"))])
+    own = texts.measured(own, texts.METRICS)
+    rules = F.create_map(*[x for m in texts.METRICS for x in (F.lit(m), F.col(m).cast("double"))])
     side = F.struct(F.concat(F.lit("model-"), "variant").alias("model_label"), F.concat(F.lit("context of "), i).alias("context"), F.col("text").alias("response"), rules.alias("rules"))
     own = own.select("doc_id", "variant", "capability", side.alias("side"))
     at = lambda v: F.first(F.when(F.col("variant") == v, F.col("side")), ignorenulls=True).alias(v)

@@ -201,7 +201,7 @@ CANDIDATES = f"(SELECT *, {weighed(config.LAYER_WEIGHTS)} AS overall FROM {LAYER
 def candidates(spark, d):
     own = texts.responses(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id").withColumn("variant", F.explode(F.array(F.lit("base"), F.lit("tuned"))))
     own = own.withColumn("text", F.when(F.col("variant") == "base", F.col("text")).otherwise(F.concat("text", F.lit(TAIL))))
-    rules = own.select(F.col("doc_id").alias("eval_id"), "variant", *[made().alias(m) for m, made in texts.METRICS.items()])
+    rules = texts.measured(own, texts.METRICS).select(F.col("doc_id").alias("eval_id"), "variant", *texts.METRICS)
     return J.candidate_scores(rules, five(spark, d).select("eval_id", "variant", "dimension", "score"), ["eval_id", "variant"])
 
 

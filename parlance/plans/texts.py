@@ -30,9 +30,9 @@ CAPABILITY = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in config
 
 
 def responses(spark, d: str) -> DataFrame:
-    """documents as responses: a capability from the language, a seriousness 1..5 from the id, a reference answer."""
+    """documents as responses: a capability from the language, a seriousness 1..5 from the id, a reference answer and its bigrams, listed once for each item."""
     docs = table(spark, d, "documents").withColumn("capability", X.mapped(F.col("lang"), config.CAPABILITIES)).withColumn("serious", (F.pmod("doc_id", F.lit(5)) + 1).cast("long"))
-    gold = table(spark, d, "benchmark").select(F.col("item_id").alias("gold_id"), F.col("text").alias("gold"))
+    gold = table(spark, d, "benchmark").select(F.col("item_id").alias("gold_id"), F.col("text").alias("gold"), X.char_ngrams(F.col("text"), 2).alias("gold_grams"))
     return docs.join(gold, F.pmod("doc_id", F.lit(40)) == F.col("gold_id"), "left")
 
 
@@ -78,8 +78,8 @@ def polarity_counts(spark, d):
 
 @add("ngram_overlap", f"SELECT doc_id, round(len(list_intersect({S.ngrams('text', 2)}, {S.ngrams('gold', 2)}))::double / greatest(1, len({S.ngrams('gold', 2)})), 6) AS coverage FROM {RESPONSES} WHERE gold IS NOT NULL")
 def ngram_overlap(spark, d):
-    c, r = X.char_ngrams(t(), 2), X.char_ngrams(F.col("gold"), 2)
-    return responses(spark, d).where("gold IS NOT NULL").select("doc_id", F.round(F.size(F.array_intersect(c, r)) / F.greatest(F.lit(1), F.size(r)), 6).alias("coverage"))
+    r = F.col("gold_grams")
+    return responses(spark, d).where("gold IS NOT NULL").select("doc_id", F.round(X.grams_held(t(), r, 2) / F.greatest(F.lit(1), F.size(r)), 6).alias("coverage"))
 
 
 @add("constraint_status", "SELECT doc_id, " + ", ".join(f"{S.status('text', 'text', f)} AS {f}" for f in config.FACTS) + " FROM documents")
@@ -89,15 +89,21 @@ def constraint_status(spark, d):
 
 #: Made when a query asks for one: a metric is some hundred expressions, and each is built through the gateway.
 METRICS: dict[str, Callable[[], Column]] = {
-    "style_marker": lambda: M.style_marker(t(), F.col("serious")), "register_match": lambda: M.register_match(t(), F.col("serious")),
-    "factual_support": lambda: M.factual_support(t(), F.col("gold"), t()), "constraints": lambda: M.constraints(t(), t()),
-    "principle_coverage": lambda: M.principle_coverage(t(), F.col("capability")), "conflict_safety": lambda: M.conflict_safety(t(), F.col("serious"), t()),
+    "style_marker": lambda: M.style_marker(t(), F.col("serious"), F.col("seen")), "register_match": lambda: M.register_match(t(), F.col("serious"), F.col("seen")),
+    "factual_support": lambda: M.factual_support(t(), F.col("gold"), t(), F.col("gold_grams"), F.col("facts"), F.col("seen")), "constraints": lambda: M.constraints(t(), t(), F.col("facts")),
+    "principle_coverage": lambda: M.principle_coverage(t(), F.col("capability"), F.col("seen")), "conflict_safety": lambda: M.conflict_safety(t(), F.col("serious"), t()),
 }
 
 
+def measured(df: DataFrame, names) -> DataFrame:
+    """Responses with metrics. What several of them ask for, the text without white space and its facts, is found once."""
+    df = df.withColumns({"seen": X.unspaced(t()), "facts": M.fact_counts(t(), t())})
+    return df.withColumns({m: METRICS[m]() for m in names}).drop("seen", "facts")
+
+
 METRICS_SQL = {"style_marker": S.style_marker("text", "serious"), "register_match": S.register("text", "serious"), "factual_support": S.factual("text", "gold", "text"), "constraints": S.constraint("text", "text"), "principle_coverage": S.principle("text", "capability"), "conflict_safety": S.conflict("text", "serious", "text")}
 for _m in METRICS_SQL:
-    QUERIES[f"{_m}_score"] = lambda spark, d, m=_m: responses(spark, d).select("doc_id", METRICS[m]().alias("score"))
+    QUERIES[f"{_m}_score"] = lambda spark, d, m=_m: measured(responses(spark, d), [m]).select("doc_id", F.col(m).alias("score"))
     SQL[f"{_m}_score"] = f"SELECT doc_id, {METRICS_SQL[_m]} AS score FROM {RESPONSES}"
 
 SCORED_SQL = "(SELECT doc_id, lang, capability, source, " + ", ".join(f"{e} AS {m}" for m, e in METRICS_SQL.items()) + f" FROM {RESPONSES})"
@@ -108,7 +114,7 @@ OVERALL_SQL = "round(" + " + ".join(f"{w}::double * {k}" for k, w in config.LAYE
 
 def scored(spark, d) -> DataFrame:
     """All metrics of a response in one pass, then its layers and overall score."""
-    own = responses(spark, d).select("doc_id", "lang", "capability", "source", *[made().alias(m) for m, made in METRICS.items()])
+    own = measured(responses(spark, d), METRICS).select("doc_id", "lang", "capability", "source", *METRICS)
     return own.withColumns({k: c for k, c in M.layers({m: F.col(m) for m in METRICS_SQL}).items() if k != "overall"}).withColumn("overall", M.rounded(sum((F.lit(w) * F.col(k) for k, w in config.LAYER_WEIGHTS.items()), F.lit(0.0))))
 
 

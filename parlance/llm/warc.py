@@ -17,6 +17,7 @@ reference is a space. An empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,11 @@ LANG = r'(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"'
 LINK = r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once however often f names it: lambdas and generators share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def character(code: Column) -> Column:
     """The character of a code point; U+FFFD where there is none."""
     good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -68,12 +74,14 @@ def decoded(text: Column) -> Column:
             to = F.when(known, F.when(F.startswith(n, F.lit("#")), numeric(n)).otherwise(F.try_element_at(names, n)))
             return F.coalesce(F.concat(to, plain(F.substring(part, F.length(n) + 2, F.length(part)))), F.concat(F.lit("&"), plain(part)))
 
-        # lambdas share no subexpressions: what stands before the semicolon is bound once, and only numbers meet a pattern
-        return F.element_at(F.transform(F.array(F.substring_index(part, ";", 1)), given), 1)
+        # only numbers meet a pattern
+        return bound(F.substring_index(part, ";", 1), given)
+
+    def joined(parts: Column) -> Column:
+        return F.concat(plain(F.element_at(parts, 1)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
 
     # the most frequent reference is replaced by whole runs of text; what the others give is never in such a run
-    parts = F.split(text, "&(?!amp;)", -1)
-    return F.when(F.contains(text, F.lit("&")), F.concat(plain(F.element_at(parts, 1)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("&")), bound(F.split(t, "&(?!amp;)", -1), joined)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
@@ -81,9 +89,9 @@ def plain_text(html: Column) -> Column:
     for pattern, to in STEPS:
         out = F.regexp_replace(out, pattern, to)
     out = decoded(out)
-    for pattern, to in SPACES:
+    for pattern, to in SPACES[:2]:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.btrim(out, F.lit(" \n"))  # the other two patterns, by a plain pass
 
 
 def urn(*parts: Column) -> Column:

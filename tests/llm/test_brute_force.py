@@ -546,6 +546,12 @@ def test_plain_texts_by_hand(spark, html, want):
     assert spark.createDataFrame([(html,)], "h string").select(warc.plain_text(F.col("h")).alias("t")).first().t == want
 
 
+def test_warc_works_out_each_text_once(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>a &amp; &copy;</p>")], "page_id long, url string, html string")
+    plan = warc.derive(warc.responses(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (warc.STEPS[0][0], warc.STEPS[-1][0], warc.TITLE, warc.LINK)] == [1, 1, 1, 1]
+
+
 def test_warc_titles_and_links_stay_on_their_lines(spark):
     pages = spark.createDataFrame([(1, "u", '<title>a&#10;b &euro;</title><a href="/x?a=1&amp;b=2&#13;&#10;c">z</a>')], "page_id long, url string, html string")
     meta = warc.derive(warc.responses(pages)).where("warc_type = 'metadata'").first().block

@@ -34,12 +34,21 @@ def quoted(evidence: Column, text: Column) -> Column:
 
 
 def incomplete(filled: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Places of the grid request x side x dimension that do not hold exactly one judgment."""
-    sides, dims = (F.array(*map(F.lit, x)) for x in (("a", "b"), DIMENSIONS))
-    grid = filled.select("request_id", F.explode(sides).alias("side")).select("request_id", "side", F.explode(dims).alias("dimension"), F.lit(True).alias("due"))
-    have = judgments.groupBy("request_id", "side", "dimension").agg(F.count("*").alias("n"))
-    place = F.concat_ws(".", "side", "dimension")
-    return violations(grid.join(have, ["request_id", "side", "dimension"], "full_outer"), "V18", F.col("request_id"), ~F.coalesce(F.col("due") & (F.col("n") == 1), F.lit(False)), place)
+    """Places of the grid request x side x dimension that do not hold exactly one judgment.
+
+    All places of a request are counted in one row, which is all that is shuffled. A null request is none of the filled ones."""
+    sides = ("a", "b")
+    in_grid = F.coalesce(F.col("side").isin(*sides) & F.col("dimension").isin(*DIMENSIONS), F.lit(False))
+    nothing = F.lit(None).cast("string")
+    x = filled.select("request_id", nothing.alias("side"), nothing.alias("dimension"), F.lit(1).alias("due"))
+    x = x.unionByName(judgments.where(in_grid).select("request_id", "side", "dimension", F.lit(0).alias("due")))
+    places = {f"{side}.{d}": F.count_if((F.col("side") == side) & (F.col("dimension") == d)) for side in sides for d in DIMENSIONS}
+    x = x.groupBy("request_id", F.when(F.col("request_id").isNull(), F.col("due")).alias("apart")).agg(F.sum("due").alias("due"), *[n.alias(place) for place, n in places.items()])
+    due = F.col("due") > 0
+    wrong = F.array_compact(F.array(*[F.when(F.when(due, F.col(f"`{p}`") != 1).otherwise(F.col(f"`{p}`") > 0), p) for p in places]))
+    x = x.select("request_id", wrong.alias("wrong"), F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("due", F.lit(1)))))
+    outside = judgments.where(~in_grid).select("request_id", "side", "dimension").distinct().select("request_id", F.concat_ws(".", "side", "dimension").alias("place"))
+    return violations(x.select("request_id", F.explode("wrong").alias("place")).unionByName(outside), "V18", F.col("request_id"), F.lit(True), F.col("place"))
 
 
 def answer_violations(filled: DataFrame, judgments: DataFrame, key: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small fixtures with the edge cases that matter."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +242,17 @@ def test_judging(spark):
     assert J.altered_key(key, comparisons, assignment).count() == 0
 
 
+def test_places_of_the_grid_are_counted_by_request(spark):
+    ids = ["1", "1", "2", "3", None]
+    given = [("1", s, d) for s in "ab" for d in J.DIMENSIONS] + [("2", "a", J.DIMENSIONS[0])] * 2 + [("2", "c", "other"), ("2", "c", "other"), ("2", None, None), ("x", "b", J.DIMENSIONS[1]), (None, "a", J.DIMENSIONS[2])]
+    n = Counter(given)
+    want = Counter((i, f"{s}.{d}") for i in ids for s in "ab" for d in J.DIMENSIONS if i is None or n[i, s, d] != 1)
+    want.update([("2", "c.other"), ("2", ""), ("x", f"b.{J.DIMENSIONS[1]}"), (None, f"a.{J.DIMENSIONS[2]}")])
+    found = J.incomplete(spark.createDataFrame([(i,) for i in ids], "request_id string"), spark.createDataFrame(given, "request_id string, side string, dimension string"))
+    assert Counter((r.record_id, r.detail) for r in found.collect()) == want and {r.rule_id for r in found.collect()} == {"V18"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_judging_resumes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"request_id":"J1"}\n{"request_id":"J2"}\n')

@@ -8,6 +8,9 @@ counter, so an entry is rewritten once per doubling. Prefixes that met are then
 true lexicographic order and common prefix lengths of what follows and precedes them give the matches of
 400 bytes and more.
 
+Passages of over 50 words have fewer bytes than that where words are short. A family over 200-byte windows finds those first;
+only documents whose repeated 200-byte windows are as many as one of 400 bytes holds go on to the second family.
+
 Cases: null and empty texts have no bytes and lose none. Repeated rows are copies of one another, so all
 their windows go. An empty table gives no rows; other columns are ignored. Removal may cut a character in
 two: kept bytes are exact, and `kept_text` drops what is left of such characters.
@@ -27,6 +30,8 @@ from .common import Stage, blocks, encoded
 from .repeats import LAST, MOST, Spec, anchor_rows, covered, entries, groups, keyed, meeting, runs, spans
 
 WINDOW = Spec(window=400, k=145, w=256, words=False)
+#: A passage of 51 words has 200 bytes and more in any but the tersest script.
+PASSAGE = Spec(window=200, k=73, w=128, words=False)
 
 
 class LogIndex:
@@ -74,9 +79,8 @@ class LogIndex:
         self.stage.drop(*[level for _, level in self.levels])
 
 
-def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, most: int = MOST, earlier: bool = False) -> DataFrame:
-    """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any;
-    earlier: only of windows that a document with a smaller doc_id has."""
+def repeated(own: DataFrame, stage: Stage, spec: Spec, batches: int = 4, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """The anchors of keyed documents whose prefixes occur again, and the offsets of the windows that do."""
     a = stage.write(anchor_rows(own, spec))
     index = LogIndex(stage)
     for b in range(batches):
@@ -84,7 +88,13 @@ def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4,
     index.close()
     a = meeting(stage, a, index.matches())
     found = stage.write(groups(entries(a)))
-    return spans(a, runs(stage, own, found, spec, most), spec, earlier)
+    return a, runs(stage, own, found, spec, most)
+
+
+def ranges(own: DataFrame, stage: Stage, spec: Spec = WINDOW, batches: int = 4, most: int = MOST, earlier: bool = False) -> DataFrame:
+    """keyed documents to d, rk, spans: the byte ranges of windows that start anywhere else too, where there are any;
+    earlier: only of windows that a document with a smaller doc_id has."""
+    return spans(*repeated(own, stage, spec, batches, most), spec, earlier)
 
 
 def dedup(docs: DataFrame, stage: Stage, **options) -> DataFrame:
@@ -93,6 +103,22 @@ def dedup(docs: DataFrame, stage: Stage, **options) -> DataFrame:
     return own.join(ranges(own, stage, **options).hint("shuffle_hash"), ["d", "rk"], "left").select("d", "text", "spans")
 
 
+def with_passages(docs: DataFrame, stage: Stage, spec: Spec = WINDOW, short: Spec = PASSAGE, **options) -> DataFrame:
+    """d, text, spans, passages: as dedup, with the byte ranges of short windows that a document with a smaller doc_id has.
+
+    Where a window occurs, all short windows in it do, so a document with fewer repeated short ones has no range to remove."""
+    own = keyed(docs)
+    a, again = repeated(own, stage, short, **options)
+    x = a.join(again, ["kh", "ch"]).select("d", "rk", "first", (F.col("p") - F.col("s_hi")).alias("a"), (F.col("p") - F.col("s_lo") + short.window).alias("b"))
+    earlier = F.collect_list(F.when(F.col("first") < F.col("d"), F.struct("a", "b")))
+    per_doc = stage.write(x.groupBy("d", "rk").agg(earlier.alias("passages"), F.sum(F.col("b") - F.col("a") - short.window + 1).alias("starts")))
+    stage.drop(a, again)
+    long = per_doc.where(F.col("starts") > spec.window - short.window).select("d", "rk")
+    found = ranges(stage.write(own.join(long.hint("shuffle_hash"), ["d", "rk"], "left_semi")), stage, spec, **options)
+    out = own.join(found.hint("shuffle_hash"), ["d", "rk"], "left").join(per_doc.hint("shuffle_hash"), ["d", "rk"], "left")
+    return out.select("d", "text", "spans", "passages")
+
+
 def remove(raw: bytes, found) -> tuple[bytes, int, int]:
     """What is left of raw, the number of bytes removed, and of maximal removed runs."""
     if found is None or not len(found):
@@ -103,7 +129,8 @@ def remove(raw: bytes, found) -> tuple[bytes, int, int]:
 
 
 def kept(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256; with passages also n_passage_bytes, the bytes that those cover."""
+    more = "passages" in found.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in blocks(batches, "text", 4_000_000):
@@ -113,9 +140,11 @@ def kept(found: DataFrame) -> DataFrame:
                 rows.append((len(raw), gone, n, rest, hashlib.sha256(rest).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
             out.insert(0, "d", pdf["d"].array)
+            if more:
+                out["n_passage_bytes"] = [int(covered(n, at).sum()) for n, at in zip(out["n_bytes"], pdf["passages"], strict=True)]
             yield out
 
-    out = found.mapInPandas(run, "d long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = found.mapInPandas(run, "d long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string" + ", n_passage_bytes long" * more)
     return out.withColumn("d", F.nullif("d", F.lit(LAST))).withColumnRenamed("d", "doc_id")
 
 
@@ -136,4 +165,4 @@ def cleaned(docs: DataFrame, stage: Stage, **options) -> DataFrame:
 
 def op7_suffix_array(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return kept(dedup(docs, Stage(spark, "op7"))).drop("kept")
+    return kept(with_passages(docs, Stage(spark, "op7"))).drop("kept")

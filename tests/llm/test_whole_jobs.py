@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from parlance.llm import jaccard_join, repeats, suffix_tree
+from parlance.llm import jaccard_join, repeats, suffix_array, suffix_tree
 from parlance.llm.common import Stage
 
 
@@ -129,3 +129,37 @@ def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
         assert step(spark, docs.where("false"), str(tmp_path)).count() == 0
     everything = corpus_pipeline.toxic(spark, docs, str(tmp_path))  # no label at all: nothing is known to be toxic
     assert everything.count() == docs.count()
+
+
+def passages():
+    """Rows that share passages of 51 words and more in fewer than 400 bytes, in more, or within one text only."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    short, other, long = make(52), make(60), make(150)
+    rows = [(1, make(20) + short + make(20)), (2, make(40) + short), (3, short + make(9) + short), (4, make(30)), (5, make(10) + long), (6, long + make(25)), (7, other + make(15) + other)]
+    rows += [(8, long[:100]), (None, make(12) + short), (None, make(60)), (9, make(80)), (6, other), (9, None), (10, []), (2, make(5) + long)]
+    return [(i, w if w is None else " ".join(w)) for i, w in [*rows, rows[1], rows[8]]]
+
+
+def test_passages_of_fewer_bytes_than_the_window_are_counted(spark, tmp_path):
+    rows = passages()
+    order = lambda i: math.inf if i is None else i
+    raw = [(t or "").encode() for _, t in rows]
+    starts = lambda b, n: [b[j : j + n] for j in range(len(b) - n + 1)]
+    seen, first = Counter(x for b in raw for x in starts(b, 400)), {}
+    for (i, _), b in zip(rows, raw, strict=True):
+        for x in starts(b, 200):
+            first[x] = min(first.get(x, math.inf), order(i))
+    want = Counter()
+    for (i, _), b in zip(rows, raw, strict=True):
+        gone = {k for j, x in enumerate(starts(b, 400)) if seen[x] > 1 for k in range(j, j + 400)}
+        held = {k for j, x in enumerate(starts(b, 200)) if first[x] < order(i) for k in range(j, j + 200)}
+        want[i, len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest(), len(held)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(map(tuple, suffix_array.op7_suffix_array(spark, str(tmp_path)).collect())) == want
+    divided = suffix_array.kept(suffix_array.with_passages(docs, Stage(spark, "t"), most=0)).drop("kept")
+    assert Counter(map(tuple, divided.collect())) == want
+    assert sum(not k[2] and k[5] > 0 for k in want) >= 3 and sum(k[2] > 0 for k in want) >= 3
+    none = docs.where("doc_id > 99")
+    assert suffix_array.kept(suffix_array.with_passages(none, Stage(spark, "t"))).count() == 0

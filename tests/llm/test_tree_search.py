@@ -74,3 +74,64 @@ def test_queue_takes_the_nearest_side_first():
     q = np.array([[1.0, 0.0], [-1.0, 0.0]])
     assert forest.search(q, 4) == [[2], [1, 2]]
     assert forest.search(q, 100) == [[2, 1], [1, 2]]
+
+
+def to_python(plan) -> int:
+    """Bytes that the plan, which has run, gave to Python."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return to_python(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return to_python(plan.plan())
+    own = plan.metrics().get("pythonDataSent")
+    below = plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(to_python(below.apply(i)) for i in range(below.size()))
+
+
+def test_vectors_and_queries_come_once_for_a_group_of_leaves(spark):
+    """Many small leaves: neither is repeated for each leaf, or for each pair of rows that meet."""
+    x = np.random.default_rng(3).standard_normal((10_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    out = tree_search.nearest(df, F.expr("vec_id % 20 = 0"), Stage(spark, "t"), leaf=16)
+    assert len(out.collect()) == 20 * 500
+    assert to_python(out._jdf.queryExecution().executedPlan()) < 30 * x.nbytes
+
+
+@pytest.mark.parametrize(("scale", "side"), [(1.0, 1024), (1.0, 31), (1e-30, 1), (1e30, 31), (1e150, 1024)])
+def test_what_single_precision_leaves_out_is_not_among_the_best(scale, side):
+    """Scores that differ in the last places of double precision, at lengths that single precision holds and does not hold."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64)
+    x = (base + 1e-9 * rng.standard_normal((500, 64))) * scale
+    q = np.stack([base, rng.standard_normal(64)]) * scale
+    exact = np.array([[product(a, b) for b in x.tolist()] for a in q.tolist()])
+    order = np.argsort(-exact, axis=1, kind="stable")
+    low = np.array([exact[0, order[0, 20]], -np.inf])
+    best = tree_search.Best(21, side)
+    leaf = np.arange(500) // 50
+    best.meet(q, np.array([7, 9]), low, np.repeat([0, 1], 10), np.tile(np.arange(10), 2), x, tree_search.lengths(x).max(), leaf, np.arange(500), np.arange(500))
+    query, score, ids, _ = best.shrink()
+    for i, n in enumerate((7, 9)):
+        assert ids[query == n].tolist() == order[i, :21].tolist()
+        assert score[query == n].tolist() == exact[i, order[i, :21]].tolist()
+
+
+def test_floor_counts_only_what_the_leaves_taken_hold():
+    """Two leaves: a query that takes one of them gets the bound of its vectors alone, and none where it holds too few."""
+    forest = tree_search.Trees(1, 1, 0, 1.0)
+    x = np.array([[1.0, 0.0], [0.9, 0.0], [0.5, 0.0], [0.4, 0.0]])
+    forest.known[2] = x, np.array([[1], [2], [2], [2]]), 1.0
+    got = forest.floor(np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0]]), [[2], [1], [2, 1]], 2)
+    assert got[1] == -np.inf and np.allclose(got[[0, 2]], [0.5, 0.9], atol=1e-11, rtol=0) and (got[[0, 2]] <= [0.5, 0.9]).all()
+
+
+def test_many_equal_scores_are_held_a_few_at_a_time():
+    """All vectors are as near: the smallest ids are found, and no more than the limit is held."""
+    n = 30_000
+    best = tree_search.Best(21)
+    x = np.stack([np.ones(n), np.arange(n, 0, -1.0)], axis=1)
+    q = np.repeat([[1.0, 0.0]], 40, axis=0)
+    best.meet(q, np.arange(40), np.ones(40), np.arange(40), np.zeros(40, int), x, tree_search.lengths(x).max(), np.zeros(n, int), np.arange(n), np.arange(n)[::-1] % 29_989)
+    assert best.size < 450_000
+    query, score, ids, _ = best.shrink()
+    assert ids.tolist() == sorted(np.arange(n)[::-1] % 29_989)[:21] * 40 and (score == 1).all() and query.tolist() == np.repeat(np.arange(40), 21).tolist()
